@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrus.llm import packing, quality, simhash
+from papyrus.llm import packing, quality, secrets, simhash
 from papyrus.llm.common import shared_dir, table
 
 
@@ -25,12 +25,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_duplicates(docs)
 
 
+def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are masked; no document goes."""
+    return secrets.mask_secrets(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(docs, packing.word_tokenizer(), capacity=2048, eos_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("packing", pack)]
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("secret_masking", secret_masking), ("packing", pack)]
 
 #: The fingerprints (XXH64) and the trained classifier have no form in SQL.
 ORACLE_SQL = None

@@ -140,12 +140,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, tau: int = 4) -> DataFrame:
     """The rows of df, all columns, that give their component its name; rows without an id stay. Of repeated rows with that id one stays."""
-    found = near_duplicates(df, id_col, text_col, shingle_words, tau)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = df.join(gone, [id_col], "left_anti")
+    found = checkpointed(near_duplicates(df, id_col, text_col, shingle_words, tau))
+    kept = df.join(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), [id_col], "left_anti")
     again = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(id_col))
+    if again.isEmpty():
+        return kept.select(df.columns)
     single, repeated = kept.join(again, [id_col], "left_anti"), kept.join(again, [id_col], "left_semi").dropDuplicates([id_col])
-    return single.unionByName(repeated)
+    return single.unionByName(repeated).select(df.columns)
 
 
 def hex_digits(fp: Column) -> Column:
