@@ -5,11 +5,322 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from papyrus.operators import attempts as A
+from papyrus.operators import corpus, derived, enrichment, frequency, graph, ingest, learning, retrieval, scoring, sentiment, similarity, trends
+from papyrus.plans.oracles import ORACLES
+from papyrus.sources.views import attempts, dated_papers, papers, scores, table
+from papyrus.streaming import events as S
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _over(view: Callable[[SparkSession, str], DataFrame], **made: Callable[[DataFrame], DataFrame]) -> None:
+    """Registers queries that are one operator over one view."""
+    for name, operator in made.items():
+        QUERIES[name] = lambda spark, sf_dir, view=view, operator=operator: operator(view(spark, sf_dir))
+
+
+_over(
+    papers,
+    search_limit=lambda p: corpus.search(p, "licensed", 25, 5),
+    batch_numbers=lambda p: corpus.batches(p, 100),
+    coverage_stats=corpus.coverage,
+    coverage_suggestions=lambda p: corpus.coverage_suggestions(corpus.coverage(p)),
+    text_normalize=corpus.normalized_table,
+    readability=corpus.readability_table,
+    flesch_by_journal=corpus.flesch_by_journal,
+    word_count_hist=corpus.word_count_histogram,
+    sentence_lengths=corpus.sentence_length_counts,
+    text_summary=corpus.text_summary,
+    top_terms=frequency.top_terms,
+    title_terms=frequency.title_terms,
+    top_bigrams=frequency.top_bigrams,
+    query_term_df=lambda p: frequency.query_term_frequency(p, "tion license of theory token"),
+    term_cooccurrence=frequency.cooccurrence,
+    top_terms_by_journal=frequency.top_terms_by_journal,
+    cloud_weights=frequency.cloud_weights,
+    tfidf=frequency.tfidf,
+    top_journals=trends.top_journals,
+    years_in_text=lambda p: trends.years_in_text(p, "abstract"),
+    jaccard_pairs=lambda p: similarity.jaccard_pairs(similarity.term_sets(p), 0.5).withColumn("jaccard", F.round("jaccard", 6)),
+    jaccard_classes=lambda p: similarity.class_members(similarity.term_sets(p)),
+    index_sizes=retrieval.eligible_counts,
+    chunk_stats=lambda p: retrieval.chunks(p).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("text")).alias("longest"), F.sum(F.length("text")).alias("n_chars")),
+    analysis_prompts=retrieval.analysis_prompts,
+    lexicon_sentiment=sentiment.sentiment,
+    sentiment_overall=lambda p: sentiment.overall(sentiment.sentiment(p)),
+    aspect_sentiment=sentiment.aspects,
+    emotion_counts=sentiment.emotion_counts,
+    gap_rules=sentiment.method_gap,
+    quality_components=lambda p: derived.quality_components(derived.corpus_facts(p, sentiment.sentiment(p), frequency.top_terms_by_journal(p))),
+    citation_split=lambda p: derived.citation_split(derived.corpus_facts(p, sentiment.sentiment(p), frequency.top_terms_by_journal(p)), 80.0),
+    cluster_summaries=lambda p: learning.cluster_summaries(p, "keyword"),
+    lda_topics=learning.lda_topics,
+)
+_over(
+    dated_papers,
+    yearly_counts=trends.yearly_counts,
+    trend_slope_peak=trends.slope_and_peak,
+    journal_trends=trends.journal_trends,
+    journal_year_matrix=lambda p: trends.journal_year_matrix(p, list(range(1995, 2002))),
+    dataset_summary=trends.dataset_summary,
+    phase_trend=derived.phase_trend,
+)
+_over(
+    attempts,
+    batch_result=A.batch_result,
+    strategy_stats=A.strategy_statistics,
+    breaker_runs=A.breaker_runs,
+    breaker_states=lambda a: A.breaker_states(a).groupBy("strategy", "state").agg(F.count("*").alias("n")),
+    token_bucket=lambda a: A.token_bucket(a).groupBy("strategy", "granted").agg(F.count("*").alias("n")),
+    retry_fold=A.retry_fold,
+    running_success_rate=A.running_rate,
+    first_success=lambda a: A.first_success(a, F.array_position(F.array(*map(F.lit, ["click", "view", "purchase", "signup", "error"])), F.col("strategy"))),
+)
+_over(
+    scores,
+    score_batch_summary=scoring.summary,
+    score_stats=scoring.statistics,
+    top_by_score=lambda s: scoring.top_by_score(s, "innovation", 20),
+    composite_rank=scoring.composites,
+    journal_boxplot=lambda s: scoring.journal_boxes(scoring.composites(s)),
+)
+
+
+@query
+def keyword_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return trends.keyword_evolution(rows.select(F.year("l_shipdate").alias("year"), F.col("p_name").alias("keywords")))
+
+
+@query
+def common_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trends.common_keywords(table(spark, sf_dir, "part").select(F.col("p_name").alias("keywords")))
+
+
+def _idmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels as an id map: quality 1 is a hit, 0 a negative one."""
+    pmc = F.concat(F.lit("PMC"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("clean_pmid"), F.when(F.col("quality") == 1, pmc).alias("pmcid"))
+
+
+@query
+def id_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrichment.enrich(papers(spark, sf_dir), _idmap(spark, sf_dir)).select("clean_pmid", "pmcid", "has_fulltext")
+
+
+@query
+def cache_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrichment.cache_probe(papers(spark, sf_dir).select("pmid"), _idmap(spark, sf_dir)).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query
+def pending_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrichment.pending(papers(spark, sf_dir).select("doc_id", "pmid"), _idmap(spark, sf_dir)).select("doc_id")
+
+
+@query
+def recovery_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents count as papers without an abstract; their labels give the candidates."""
+    labels = table(spark, sf_dir, "labels")
+    own = papers(spark, sf_dir).join(labels, ["doc_id"], "left").select("pmid", F.when(F.col("quality").isNull(), F.col("abstract")).alias("abstract"))
+    named = [("quality", 0), ("toxic", 1)]
+    found = F.explode(F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(s).alias("source"), F.when(F.col(s) == 1, F.concat(F.lit(f"{s} "), F.col("doc_id").cast("string"))).alias("abstract")) for s, p in named]))
+    return enrichment.recover(own, labels.select(F.col("doc_id").cast("string").alias("clean_pmid"), found.alias("c")).select("clean_pmid", "c.*"))
+
+
+@query
+def id_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels, num = table(spark, sf_dir, "labels"), F.col("doc_id").cast("string")
+    own = papers(spark, sf_dir).select(num.alias("clean_pmid"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("PMC"), num)).alias("pmcid"))
+    link = labels.where("quality = 1").select(num.alias("clean_pmid"), F.concat(F.lit("PMC1"), num).alias("pmcid"))
+    cross = labels.where("toxic = 1").select(num.alias("clean_pmid"), F.concat(F.lit("PMC2"), num).alias("pmcid"))
+    return enrichment.first_pmcid(own, link, cross)
+
+
+@query
+def json_idconv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label row as a conversion answer in JSON, parsed."""
+    record = F.struct(F.col("doc_id").alias("pmid"), F.when(F.col("quality") == 1, F.col("doc_id").cast("string")).alias("pmcid"))
+    return ingest.parse_conversions(table(spark, sf_dir, "labels").select(F.to_json(F.struct(F.array(record).alias("records"))).alias("json")))
+
+
+@query
+def json_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = F.array((F.col("doc_id") * 10).cast("string"), F.lit("0"))
+    json = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(links.alias("links"))).alias("linksetdbs"))).alias("linksets")))
+    return papers(spark, sf_dir).select("doc_id", json.alias("json")).select("doc_id", ingest.first_link(F.col("json")).alias("link"))
+
+
+@query
+def group_term_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = frequency.top_terms_by_journal(papers(spark, sf_dir))
+    return similarity.group_jaccard(best.groupBy(F.col("journal").alias("name")).agg(F.collect_list("term").alias("terms")))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # the stated query set
+    return asked, e.select(F.col("vec_id").alias("id"), F.col("label").alias("kind"), F.col("embedding").alias("v"))
+
+
+@query
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.nearest(*_vectors(spark, sf_dir), k=3)
+
+
+@query
+def retrieve_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two vectors make a paper; labels are the targets in order."""
+    found = vector_topk(spark, sf_dir).select("query_id", F.floor(F.col("id") / 2).alias("paper_id"), F.col("kind").alias("target_rank"), "rank", "score")
+    return retrieval.dedupe_contexts(found)
+
+
+@query
+def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.confidence(retrieve_dedupe(spark, sf_dir))
+
+
+@query
+def question_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("question_id"), F.col("text").alias("question"))
+    return retrieval.classify(asked).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query
+def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn with the next turn of its conversation as context."""
+    c = table(spark, sf_dir, "conversations")
+    asked = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    context = c.where("role <> 'user'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("context"))
+    pairs = asked.join(context, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "question", "context")
+    return retrieval.extractive_answers(pairs)
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label rows as responses with marked scores; a name twice, a value that is no number."""
+    q = (F.col("quality") * 4 + 0.5).cast("string")
+    text = F.concat(F.lit("Fine. [SCORE:overall:9] [SCORE:bad:1.2.3] [SCORE:quality:"), F.pmod("doc_id", F.lit(7)).cast("string"), F.lit("] and [SCORE:overall:"), q, F.lit("]"))
+    return table(spark, sf_dir, "labels").select("doc_id", text.alias("response"))
+
+
+@query
+def score_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _responses(spark, sf_dir).select("doc_id", scoring.marked_scores(F.col("response")).alias("s"))
+    return found.select("doc_id", F.element_at("s", "quality").alias("quality"), F.element_at("s", "overall").alias("overall"), F.size("s").alias("n"))
+
+
+@query
+def fallback_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.pmod("doc_id", F.lit(4))
+    text = F.when(k == 0, F.concat(F.pmod("doc_id", F.lit(10)).cast("string"), F.lit("/10"))).when(k == 1, F.concat((F.pmod("doc_id", F.lit(9)) + 0.5).cast("string"), F.lit(" out of 10"))).when(k == 2, F.lit("fine")).otherwise(F.lit("11/10"))
+    return table(spark, sf_dir, "labels").select(F.round(scoring.fallback_score(text), 4).alias("score")).groupBy("score").agg(F.count("*").alias("n"))
+
+
+@query
+def response_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.response_statistics(table(spark, sf_dir, "conversations"))
+
+
+@query
+def strategy_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    num = F.col("doc_id").cast("string")
+    doi = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10.1/arxiv."), num)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("10.1/x"), num))
+    own = papers(spark, sf_dir).join(_idmap(spark, sf_dir), F.col("doc_id").cast("string") == F.col("clean_pmid"), "left").select(F.col("doc_id").alias("paper"), "pmcid", doi.alias("doi"), F.lit("untitled").alias("title"))
+    return A.routes(own).groupBy("strategy", "place").agg(F.count("*").alias("n"))
+
+
+@query
+def url_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.url_checks(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+@query
+def payload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    is_pdf, free = A.valid_payload(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", is_pdf.alias("is_pdf"), free.alias("no_paywall"))
+
+
+def _edges(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
+    """Suppliers that deliver for the same order; an order has a few lines."""
+    return graph.shared_item_edges(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_orderkey", least)
+
+
+QUERIES |= {
+    "graph_density": lambda s, d: graph.summary(_edges(s, d)),
+    "degree_centrality": lambda s, d: graph.degrees(_edges(s, d), 10),
+    "clustering_coeff": lambda s, d: graph.clustering(_edges(s, d, 8)),
+    "components": lambda s, d: graph.label_components(_edges(s, d, 8)),
+    "adjacency": lambda s, d: graph.adjacency(_edges(s, d)),
+    "modularity_q": lambda s, d: graph.modularity(_edges(s, d), table(s, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("grp"))),
+    "top_entities": lambda s, d: graph.top_per_type(table(s, d, "part"), "p_type", "p_brand", 3),
+    "cluster_sizes": lambda s, d: learning.cluster_sizes(table(s, d, "embeddings")),
+    "silhouette": lambda s, d: learning.centroid_silhouette(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")),
+    "dominant_component": lambda s, d: learning.dominant_label(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))),
+    "kmeans_elbow": lambda s, d: learning.kmeans_clusters(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))),
+    "page_fields": lambda s, d: ingest.page_fields(table(s, d, "pages")),
+    "page_markdown": lambda s, d: ingest.markdown(table(s, d, "pages")),
+    "sink_stats": lambda s, d: ingest.sink_statistics(table(s, d, "pages"), "html"),
+    "windows_tumbling": lambda s, d: S.tumbling(_events(s, d)).withColumn("start", F.col("start").cast("timestamp_ntz")),
+    "windows_session": lambda s, d: S.sessions(_events(s, d)).withColumn("start", F.col("start").cast("timestamp_ntz")),
+    "stream_tumbling": lambda s, d: S.run(S.tumbling(S.source(s, d))),
+    "stream_session": lambda s, d: S.run(S.sessions(S.source(s, d))),
+    "stream_breaker": lambda s, d: S.run(S.breaker(S.source(s, d)), "update"),
+}
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query
+def article_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each paper as an article's XML, parsed again."""
+    n = F.col("doc_id")
+    months = F.array(*map(F.lit, ingest.MONTHS))
+    month = F.when(n % 2 == 0, F.get(months, (n % 12).cast("int"))).otherwise((n % 12 + 1).cast("string"))
+    doi = F.when(n % 2 == 0, F.concat(F.lit("<ArticleId IdType='doi'>10.1/"), n.cast("string"), F.lit("</ArticleId>"))).otherwise("")
+    xml = F.concat(
+        F.lit("<PubmedArticle><PMID>"), n.cast("string"), F.lit("</PMID><Journal><Title>"), ingest.escaped(F.col("journal")), F.lit("</Title></Journal><PubDate><Year>"), (2000 + n % 20).cast("string"), F.lit("</Year><Month>"), month, F.lit("</Month><Day>"),
+        (n % 28 + 1).cast("string"), F.lit("</Day></PubDate><ArticleTitle>"), ingest.escaped(F.col("title")), F.lit("</ArticleTitle><Abstract><AbstractText Label='A'>"), ingest.escaped(F.col("abstract")),
+        F.lit("</AbstractText></Abstract><AuthorList><Author><LastName>Smith</LastName><ForeName>A"), n.cast("string"), F.lit("</ForeName></Author><Author><LastName>Doe</LastName></Author></AuthorList>"), doi, F.lit("</PubmedArticle>"),
+    )
+    return ingest.parse_articles(papers(spark, sf_dir).select(xml.alias("xml"))).select("pmid", "journal", "pub_date", "doi", "authors")
+
+
+@query
+def access_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label row as an access record in XML, parsed and counted; records without quality are errors."""
+    num = F.col("doc_id").cast("string")
+    good = F.concat(F.lit("<OA><records><record license='CC BY' retracted='"), F.when(F.col("toxic") == 1, "yes").otherwise("no"), F.lit("'><link format='tgz' href='ftp://x/a.tgz'/><link format='PDF' href='ftp://x/"), num, F.lit(".pdf'/></record></records></OA>"))
+    bad = F.concat(F.lit("<OA><error code='idDoesNotExist'/><records><record retracted='"), F.when(F.col("toxic") == 1, "yes").otherwise("no"), F.lit("'><link format='pdf' href='x'/></record></records></OA>"))
+    found = ingest.parse_access(table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, good).otherwise(bad).alias("xml")))
+    return found.agg(F.count("*").alias("n"), F.count_if(F.col("pdf_url").startswith("https://")).alias("with_url"), F.count_if("retracted").alias("retracted"))
+
+
+@query
+def revenue_by_journal_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A two-table join and aggregate: line items by their order's priority and year."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    amount = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    by_order = joined.groupBy("o_orderkey", "o_orderpriority", F.year("o_orderdate").alias("year")).agg(F.sum(amount).alias("amount"))  # on the join's key: no further shuffle
+    return by_order.groupBy(F.col("o_orderpriority").alias("journal"), "year").agg(F.round(F.sum("amount"), 2).alias("revenue"), F.count("*").alias("papers"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in ORACLES.items() if k in QUERIES}
+
+
