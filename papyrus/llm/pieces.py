@@ -6,16 +6,14 @@ segmentation so comes with exactly its share of the weight. The draws come from
 key, so a row gets the same segmentation in every run, wherever it is computed.
 
 The vocabulary's merge ranks give the weights (one over the rank; a character without a piece is spelled in byte pieces).
-No piece holds a space mark after another character or a line end, so the lattice falls apart there, and the lattices of
-the parts that were met last are remembered.
+No piece holds a space mark after another character or a line end, so the lattice falls apart there; the distinct parts of
+a batch are filtered once, as arrays, and their occurrences are sampled together.
 """
 
 from __future__ import annotations
 
-import random
 import re
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +25,25 @@ from papyrus.llm.common import pick
 
 SPACE = "▁"
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-#: Parts whose lattices a worker remembers, and the longest one that it does.
-CACHE_PARTS, CACHE_CHARS = 40_000, 24
+#: Parts up to this length are sampled together as arrays, longer ones alone; parts in one array block.
+ARRAY_CHARS, BLOCK = 32, 4096
 #: Weight of one byte piece.
 BYTE_WEIGHT = 1e-6
+_BASE, _MULTIPLIERS, _SLOT_BITS = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F), 20
+_U64 = (1 << 64) - 1
 
-Ends = list[tuple[list[int], list[float], list[tuple[int, ...]]]]
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """SplitMix64 of each unsigned 64-bit number."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _uniform(seeds: np.ndarray, step: int) -> np.ndarray:
+    """A number in [0, 1) for each seed and step."""
+    return (_mixed(seeds + np.uint64(step * 0x632BE59BD9B4E019 & _U64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
 class PieceSampler:
@@ -40,11 +51,10 @@ class PieceSampler:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        size = model.get_piece_size()
         self.bytes_ids = [0] * 256
         self.plain: list[bytes] = []
-        self.weights: dict[str, tuple[float, tuple[int]]] = {}
-        for i in range(size):
+        weights: dict[str, tuple[float, int]] = {}
+        for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.bytes_ids[int(piece[3:5], 16)] = i
@@ -55,67 +65,159 @@ class PieceSampler:
                 if SPACE in piece.lstrip(SPACE) or "\n" in piece:
                     raise ValueError(f"piece {piece!r} crosses a part's end")
                 self.plain.append(piece.replace(SPACE, " ").encode())
-                self.weights[piece] = (1.0 / (2.0 - model.get_score(i)), (i,))
-        self.longest = max(map(len, self.weights))
-        self.known: dict[str, Ends] = {}
-
-    def lattice(self, part: str) -> Ends:
-        """For each end from 1: starts, running sums of the weights, ids of the pieces that end there."""
-        weights, longest = self.weights, self.longest
-        alpha, ends = [1.0], []
-        for j in range(1, len(part) + 1):
-            starts, sums, ids, total = [], [], [], 0.0
-            for i in range(j - longest if j > longest else 0, j):
-                piece = weights.get(part[i:j])
-                if piece:
-                    total += alpha[i] * piece[0]
-                    starts.append(i)
-                    sums.append(total)
-                    ids.append(piece[1])
-            if not starts or starts[-1] != j - 1:  # a character without a piece
-                raw = part[j - 1].encode("utf-8", "surrogatepass")
-                total += alpha[j - 1] * BYTE_WEIGHT ** len(raw)
-                starts.append(j - 1)
-                sums.append(total)
-                ids.append(tuple(self.bytes_ids[b] for b in raw))
-            alpha.append(total)
-            ends.append((starts, sums, ids))
-            if total < 1e-150:  # only ratios within a piece's reach matter
-                for k in range(max(0, j - longest), j + 1):
-                    alpha[k] *= 1e140
-        return ends
+                weights[piece] = (1.0 / (2.0 - model.get_score(i)), i)
+        for b in range(128):
+            weights.setdefault(chr(b), (BYTE_WEIGHT, self.bytes_ids[b]))
+        self.weights, self.longest = weights, max(map(len, weights))
+        self._index()
 
-    def encode(self, text: str, key: object, seed: int = 0) -> list[int]:
-        """Piece ids of the text; key and seed fix the draws."""
-        if not text:
-            return []
-        out: list[int] = []
-        draw = random.Random(zlib.crc32(repr((seed, key)).encode()) | seed << 32).random
-        mark = tuple(self.bytes_ids[b] for b in SPACE.encode())  # the space mark itself as text: bytes, so that it is not read as a space
-        for k, piece in enumerate(text.split(SPACE)):
-            if k:
-                out += mark
-            self._sample((SPACE if k == 0 else "") + piece.replace(" ", SPACE), draw, out)
+    def _index(self) -> None:
+        """Two hash tables over the pieces' polynomial hashes; a piece stands in one of its two slots."""
+        pieces = list(self.weights)
+        self.hashes = np.array([self._hash(p) for p in pieces], np.uint64)
+        self.piece_weights = np.array([self.weights[p][0] for p in pieces] + [0.0])
+        self.piece_ids = np.array([self.weights[p][1] for p in pieces] + [-1], np.int64)
+        if len(set(self.hashes.tolist())) < len(pieces):
+            raise ValueError("two pieces share a hash")
+        self.hashes = np.append(self.hashes, np.uint64(0))
+        none, size = len(pieces), 1 << _SLOT_BITS
+        tables = [[none] * size, [none] * size]
+        for k in range(len(pieces)):
+            side = 0
+            for _ in range(500):
+                slot = (int(self.hashes[k]) * _MULTIPLIERS[side] & _U64) >> (64 - _SLOT_BITS)
+                k, tables[side][slot] = tables[side][slot], k
+                if k == none:
+                    break
+                side = 1 - side
+            else:
+                raise ValueError("the hash tables are too small")
+        self.tables = [np.array(t, np.int32) for t in tables]
+
+    @staticmethod
+    def _hash(text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * _BASE + ord(c) + 1) & _U64
+        return h
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Index of the piece with each hash, else of the empty entry at the end."""
+        out = None
+        for table, m in zip(self.tables, _MULTIPLIERS, strict=True):
+            at = table[(hashes * np.uint64(m)) >> np.uint64(64 - _SLOT_BITS)]
+            at = np.where(self.hashes[at] == hashes, at, len(self.hashes) - 1)
+            out = at if out is None else np.minimum(out, at)
         return out
 
-    def _sample(self, marked: str, draw, out: list[int]) -> None:  # noqa: ANN001
-        known = self.known
-        for part in _PARTS.findall(marked):
-            ends = known.get(part)
-            if ends is None:
-                ends = self.lattice(part)
-                if len(part) <= CACHE_CHARS:
-                    if len(known) >= CACHE_PARTS:
-                        known.clear()
-                    known[part] = ends
-            j, back = len(part), []
-            while j:
-                starts, sums, ids = ends[j - 1]
-                k = 0 if len(starts) == 1 else min(bisect_right(sums, draw() * sums[-1]), len(starts) - 1)
-                back.append(ids[k])
-                j = starts[k]
-            for piece in reversed(back):
-                out += piece
+    def _filter(self, parts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Forward filtering of parts of n characters: for each part and end, running shares and ids by piece length (-1: bytes of the character)."""
+        codes = np.array(parts, f"<U{n}").view(np.uint32).reshape(len(parts), n).astype(np.uint64)
+        prefix = np.zeros((len(parts), n + 1), np.uint64)
+        for j in range(n):
+            prefix[:, j + 1] = prefix[:, j] * np.uint64(_BASE) + codes[:, j] + np.uint64(1)
+        most = min(n, self.longest)
+        shares, ids = np.zeros((len(parts), n + 1, most)), np.full((len(parts), n + 1, most), -1, np.int32)
+        for k in range(1, most + 1):
+            at = self._find(prefix[:, k:] - prefix[:, :-k] * np.uint64(pow(_BASE, k, 1 << 64)))
+            shares[:, k:, k - 1], ids[:, k:, k - 1] = self.piece_weights[at], self.piece_ids[at]
+        raw = np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4))
+        shares[:, 1:, 0] = np.where(ids[:, 1:, 0] < 0, BYTE_WEIGHT**raw, shares[:, 1:, 0])
+        alpha = np.zeros((len(parts), n + 1))
+        alpha[:, 0] = 1.0
+        for j in range(1, n + 1):
+            k = min(j, most)
+            shares[:, j, :k] *= alpha[:, j - k : j][:, ::-1]
+            np.cumsum(shares[:, j], axis=1, out=shares[:, j])
+            alpha[:, j] = shares[:, j, -1]
+            shares[:, j] /= alpha[:, j, None]
+            if j % 8 == 0:  # only ratios within a piece's reach matter
+                alpha[:, max(0, j - most) : j + 1] /= alpha[:, j, None].copy()
+        return shares, ids
+
+    def _backward(self, shares: np.ndarray, ids: np.ndarray, which: np.ndarray, seeds: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Backward sampling for occurrences ``which`` of the parts: step by step, the occurrences that are still open and their pieces' ids."""
+        open_, at, rows, out = np.arange(len(which)), np.full(len(which), shares.shape[1] - 1), [], []
+        step = 0
+        while len(open_):
+            here = shares[which[open_], at]
+            k = np.minimum((here <= _uniform(seeds[open_], step)[:, None]).sum(axis=1), shares.shape[2] - 1)
+            got = ids[which[open_], at, k].astype(np.int64)
+            rows.append(open_)
+            out.append(np.where(got < 0, -at, got))
+            at = at - k - 1
+            open_, at, step = open_[at > 0], at[at > 0], step + 1
+        return rows, out
+
+    def encode_batch(self, texts: list[str], keys: list[object], seed: int = 0) -> list[np.ndarray]:
+        """Piece ids of each text; a text's key and the seed fix its draws, whatever else is in the batch."""
+        found: dict[str, int] = {}
+        flat, sizes, marks = [], [], []
+        for text in texts:
+            parts = []
+            for k, piece in enumerate(text.split(SPACE)) if text else ():
+                if k:  # the space mark itself as text: bytes, so that it is not read as a space
+                    marks.append(len(flat) + len(parts))
+                    parts.append(SPACE)
+                parts += _PARTS.findall((SPACE if k == 0 else "") + piece.replace(" ", SPACE))
+            flat += parts
+            sizes.append(len(parts))
+        part_of = np.array([found.setdefault(p, len(found)) for p in flat], np.int64)
+        number = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key_hash = np.array([zlib.crc32(repr((seed, k)).encode()) for k in keys], np.uint64)
+        seeds = _mixed(_mixed(np.repeat(key_hash, sizes) + np.uint64(seed << 32 & _U64)) + number.astype(np.uint64))
+        names = list(found)
+        lengths = np.array([len(p) for p in names], np.int64)
+        order = np.argsort(part_of, kind="stable")
+        starts = np.searchsorted(part_of[order], np.arange(len(names) + 1))
+        occ, step_no, ids = [], [], []
+        special = np.zeros(len(flat), bool)
+        special[marks] = True
+        for n in np.unique(lengths):
+            own = np.flatnonzero(lengths == n)
+            block = BLOCK if n <= ARRAY_CHARS else max(1, BLOCK * ARRAY_CHARS // int(n))
+            for lo in range(0, len(own), block):
+                some = own[lo : lo + block]
+                places = np.concatenate([order[starts[u] : starts[u + 1]] for u in some])
+                which = np.repeat(np.arange(len(some)), starts[some + 1] - starts[some])
+                keep = ~special[places]
+                places, which = places[keep], which[keep]
+                shares, table = self._filter([names[u] for u in some], int(n))
+                for at in range(0, len(places), 1 << 16):
+                    rows, got = self._backward(shares, table, which[at : at + (1 << 16)], seeds[places[at : at + (1 << 16)]])
+                    for step, (r, g) in enumerate(zip(rows, got, strict=True)):
+                        occ.append(places[at : at + (1 << 16)][r])
+                        step_no.append(np.full(len(r), step))
+                        ids.append(g)
+        for m in marks:
+            occ.append(np.array([m]))
+            step_no.append(np.array([0]))
+            ids.append(np.array([-1]))
+        if not occ:
+            return [np.zeros(0, np.int64) for _ in texts]
+        occ, step_no, ids = np.concatenate(occ), np.concatenate(step_no), np.concatenate(ids)
+        counts = np.bincount(occ, minlength=len(flat))
+        ends = np.cumsum(counts)
+        out = np.empty(len(ids), np.int64)
+        out[ends[occ] - 1 - step_no] = ids
+        own_part = np.repeat(np.arange(len(flat)), counts)
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(np.repeat(np.arange(len(texts)), sizes), weights=counts, minlength=len(texts)).astype(np.int64))))
+        result = []
+        for t in range(len(texts)):
+            got = out[bounds[t] : bounds[t + 1]]
+            low = np.flatnonzero(got < 0)  # characters without a piece, by their end within the part
+            if len(low):
+                pieces, last = [], 0
+                for i in low:
+                    char = flat[own_part[bounds[t] + i]][-got[i] - 1]
+                    pieces += [got[last:i], np.array([self.bytes_ids[b] for b in char.encode("utf-8", "surrogatepass")])]
+                    last = i + 1
+                got = np.concatenate([*pieces, got[last:]])
+            result.append(got)
+        return result
+
+    def encode(self, text: str, key: object, seed: int = 0) -> list[int]:
+        return self.encode_batch([text], [key], seed)[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text that the ids were made from: exactly, whatever was drawn."""
@@ -129,6 +231,22 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: Characters of texts that are sampled together.
+BATCH_CHARS = 4_000_000
+
+
+def bounded_slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts with about ``most`` characters together; a longer text stands alone."""
+    lo, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > lo and size + len(t) > most:
+            yield lo, i
+            lo, size = i, 0
+        size += len(t)
+    if len(texts) > lo:
+        yield lo, len(texts)
+
+
 ENCODED = "doc_id long, n_pieces long, ids binary, lossless boolean"
 
 
@@ -141,13 +259,12 @@ def sample_pieces(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = PieceSampler(model)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part, rows = batch.slice(lo, 500), []
-                for doc, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    ids = sampler.encode(text or "", doc, seed)
-                    rows.append((len(ids), np.array(ids, "<u4").tobytes(), sampler.decode(ids) == (text or "")))
-                counts, raw, same = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(raw, pa.binary()), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids", "lossless"])
+            docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for lo, hi in bounded_slices(texts, BATCH_CHARS):
+                found = sampler.encode_batch(texts[lo:hi], docs[lo:hi], seed)
+                same = [sampler.decode(ids.tolist()) == t for ids, t in zip(found, texts[lo:hi], strict=True)]
+                raw = [ids.astype("<u4").tobytes() for ids in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in found], pa.int64()), pa.array(raw, pa.binary()), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids", "lossless"])
 
     own = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     return own.mapInArrow(run, ENCODED)
