@@ -11,6 +11,8 @@ leaves a document's tail uncut: fewer, longer pieces against some padding.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,39 +25,62 @@ from papyrus.llm.common import pick
 PACKED = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Sequence ids of a partition start at its number times this.
 STRIDE = 1 << 33
-#: White-space-free chunks whose ids a worker remembers, and the longest one that it does.
-CACHE_CHUNKS, CACHE_CHARS = 400_000, 48
+#: White-space-free chunks and words whose ids a worker remembers, and the longest ones that it does.
+CACHE_CHUNKS, CACHE_WORDS, CACHE_CHARS = 300_000, 600_000, 48
+#: Chunks that only the whole tokenizer may split: letters beyond Latin, and what may hold a special token.
+_HARD = re.compile(r"[^\x00-\u012f\u0131-\u0233]|<\|")
+#: The tokenizer's own split, for lower-case text of the other characters.
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ʯ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ʯ0-9²³¹¼½¾]+")
 
 
 class ChunkTokenizer:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes, by a tokenizer that drops white space.
+    """Token ids of whole texts as little-endian unsigned 32-bit bytes, by a lower-casing tokenizer that drops white space.
 
-    Such a tokenizer treats every white-space-free chunk alone, so the ids of a chunk can be remembered.
+    Such a tokenizer treats every white-space-free chunk alone, and every word of a chunk, so the ids of both can be
+    remembered. New words go through the tokenizer in batches, without the normalizing that they have had.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core already
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        return [pa.array(e.ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(e.ids)] if e.ids else b"" for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    @staticmethod
+    def _ids(tokenizer, parts: list[str]) -> list[bytes]:  # noqa: ANN001
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        hard = [c for c in chunks if _HARD.search(c)]
+        self.chunks.update(zip(hard, self._ids(self.whole, hard), strict=True))
+        split = {c: _WORD.findall(c.lower()) for c in chunks if c not in self.chunks}
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        new = list({w for words in split.values() for w in words if w not in self.words})
+        self.words.update(zip(new, self._ids(self.bare, new), strict=True))
+        for c, words in split.items():
+            self.chunks[c] = b"".join([self.words[w] for w in words])
+        for w in new:
+            if len(w) > CACHE_CHARS:
+                del self.words[w]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # str.split() also splits at \x1c-\x1f, which the tokenizer takes for symbols.
         whole = {i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
         split = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        new = list({c for parts in split for c in parts if c not in self.known})
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.chunks.clear()
+        new = list({c for parts in split for c in parts if c not in self.chunks})
         for lo in range(0, len(new), 20_000):
-            self.known.update(zip(new[lo : lo + 20_000], self._ids(new[lo : lo + 20_000]), strict=True))
-        out = [self._ids([t])[0] if i in whole else b"".join(map(self.known.__getitem__, split[i])) for i, t in enumerate(texts)]
+            self._learn(new[lo : lo + 20_000])
+        out = [self._ids(self.whole, [t])[0] if i in whole else b"".join(map(self.chunks.__getitem__, split[i])) for i, t in enumerate(texts)]
         for c in new:
             if len(c) > CACHE_CHARS:
-                del self.known[c]
+                del self.chunks[c]
         return out
 
 
