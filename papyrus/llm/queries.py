@@ -51,7 +51,7 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the pages as WARC files to the shared folder and reads them back."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    found = warc.read_archive(spark, path).where(F.col("record_type").isin("response", "revisit"))
+    found = warc.read_archive(spark, path, "record_type in ('response', 'revisit')")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

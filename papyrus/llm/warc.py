@@ -106,11 +106,11 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.filters = options["path"], []
         self.payload = options.get("payload", "true").lower() != "false"
-        self.bytes = int(options.get("partitionBytes", 64 << 20))
+        self.bytes, self.pushdown = int(options.get("partitionBytes", 64 << 20)), options.get("pushdown", "true").lower() != "false"
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         for f in filters:
-            known = isinstance(f, (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, IsNotNull))
+            known = self.pushdown and isinstance(f, (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, IsNotNull))
             if known and len(f.attribute) == 1 and f.attribute[0] in self.HEADERS:
                 self.filters.append(f)
             else:
@@ -201,7 +201,16 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
 
-def read_archive(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, where: str | None = None, **options: str) -> DataFrame:
+    """The records of an archive; ``where`` is a condition on the header columns that the reader applies itself.
+
+    Spark keeps the filters that were pushed into a loaded relation for its later queries too. So every call loads anew,
+    only ``where`` is pushed, and filters that a caller adds later stay above it.
+    """
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").options(path=path, **options).load()
+    loaded = spark.read.format("warc").options(path=path, pushdown=str(where is not None).lower(), **options).load()
+    if where is None:
+        return loaded
+    mark = "_record"  # not deterministic: filters do not pass it
+    return loaded.where(where).withColumn(mark, F.monotonically_increasing_id()).where(F.col(mark) >= 0).drop(mark)

@@ -36,10 +36,15 @@ def test_round_trip(spark, pages, tmp_path):
 
 def test_filters_and_skipped_payloads(spark, pages, tmp_path):
     warc.write_archive(pages, f"file://{tmp_path}/w")
-    df = warc.read_archive(spark, f"file://{tmp_path}/w")
+    path = f"file://{tmp_path}/w"
+    some = warc.read_archive(spark, path, "page_id > 6 and record_type in ('response')")
+    assert sorted(r["page_id"] for r in some.collect()) == [7, 8, 9]
+    assert [r["page_id"] for r in some.where("page_id = 8").collect()] == [8]
+    assert some.count() == 3
+    df = warc.read_archive(spark, path)
     assert [r["page_id"] for r in df.where("record_type = 'revisit'").collect()] == [5]
-    assert sorted(r["page_id"] for r in df.where("page_id > 6 and record_type in ('response')").collect()) == [7, 8, 9]
-    bare = warc.read_archive(spark, f"file://{tmp_path}/w", payload="false")
+    assert df.count() == 9
+    bare = warc.read_archive(spark, path, payload="false")
     assert bare.where(F.col("payload").isNotNull()).count() == 0
     assert bare.agg(F.sum("payload_bytes")).first()[0] == df.agg(F.sum("payload_bytes")).first()[0]
     reader = warc.WarcReader({"path": f"{tmp_path}/w"})
