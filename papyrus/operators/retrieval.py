@@ -111,3 +111,33 @@ def analysis_prompts(papers: DataFrame, most: int = 3000) -> DataFrame:
     cut = F.when(F.length(used) > most, F.concat(F.substring(used, 1, most), F.lit("... [truncated]"))).otherwise(used)
     prompt = F.concat(F.lit("Title: "), F.coalesce("title", F.lit("")), F.lit("\nText: "), cut)
     return papers.select("doc_id", F.length(prompt).alias("n_chars"), (F.length(used) > most).alias("truncated"), F.md5(prompt).alias("md5"))
+
+
+# Questions that are always asked, and the insight questions by category.
+FIXED_QUESTIONS = [
+    "What are the main research methodologies used in these papers?",
+    "What are the key findings and results reported?",
+    "What are the current limitations and challenges in this field?",
+    "What future research directions are suggested?",
+    "How has the research evolved over time?",
+]
+
+
+def generated_questions(papers: DataFrame, years: DataFrame) -> DataFrame:
+    """(question_id, question): the fixed ones, one on the three most frequent keywords, one on the years if there are several."""
+    spark = papers.sparkSession
+    fixed = spark.createDataFrame(list(enumerate(FIXED_QUESTIONS)), "question_id int, question string")
+    best = papers.groupBy("keyword").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "keyword").limit(3)
+    listed = best.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "keyword"))), lambda x: x["keyword"]), ", ").alias("k")).where("k <> ''")
+    span = years.agg(F.min("year").alias("lo"), F.max("year").alias("hi")).where("lo < hi")
+    more = listed.select(F.lit(5).alias("question_id"), F.concat(F.lit("How do these papers treat "), "k", F.lit("?")).alias("question"))
+    time = span.select(F.lit(6).alias("question_id"), F.concat(F.lit("What changed between "), F.col("lo").cast("string"), F.lit(" and "), F.col("hi").cast("string"), F.lit("?")).alias("question"))
+    return fixed.unionByName(more).unionByName(time)
+
+
+def corpus_context(papers: DataFrame, k: int = 20, most: int = 200) -> DataFrame:
+    """One row: the first k papers' titles and abstracts (cut at ``most``) as one text, with a note on the rest."""
+    first = papers.orderBy("doc_id").limit(k).select("doc_id", F.concat(T.shortened(F.coalesce("title", F.lit("")), 50), F.lit(": "), T.shortened(F.coalesce("abstract", F.lit("")), most)).alias("line"))
+    text = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), "\n").alias("context"))
+    rest = papers.agg(F.greatest(F.count("*") - k, F.lit(0)).alias("rest"))
+    return text.join(F.broadcast(rest)).select(F.length("context").alias("n_chars"), F.md5("context").alias("md5"), "rest")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from papyrus.functions.stats import histogram
 from papyrus.operators import attempts as A
-from papyrus.operators import corpus, derived, enrichment, frequency, graph, ingest, learning, retrieval, scoring, sentiment, similarity, trends
+from papyrus.operators import corpus, derived, enrichment, frequency, graph, ingest, learning, retrieval, scoring, sentiment, similarity, topics, trends
 from papyrus.plans.oracles import ORACLES
 from papyrus.sources.views import attempts, dated_papers, papers, scores, table
 from papyrus.streaming import events as S
@@ -316,6 +317,34 @@ def revenue_by_journal_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_order.groupBy(F.col("o_orderpriority").alias("journal"), "year").agg(F.round(F.sum("amount"), 2).alias("revenue"), F.count("*").alias("papers"))
 
 
+def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journals as topics: their ten most frequent terms with the share of the ten as weight."""
+    best = frequency.top_terms_by_journal(papers(spark, sf_dir))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("journal"))
+    return best.select(F.col("journal").alias("topic"), "rank", F.col("term").alias("word"), F.round(share, 6).alias("weight"))
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent title terms, as names."""
+    return frequency.title_terms(papers(spark, sf_dir), 12).select(F.concat(F.lit("The "), "term").alias("entity"))
+
+
+QUERIES |= {
+    "topic_word_pairs": lambda s, d: topics.word_pairs(_topics(s, d)),
+    "topic_entity_links": lambda s, d: topics.entity_links(_topics(s, d), _entities(s, d)),
+    "topic_entity_positions": lambda s, d: topics.positional_links(_topics(s, d), _entities(s, d)),
+    "topic_word_stats": lambda s, d: topics.word_statistics(_topics(s, d)),
+    "topic_quality": lambda s, d: topics.topic_quality(_topics(s, d)),
+    "weakest_topics": lambda s, d: topics.weakest(_topics(s, d)),
+    "word_length_bins": lambda s, d: topics.length_weight_bins(_topics(s, d)),
+    "dbscan_components": lambda s, d: topics.density_clusters(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))),
+    "label_similarity": lambda s, d: topics.label_similarity(table(s, d, "embeddings").select("label", F.col("embedding").alias("v"))),
+    "generated_questions": lambda s, d: retrieval.generated_questions(papers(s, d), dated_papers(s, d)),
+    "corpus_context": lambda s, d: retrieval.corpus_context(papers(s, d)),
+    "response_length_hist": lambda s, d: histogram(table(s, d, "conversations").where("role = 'assistant'").select(F.length("text").alias("n")), "n", 20),
+}
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

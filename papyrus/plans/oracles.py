@@ -34,7 +34,21 @@ EDGES = "e AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*) AS weight
 ENDS = "ends AS (SELECT src AS node, dst AS other, weight FROM e UNION ALL SELECT dst, src, weight FROM e)"
 W = "WITH "
 
+TOPICS = f"{PAPERS}, tt AS (SELECT journal AS topic, w AS word, count(*) AS n, row_number() OVER (PARTITION BY journal ORDER BY count(*) DESC, w) AS rank FROM (SELECT journal, unnest({_words('abstract')}) AS w FROM papers) WHERE w NOT IN {_in(T.ABSTRACT_STOPS)} GROUP BY 1, 2 QUALIFY rank <= 10), topics AS (SELECT topic, word, rank, round(n / sum(n) OVER (PARTITION BY topic), 6) AS weight FROM tt)"
+ENTITIES = f"entities AS (SELECT 'The ' || w AS entity FROM (SELECT unnest({_words('title')}) AS w FROM papers) WHERE w NOT IN {_in(T.TITLE_STOPS)} GROUP BY w ORDER BY count(*) DESC, w LIMIT 12)"
+
 ORACLES: dict[str, str] = {
+    "topic_word_pairs": f"{W}{TOPICS}, f AS (SELECT topic, word FROM topics WHERE rank <= 5), b AS (SELECT word FROM f GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 15) SELECT x.word AS a, y.word AS b, count(*) AS n FROM f x JOIN f y ON x.topic = y.topic AND x.word < y.word WHERE x.word IN (FROM b) AND y.word IN (FROM b) GROUP BY 1, 2 HAVING count(*) > 1",
+    "topic_entity_links": f"{W}{TOPICS}, {ENTITIES} SELECT topic, entity, count(*) AS weight FROM topics JOIN entities ON contains(lower(entity), word) GROUP BY 1, 2",
+    "topic_entity_positions": f"{W}{TOPICS}, {ENTITIES}, t AS (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS i FROM (SELECT DISTINCT topic FROM topics)), e AS (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS i FROM entities) SELECT topic, entity FROM t JOIN e ON e.i // 2 = t.i",
+    "topic_word_stats": f"{W}{TOPICS} SELECT word, count(*) AS n, round(avg(weight), 4) AS mean, round(stddev_samp(weight), 4) AS std FROM topics GROUP BY 1 ORDER BY mean DESC, word LIMIT 10",
+    "topic_quality": f"{W}{TOPICS} SELECT topic, round(avg(weight) FILTER (rank <= 5), 4) AS coherence, round(count(DISTINCT word) / 10, 4) AS variety, round(avg(weight), 4) AS mean, round(stddev_pop(weight), 4) AS std FROM topics GROUP BY 1",
+    "weakest_topics": f"{W}{TOPICS} SELECT topic, round(avg(weight) FILTER (rank <= 5), 4) AS coherence FROM topics GROUP BY 1 ORDER BY 2, 1 LIMIT 3",
+    "word_length_bins": f"{W}{TOPICS} SELECT length(word) AS length, CAST(least(floor(weight * 10 / (SELECT max(weight) FROM topics)), 9) AS INTEGER) AS bin, count(*) AS n FROM topics GROUP BY 1, 2",
+    "dbscan_components": "WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT a.id, b.id AS other, round(list_distance(a.e, b.e), 9) AS d FROM v a JOIN v b ON a.id <> b.id), p AS (SELECT quantile_cont(m, 0.95) AS eps FROM (SELECT min(d) AS m FROM d GROUP BY id)), l AS (SELECT id, other FROM d, p WHERE d <= eps), r(id, reached) AS (SELECT id, id FROM l UNION SELECT r.id, l.other FROM r JOIN l ON l.id = r.reached) SELECT v.id, coalesce(c, -1) AS cluster FROM v LEFT JOIN (SELECT id, min(reached) AS c FROM r GROUP BY 1) USING (id)",
+    "generated_questions": "SELECT question_id, question FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(retrieval.FIXED_QUESTIONS)) + ") v(question_id, question) UNION ALL SELECT 5, 'How do these papers treat ' || string_agg(lang, ', ' ORDER BY n DESC, lang) || '?' FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3) UNION ALL SELECT 6, 'What changed between ' || min(year(o_orderdate)) || ' and ' || max(year(o_orderdate)) || '?' FROM orders",
+    "corpus_context": f"{W}{PAPERS}, l AS (SELECT doc_id, (CASE WHEN length(title) > 50 THEN left(title, 50) || '...' ELSE title END) || ': ' || (CASE WHEN length(abstract) > 200 THEN left(abstract, 200) || '...' ELSE abstract END) AS line FROM papers ORDER BY doc_id LIMIT 20), c AS (SELECT string_agg(line, chr(10) ORDER BY doc_id) AS c FROM l) SELECT length(c) AS n_chars, md5(c) AS md5, (SELECT count(*) FROM documents) - 20 AS rest FROM c",
+    "response_length_hist": "WITH x AS (SELECT CAST(length(text) AS DOUBLE) AS v FROM conversations WHERE role = 'assistant'), b AS (SELECT min(v) AS lo, max(v) AS hi, 20 AS bins FROM x), p AS (SELECT least(floor((v - lo) / ((hi - lo) / bins)), bins - 1) AS bin, lo, (hi - lo) / bins AS width FROM x, b) SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, round(first(lo + bin * width), 4) AS low FROM p GROUP BY bin",
     "search_limit": f"{W}{PAPERS} SELECT doc_id, pmid, CASE WHEN length(title) > 50 THEN left(title, 50) || '...' ELSE title END AS title FROM papers WHERE contains(lower(abstract), 'licensed') ORDER BY doc_id LIMIT 25 OFFSET 5",
     "batch_numbers": "SELECT batch, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS batch FROM documents) GROUP BY batch",
     "coverage_stats": f"{W}{PAPERS} SELECT count(*) AS total, count(*) FILTER ({HAS}) AS with_abstract, count(*) FILTER (NOT coalesce({HAS}, false)) AS without_abstract, round(coalesce(count(*) FILTER ({HAS}) * 100.0 / nullif(count(*), 0), 0), 4) AS percent, round(coalesce(avg(length(abstract)) FILTER (length(abstract) > 0), 0), 4) AS mean_length FROM papers",
