@@ -75,3 +75,10 @@ def flesch_by_journal(papers: DataFrame) -> DataFrame:
 def normalized_table(papers: DataFrame) -> DataFrame:
     t = T.normalized(F.col("abstract"))
     return papers.select("doc_id", F.length(t).alias("n_chars"), F.md5(t).alias("md5"), T.shortened(F.col("title"), 30).alias("label"), T.clean_pmid(F.col("pmid")).alias("clean_pmid"))
+
+
+def overview(papers: DataFrame) -> DataFrame:
+    """(measure, value): papers, those with an abstract and with 100 characters or more, journals, languages, texts with a full stop."""
+    t = F.coalesce("abstract", F.lit(""))
+    one = papers.agg(F.count("*").alias("papers"), F.count_if(T.filled(F.col("abstract"))).alias("with_abstract"), F.count_if(F.length(t) >= 100).alias("long"), F.count_distinct("journal").alias("journals"), F.count_distinct("keyword").alias("languages"), F.count_if(F.contains(t, F.lit("."))).alias("with_sentences"))
+    return one.unpivot([], one.columns, "measure", "value")

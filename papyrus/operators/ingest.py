@@ -100,3 +100,11 @@ def markdown(pages: DataFrame, least: int = 100) -> DataFrame:
 def sink_statistics(rows: DataFrame, content: str) -> DataFrame:
     """One row: files and their total size in MiB."""
     return rows.agg(F.count("*").alias("files"), F.round(F.coalesce(F.sum(F.octet_length(content)), F.lit(0)) / 1048576, 2).alias("total_mb"))
+
+
+def recover_abstract(markup: Column) -> Column:
+    """First <abstract> body, else the AbstractText bodies joined by spaces, else what follows an Abstract or Summary heading (over 50 characters, cut to 1000); null without any."""
+    first = F.trim(F.regexp_extract(markup, r"(?is)<abstract[^>t]*>(.*?)</abstract>", 1))
+    texts = F.array_join(F.regexp_extract_all(markup, F.lit(r"(?is)<abstracttext[^>]*>(.*?)</abstracttext>"), F.lit(1)), " ")
+    headed = [F.trim(F.regexp_extract(markup, p, 1)) for p in FALLBACK_PATTERNS]
+    return F.coalesce(F.nullif(first, F.lit("")), F.nullif(texts, F.lit("")), *[F.when(F.length(h) > 50, F.substring(h, 1, 1000)) for h in headed])

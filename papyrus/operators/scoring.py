@@ -74,3 +74,15 @@ def response_statistics(responses: DataFrame) -> DataFrame:
     n, turn = F.length("text").cast("double"), F.col("turn").cast("double")
     corr = F.try_divide(F.covar_pop(n, turn), F.stddev_pop(n) * F.stddev_pop(turn))
     return responses.groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg(n), 4).alias("mean_length"), F.round(F.avg("turn"), 4).alias("mean_turn"), F.when(F.count("*") > 2, F.round(corr, 4)).alias("corr"))
+
+
+def density(ranking: DataFrame, value: str = "composite", points: int = 21, high: float = 10.0) -> DataFrame:
+    """(place, density): Gaussian kernel density of the values at ``points`` places from 0 to ``high``; bandwidth by Scott's rule.
+
+    The places are a fixed list inside each row; a task's rows are summed before anything is shuffled.
+    """
+    width = ranking.agg((F.stddev_samp(value) * F.pow(F.count(value), F.lit(-0.2))).alias("h"), F.count(value).alias("n"))
+    places = F.explode(F.array(*[F.lit(high * k / (points - 1)) for k in range(points)]))
+    z = (F.col("place") - F.col(value)) / F.col("h")
+    rows = ranking.where(F.col(value).isNotNull()).select(value, places.alias("place")).join(F.broadcast(width))  # width is one row
+    return rows.groupBy("place").agg(F.round(F.sum(F.exp(-z * z / 2)) / (F.first("n") * F.first("h") * F.sqrt(2 * F.pi())), 4).alias("density"))

@@ -79,3 +79,11 @@ def label_similarity(vectors: DataFrame) -> DataFrame:
     means = flat.groupBy("label", "d").agg(F.avg("x").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("m"))
     a, b = means.select(F.col("label").alias("a"), unit(F.col("m")).alias("x")), means.select(F.col("label").alias("b"), unit(F.col("m")).alias("y"))
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(inner(F.col("x"), F.col("y")), 6).alias("cosine"))
+
+
+def coherence_sentiment(topics: DataFrame, rated: DataFrame) -> DataFrame:
+    """One row: slope and correlation of topics' coherence against the mean polarity of their papers (null where either is constant). rated: topic, polarity."""
+    c = topics.where("rank <= 5").groupBy("topic").agg(F.avg("weight").alias("c"))
+    p = rated.groupBy("topic").agg(F.avg("polarity").alias("p"))
+    both = c.join(p, ["topic"])
+    return both.agg(F.count("*").alias("topics"), F.round(F.try_divide(F.covar_pop("c", "p"), F.var_pop("p")), 4).alias("slope"), F.round(F.try_divide(F.covar_pop("c", "p"), F.stddev_pop("c") * F.stddev_pop("p")), 4).alias("r"))

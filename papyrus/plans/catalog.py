@@ -307,6 +307,15 @@ def access_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count("*").alias("n"), F.count_if(F.col("pdf_url").startswith("https://")).alias("with_url"), F.count_if("retracted").alias("retracted"))
 
 
+@query
+def abstract_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each paper's text in one of four forms of markup, recovered."""
+    t, k = ingest.escaped(F.col("abstract")), F.pmod("doc_id", F.lit(4))
+    markup = F.when(k == 0, F.concat(F.lit("<Abstract> "), t, F.lit(" </Abstract>"))).when(k == 1, F.concat(F.lit("<AbstractText Label='A'>"), t, F.lit("</AbstractText><AbstractText>b</AbstractText>"))).when(k == 2, F.lit("Abstract: short Keywords: x")).otherwise(F.lit("none"))
+    got = papers(spark, sf_dir).select("doc_id", ingest.recover_abstract(markup).alias("a"))
+    return got.select("doc_id", F.length("a").alias("n_chars"), F.md5("a").alias("md5"))
+
+
 @query
 def revenue_by_journal_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A two-table join and aggregate: line items by their order's priority and year."""
@@ -338,6 +347,9 @@ QUERIES |= {
     "weakest_topics": lambda s, d: topics.weakest(_topics(s, d)),
     "word_length_bins": lambda s, d: topics.length_weight_bins(_topics(s, d)),
     "dbscan_components": lambda s, d: topics.density_clusters(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))),
+    "coherence_sentiment": lambda s, d: topics.coherence_sentiment(_topics(s, d), papers(s, d).select(F.col("journal").alias("topic"), F.round(sentiment.polarity(F.col("abstract")), 6).alias("polarity"))),
+    "corpus_overview": lambda s, d: corpus.overview(papers(s, d)),
+    "score_density": lambda s, d: scoring.density(scoring.composites(scores(s, d))),
     "label_similarity": lambda s, d: topics.label_similarity(table(s, d, "embeddings").select("label", F.col("embedding").alias("v"))),
     "generated_questions": lambda s, d: retrieval.generated_questions(papers(s, d), dated_papers(s, d)),
     "corpus_context": lambda s, d: retrieval.corpus_context(papers(s, d)),

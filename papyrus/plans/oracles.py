@@ -45,6 +45,10 @@ ORACLES: dict[str, str] = {
     "topic_quality": f"{W}{TOPICS} SELECT topic, round(avg(weight) FILTER (rank <= 5), 4) AS coherence, round(count(DISTINCT word) / 10, 4) AS variety, round(avg(weight), 4) AS mean, round(stddev_pop(weight), 4) AS std FROM topics GROUP BY 1",
     "weakest_topics": f"{W}{TOPICS} SELECT topic, round(avg(weight) FILTER (rank <= 5), 4) AS coherence FROM topics GROUP BY 1 ORDER BY 2, 1 LIMIT 3",
     "word_length_bins": f"{W}{TOPICS} SELECT length(word) AS length, CAST(least(floor(weight * 10 / (SELECT max(weight) FROM topics)), 9) AS INTEGER) AS bin, count(*) AS n FROM topics GROUP BY 1, 2",
+    "coherence_sentiment": f"{W}{TOPICS}, {LEX}, c AS (SELECT topic, avg(weight) AS c FROM topics WHERE rank <= 5 GROUP BY 1), r AS (SELECT doc_id, avg(p) AS p FROM (SELECT doc_id, unnest({_words('text')}) AS w FROM documents) JOIN lex USING (w) GROUP BY 1), p AS (SELECT source AS topic, avg(round(coalesce(p, 0), 6)) AS p FROM documents LEFT JOIN r USING (doc_id) GROUP BY 1) SELECT count(*) AS topics, round(covar_pop(c, p) / nullif(var_pop(p), 0), 4) AS slope, round(covar_pop(c, p) / nullif(stddev_pop(c) * stddev_pop(p), 0), 4) AS r FROM c JOIN p USING (topic)",
+    "corpus_overview": f"{W}{PAPERS}, o AS (SELECT count(*) AS papers, count(*) FILTER ({HAS}) AS with_abstract, count(*) FILTER (length(abstract) >= 100) AS long, count(DISTINCT journal) AS journals, count(DISTINCT keyword) AS languages, count(*) FILTER (contains(abstract, '.')) AS with_sentences FROM papers) SELECT measure, value FROM o UNPIVOT (value FOR measure IN (papers, with_abstract, long, journals, languages, with_sentences))",
+    "score_density": f"{W}{SCORES}, k AS (SELECT round((0.25 * q + 0.10 * c + 0.20 * i) / 0.55, 6) AS x FROM sc), h AS (SELECT stddev_samp(x) * pow(count(x), -0.2) AS h, count(x) AS n FROM k), g AS (SELECT 10.0::DOUBLE * i / 20 AS place FROM range(21) t(i)) SELECT place, round(sum(exp(-pow((place - x) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 4) AS density FROM k, h, g GROUP BY place",
+    "abstract_recovery": "WITH a AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN nullif(trim(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')), '') WHEN 1 THEN replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || ' b' END AS a FROM documents) SELECT doc_id, length(a) AS n_chars, md5(a) AS md5 FROM a",
     "dbscan_components": "WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT a.id, b.id AS other, round(list_distance(a.e, b.e), 9) AS d FROM v a JOIN v b ON a.id <> b.id), p AS (SELECT quantile_cont(m, 0.95) AS eps FROM (SELECT min(d) AS m FROM d GROUP BY id)), l AS (SELECT id, other FROM d, p WHERE d <= eps), r(id, reached) AS (SELECT id, id FROM l UNION SELECT r.id, l.other FROM r JOIN l ON l.id = r.reached) SELECT v.id, coalesce(c, -1) AS cluster FROM v LEFT JOIN (SELECT id, min(reached) AS c FROM r GROUP BY 1) USING (id)",
     "generated_questions": "SELECT question_id, question FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(retrieval.FIXED_QUESTIONS)) + ") v(question_id, question) UNION ALL SELECT 5, 'How do these papers treat ' || string_agg(lang, ', ' ORDER BY n DESC, lang) || '?' FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3) UNION ALL SELECT 6, 'What changed between ' || min(year(o_orderdate)) || ' and ' || max(year(o_orderdate)) || '?' FROM orders",
     "corpus_context": f"{W}{PAPERS}, l AS (SELECT doc_id, (CASE WHEN length(title) > 50 THEN left(title, 50) || '...' ELSE title END) || ': ' || (CASE WHEN length(abstract) > 200 THEN left(abstract, 200) || '...' ELSE abstract END) AS line FROM papers ORDER BY doc_id LIMIT 20), c AS (SELECT string_agg(line, chr(10) ORDER BY doc_id) AS c FROM l) SELECT length(c) AS n_chars, md5(c) AS md5, (SELECT count(*) FROM documents) - 20 AS rest FROM c",
