@@ -100,6 +100,8 @@ def assess(docs: DataFrame, ratios: DataFrame, buckets: int = BUCKETS, threshold
     step = step.select(*counted, "n_words", places.alias("places"), grams.alias("grams"), table.alias("ratios"))
     total = F.aggregate("grams", F.lit(0.0), lambda acc, g: acc + F.get("ratios", g.cast("int")))
     score = F.coalesce(F.round(F.try_divide(total, F.size("grams")), 9), F.lit(0.0))
+    # Not deterministic to Catalyst, so no filter on the verdict is pushed below this step: it would repeat the steps' expressions within each other.
+    score = F.when(F.monotonically_increasing_id() >= 0, score)
     step = step.select(*counted, "n_words", covered.alias("n_repeat_words"), score.alias("score"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return step.select("doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score", (~failed & (F.col("score") >= threshold)).alias("kept"))
