@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
-from papyrus.llm.common import pick
+from papyrus.llm.common import checkpointed, pick
 
 #: Payloads of fewer bytes are never replaced by a revisit.
 LEAST_BYTES = 100
+#: Repeated digests that are broadcast at most (about 100 bytes each); with more of them the pages are shuffled by digest.
+MAX_BROADCAST = 200_000
 SCHEMA = "record_type string, page_id long, target_uri string, payload_bytes long, payload_digest string, refers_to long, payload string"
 END = "\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -40,7 +42,9 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     own = own.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha2("html", 256))
     # Only the digests that occur again are joined; a hot one is a single row here, however many pages it has.
     again = own.where(F.col("payload_bytes") >= LEAST_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    joined = own.join(again.where("n > 1 and first_id is not null").drop("n"), ["payload_digest"], "left")
+    again = checkpointed(again.where("n > 1 and first_id is not null").drop("n"))
+    few = again.count() <= MAX_BROADCAST
+    joined = own.join(F.broadcast(again) if few else again, ["payload_digest"], "left")
     revisits = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisits, F.col("first_id")).alias("refers_to"))
 
