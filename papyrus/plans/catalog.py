@@ -290,9 +290,9 @@ def article_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = F.when(n % 2 == 0, F.get(months, (n % 12).cast("int"))).otherwise((n % 12 + 1).cast("string"))
     doi = F.when(n % 2 == 0, F.concat(F.lit("<ArticleId IdType='doi'>10.1/"), n.cast("string"), F.lit("</ArticleId>"))).otherwise("")
     xml = F.concat(
-        F.lit("<PubmedArticle><PMID>"), n.cast("string"), F.lit("</PMID><Journal><Title>"), ingest.escaped(F.col("journal")), F.lit("</Title></Journal><PubDate><Year>"), (2000 + n % 20).cast("string"), F.lit("</Year><Month>"), month, F.lit("</Month><Day>"),
+        F.lit("<Article><PMID>"), n.cast("string"), F.lit("</PMID><Journal><Title>"), ingest.escaped(F.col("journal")), F.lit("</Title></Journal><PubDate><Year>"), (2000 + n % 20).cast("string"), F.lit("</Year><Month>"), month, F.lit("</Month><Day>"),
         (n % 28 + 1).cast("string"), F.lit("</Day></PubDate><ArticleTitle>"), ingest.escaped(F.col("title")), F.lit("</ArticleTitle><Abstract><AbstractText Label='A'>"), ingest.escaped(F.col("abstract")),
-        F.lit("</AbstractText></Abstract><AuthorList><Author><LastName>Smith</LastName><ForeName>A"), n.cast("string"), F.lit("</ForeName></Author><Author><LastName>Doe</LastName></Author></AuthorList>"), doi, F.lit("</PubmedArticle>"),
+        F.lit("</AbstractText></Abstract><AuthorList><Author><LastName>Smith</LastName><ForeName>A"), n.cast("string"), F.lit("</ForeName></Author><Author><LastName>Doe</LastName></Author></AuthorList>"), doi, F.lit("</Article>"),
     )
     return ingest.parse_articles(papers(spark, sf_dir).select(xml.alias("xml"))).select("pmid", "journal", "pub_date", "doi", "authors")
 
