@@ -33,35 +33,47 @@ _HARD = re.compile(r"[^\x00-\u012f\u0131-\u0233]|<\|")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ʯ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ʯ0-9²³¹¼½¾]+")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others, in order, for the characters from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
 class ChunkTokenizer:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, by a lower-casing tokenizer that drops white space.
 
     Such a tokenizer treats every white-space-free chunk alone, and every word of a chunk, so the ids of both can be
-    remembered. New words go through the tokenizer in batches, without the normalizing that they have had.
+    remembered. New words go to the tokenizer's model itself, without the normalizing and splitting that they have had.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core already
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.whole, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    @staticmethod
-    def _ids(tokenizer, parts: list[str]) -> list[bytes]:  # noqa: ANN001
-        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _word_ids(self, word: str) -> bytes:
+        plain = word.isascii() and word.isprintable()
+        return array("I", [t.id for t in self.model.tokenize(word if plain else word.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
 
     def _learn(self, chunks: list[str]) -> None:
         hard = [c for c in chunks if _HARD.search(c)]
-        self.chunks.update(zip(hard, self._ids(self.whole, hard), strict=True))
+        self.chunks.update(zip(hard, self._ids(hard), strict=True))
         split = {c: _WORD.findall(c.lower()) for c in chunks if c not in self.chunks}
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         new = list({w for words in split.values() for w in words if w not in self.words})
-        self.words.update(zip(new, self._ids(self.bare, new), strict=True))
+        self.words.update({w: self._word_ids(w) for w in new})
         for c, words in split.items():
             self.chunks[c] = b"".join([self.words[w] for w in words])
         for w in new:
@@ -77,7 +89,7 @@ class ChunkTokenizer:
         new = list({c for parts in split for c in parts if c not in self.chunks})
         for lo in range(0, len(new), 20_000):
             self._learn(new[lo : lo + 20_000])
-        out = [self._ids(self.whole, [t])[0] if i in whole else b"".join(map(self.chunks.__getitem__, split[i])) for i, t in enumerate(texts)]
+        out = [self._ids([t])[0] if i in whole else b"".join(map(self.chunks.__getitem__, split[i])) for i, t in enumerate(texts)]
         for c in new:
             if len(c) > CACHE_CHARS:
                 del self.chunks[c]
