@@ -132,5 +132,5 @@ ORACLES: dict[str, str] = {
     "access_records": "SELECT count(*) AS n, count(*) FILTER (l.quality = 1) AS with_url, count(*) FILTER (l.toxic = 1) AS retracted FROM labels l",
     "windows_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "windows_session": "WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, sid",
-    "revenue_by_journal_year": "SELECT o_orderpriority AS journal, CAST(year(o_orderdate) AS INTEGER) AS year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(DISTINCT o_orderkey) AS papers FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2",
+    "revenue_by_journal_year": "SELECT o_orderpriority AS journal, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS revenue, count(DISTINCT o_orderkey) AS papers FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2",
 }
