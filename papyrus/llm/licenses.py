@@ -46,8 +46,8 @@ TEMPLATES = [
 
 #: Bytes to words: A-Z to lower case; \\x00-\\x2F, \\x3A-\\x60 and \\x7B-\\x7F separate (after lower-casing).
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: How many of a file's rarest template words are looked up, how far an alignment may shift, least share of a template's weight.
-RAREST, SLACK, LEAST = 12, 3, 0.55
+#: How far an alignment may shift, least share of a template's weight.
+SLACK, LEAST = 3, 0.55
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -86,16 +86,37 @@ class Scanner:
     def __init__(self, frequencies: dict[bytes, int]) -> None:
         n = max(1, frequencies.get(b"", 0))
         self.weight = {w: math.log((n + 1) / (frequencies.get(w, 0) + 1)) + 1e-6 for w in VOCABULARY}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.total = []
-        for t, (_, words, _) in enumerate(_TEMPLATES):
-            self.total.append(sum(self.weight[w] for w in words))
-            for k, w in enumerate(words):
-                self.postings[w].append((t, k))
-
-    @staticmethod
-    def _stands(words: list[bytes], phrase: tuple[bytes, ...], lo: int, hi: int) -> bool:
-        return any(words[i] == phrase[0] and tuple(words[i : i + len(phrase)]) == phrase for i in range(max(0, lo), min(hi, len(words) - len(phrase) + 1)))
+        self.total = [sum(self.weight[w] for w in words) for _, words, _ in _TEMPLATES]
+        #: Of each template: its rarest words with their positions, and the weight of the others, which is too low without them.
+        self.rare: list[list[tuple[bytes, int]]] = []
+        self.rest: list[float] = []
+        for (_, words, _), total in zip(_TEMPLATES, self.total, strict=True):
+            rare, rest = [], total
+            for k, w in sorted(enumerate(words), key=lambda e: (-self.weight[e[1]], e[0])):
+                if rest < LEAST * total * (1 - 1e-9):
+                    break
+                rare.append((w, k))
+                rest -= self.weight[w]
+            self.rare.append(rare)
+            self.rest.append(rest)
+        #: Of each template: its mandatory phrases with the place of their rarest word.
+        self.phrases = [[(p, max(range(len(p)), key=lambda j, p=p: self.weight[p[j]])) for p in phrases] for _, _, phrases in _TEMPLATES]
+
+    def _shifts(self, t: int, words: list[bytes], at: dict[bytes, list[int]]) -> list[int]:
+        """Every alignment of template t that has a mandatory phrase near it and may reach the least share, those with most votes first."""
+        size, near = len(_TEMPLATES[t][1]), set()
+        for phrase, j in self.phrases[t]:
+            for i in at.get(phrase[j], ()):
+                if i >= j and tuple(words[i - j : i - j + len(phrase)]) == phrase:
+                    near.update(range(i - j - size - SLACK + 1, i - j + SLACK + 1))
+        if not near:
+            return []
+        votes: dict[int, float] = defaultdict(float)
+        for w, k in self.rare[t]:
+            for shift in {i - k + d for i in at.get(w, ()) for d in range(-SLACK, SLACK + 1)} & near:
+                votes[shift] += self.weight[w]
+        least = (LEAST - 1e-9) * self.total[t] - self.rest[t]
+        return [shift for shift, vote in sorted(votes.items(), key=lambda v: (-v[1], v[0])) if vote >= least]
 
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
         words = words_of(text)
@@ -110,25 +131,19 @@ class Scanner:
                 base.add(label)
                 places += found
         labels, score = set(base), 0.0
-        rarest = sorted((w for w in at if w in self.postings), key=lambda w: (-self.weight[w], w))[:RAREST]
-        votes: dict[tuple[int, int], float] = defaultdict(float)
-        for w in rarest:
-            for t, k in self.postings[w]:
-                for i in at[w]:
-                    votes[t, i - k] += self.weight[w]
-        tried: dict[int, float] = {}
-        for (t, shift), vote in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
-            label, template, phrases = _TEMPLATES[t]
-            near = vote + sum(votes.get((t, shift + d), 0) for d in range(-SLACK, SLACK + 1) if d)
-            if tried.get(t, 0) >= 1 or near < 0.3 * self.total[t]:
-                continue
-            hit = sum(self.weight[w] for k, w in enumerate(template) if w in at and any(0 <= shift + k + d < len(words) and words[shift + k + d] == w for d in range(-SLACK, SLACK + 1)))
-            share = hit / self.total[t]
-            if share >= LEAST and share > tried.get(t, 0) and any(self._stands(words, p, shift - SLACK, shift + len(template) + SLACK) for p in phrases):
-                tried[t] = share
+        known = False
+        for t, (label, template, _) in enumerate(_TEMPLATES):
+            best = 0.0
+            for shift in self._shifts(t, words, at):
+                hit = sum(self.weight[w] for k, w in enumerate(template) if w in at and w in words[max(0, shift + k - SLACK) : max(0, shift + k + SLACK + 1)])
+                best = max(best, hit / self.total[t])
+                if best >= 1:
+                    break
+            if best >= LEAST:
+                known = True
                 labels.add(label)
-                score = max(score, share)
-        if base and not tried:
+                score = max(score, best)
+        if base and not known:
             score = max(score, 0.5)  # a phrase alone, outside any known notice
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), round(min(score, 1.0), 6)
 

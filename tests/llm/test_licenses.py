@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import itertools
+import random
 import re
 
 from papyrus.llm import licenses, queries
@@ -47,6 +49,49 @@ def test_notices(spark):
     assert found[0]["score"] > 0.9 and found[5]["score"] == 0
 
 
+def test_several_notices_in_one_file():
+    """Every notice is found beside any others, in a file as long as one likes, also among prose of rare template words."""
+    templates = licenses.TEMPLATES
+    frequencies = {w: 5 + k % 40 for k, w in enumerate(sorted(licenses.VOCABULARY))} | {b"": 10_000}
+    scanner = licenses.Scanner(frequencies)
+    filler = " ".join(f"w{k}" for k in range(40))
+    groups = [templates, templates * 3, *map(list, itertools.combinations(templates, 2)), *random.Random(1).sample(list(itertools.combinations(templates, 3)), 60)]
+    for group in groups:
+        found = scanner.scan(f" {filler} ".join(notice for _, notice, _ in group))
+        assert {label for label, _, _ in group} <= set(found[5].split(",")) and found[6] == 1
+    rare = " ".join(w.decode() for w in sorted(licenses.VOCABULARY, key=lambda w: frequencies[w])[:60])
+    for label, notice, _ in templates:
+        assert label in scanner.scan(f"{rare} {filler} {notice} {filler} {rare}")[5].split(",")
+
+
+def test_every_alignment_by_brute_force():
+    """Damaged notices: labels and score are those of the best of all alignments with a mandatory phrase near."""
+    rng = random.Random(3)
+    scanner = licenses.Scanner({w: rng.choice([0, 3, 50, 900]) for w in sorted(licenses.VOCABULARY)} | {b"": 1000})
+    some = 0
+    for _ in range(150):
+        text = []
+        for _, notice, _ in rng.sample(licenses.TEMPLATES, 3):
+            words = [w.decode() for w in licenses.words_of(notice)]
+            drop = rng.choice([0, 0.1, 0.3])
+            text += [w for w in words if rng.random() >= drop] + ["filler"] * rng.randrange(4)
+        words, labels, score = licenses.words_of(" ".join(text)), set(), 0.0
+        for (label, template, phrases), total in zip(licenses._TEMPLATES, scanner.total, strict=True):
+            starts = {i for p in phrases for i in range(len(words)) if tuple(words[i : i + len(p)]) == p}
+            for shift in range(-len(template) - 4, len(words) + 4):
+                if any(shift - licenses.SLACK <= i < shift + len(template) + licenses.SLACK for i in starts):
+                    hit = sum(scanner.weight[w] for k, w in enumerate(template) if any(0 <= shift + k + d < len(words) and words[shift + k + d] == w for d in range(-licenses.SLACK, licenses.SLACK + 1)))
+                    if hit / total >= licenses.LEAST:
+                        labels.add(label)
+                        score = max(score, hit / total)
+        found = scanner.scan(" ".join(text))
+        base = set(filter(None, found[4].split(",")))
+        assert set(filter(None, found[5].split(","))) == labels | base
+        assert found[6] == round(min(score or (0.5 if base else 0.0), 1.0), 6)
+        some += bool(labels)
+    assert some > 50
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = licenses.licences(odd_docs).collect()
     assert len(rows) == odd_docs.count()
