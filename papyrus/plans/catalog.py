@@ -258,8 +258,8 @@ def _edges(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
 QUERIES |= {
     "graph_density": lambda s, d: graph.summary(_edges(s, d)),
     "degree_centrality": lambda s, d: graph.degrees(_edges(s, d), 10),
-    "clustering_coeff": lambda s, d: graph.clustering(_edges(s, d, 8)),
-    "components": lambda s, d: graph.label_components(_edges(s, d, 8)),
+    "clustering_coeff": lambda s, d: graph.clustering(_edges(s, d)),
+    "components": lambda s, d: graph.label_components(_edges(s, d)),
     "adjacency": lambda s, d: graph.adjacency(_edges(s, d)),
     "modularity_q": lambda s, d: graph.modularity(_edges(s, d), table(s, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("grp"))),
     "top_entities": lambda s, d: graph.top_per_type(table(s, d, "part"), "p_type", "p_brand", 3),

@@ -109,6 +109,15 @@ def test_graph(spark):
     assert graph.summary(e).first()[:] == (6, 5, 6, 0.333333)
 
 
+def test_graph_queries_take_every_edge(spark, tmp_path):
+    """Suppliers that share one order only are neighbours, as in graph_density."""
+    lines = [(o, s) for o, group in enumerate([(1, 2), (2, 3), (1, 3), (3, 4), (8, 9)]) for s in group]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    q = catalog.queries()
+    assert {tuple(r) for r in q["components"](spark, str(tmp_path)).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)}
+    assert {tuple(r) for r in q["clustering_coeff"](spark, str(tmp_path)).collect()} == {(1, 2, 1, 1.0), (2, 2, 1, 1.0), (3, 3, 1, 0.333333), (4, 1, 0, 0.0), (8, 1, 0, 0.0), (9, 1, 0, 0.0)}
+
+
 def test_elbow():
     assert learning.elbow([(2, 100.0), (3, 50.0), (4, 45.0), (5, 44.0)]) == 3
     assert learning.elbow([(2, 10.0)]) == 2
