@@ -1,11 +1,12 @@
 """Harmonic packing of token sequences.
 
-A document's tokens are cut into pieces whose lengths are the reciprocals capacity/1, capacity/2, capacity/4, ... (its
-whole sequences first, then the binary digits of the rest), so a piece of class j fills exactly one j-th of a sequence and
-a bin of class j is full after j pieces, whatever the pieces are. Every worker fills its bins alone: no shuffle, no shared
-state, memory bounded by one open bin for each class. The last, incomplete bin of a class is closed as sequences of 1, 2,
-4, ... pieces, whose totals are powers of two as well, so with ``min_piece=1`` nothing is padded. A larger ``min_piece``
-leaves a document's tail uncut: fewer, longer pieces against some padding.
+A length of (capacity/(k+1), capacity/k] belongs to the reciprocal class k: whatever the documents are, k of them fit one
+sequence. Whole sequences are cut off a long document first, its rest has one of the classes; lengths of at most
+capacity/``classes`` share the last one. A class's bin is full after its fixed count of documents. What such a bin leaves
+free is given to the next document of the worker, which is cut there once; so a sequence holds whole documents but for its
+last piece, and pads less than 2 * ``min_piece`` tokens. Every worker fills its bins alone: no shuffle, no shared state,
+memory bounded by one open bin for each class. At a worker's end the pieces of its open bins are laid end to end, and the
+last sequence, where padding would cost more than ``END_PADDING`` of it, becomes sequences of powers of two.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,7 +28,9 @@ PACKED = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 #: Sequence ids of a partition start at its number times this.
 STRIDE = 1 << 33
 #: White-space-free chunks and words whose ids a worker remembers, and the longest ones that it does.
-CACHE_CHUNKS, CACHE_WORDS, CACHE_CHARS = 300_000, 600_000, 48
+CACHE_CHUNKS, CACHE_WORDS, CACHE_CHARS = 600_000, 600_000, 48
+#: Reciprocal classes, and the largest share of a worker's last sequence that is padding.
+CLASSES, END_PADDING = 64, 0.05
 #: Chunks that only the whole tokenizer may split: letters beyond Latin, and what may hold a special token.
 _HARD = re.compile(r"[^\x00-\u012f\u0131-\u0233]|<\|")
 #: The tokenizer's own split, for lower-case text of the other characters.
@@ -43,6 +47,19 @@ def _byte_letters() -> dict[int, int]:
 _LETTERS = _byte_letters()
 
 
+class _Known(dict):
+    """ids of strings, found by ``learn`` when first asked for; strings of over CACHE_CHARS characters are not kept."""
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        self.learn = learn
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.learn(part)
+        if len(part) <= CACHE_CHARS:
+            self[part] = ids
+        return ids
+
+
 class ChunkTokenizer:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, by a lower-casing tokenizer that drops white space.
 
@@ -56,111 +73,135 @@ class ChunkTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = _Known(self._chunk_ids), _Known(self._word_ids)
 
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(parts, add_special_tokens=False)]
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word_ids(self, word: str) -> bytes:
         plain = word.isascii() and word.isprintable()
         return array("I", [t.id for t in self.model.tokenize(word if plain else word.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        hard = [c for c in chunks if _HARD.search(c)]
-        self.chunks.update(zip(hard, self._ids(hard), strict=True))
-        split = {c: _WORD.findall(c.lower()) for c in chunks if c not in self.chunks}
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        new = list({w for words in split.values() for w in words if w not in self.words})
-        self.words.update({w: self._word_ids(w) for w in new})
-        for c, words in split.items():
-            self.chunks[c] = b"".join([self.words[w] for w in words])
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del self.words[w]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _chunk_ids(self, chunk: str) -> bytes:
+        return self._ids(chunk) if _HARD.search(chunk) else b"".join(map(self.words.__getitem__, _WORD.findall(chunk.lower())))
+
+    def encode(self, text: str) -> bytes:
         # str.split() also splits at \x1c-\x1f, which the tokenizer takes for symbols.
-        whole = {i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        split = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
-        new = list({c for parts in split for c in parts if c not in self.chunks})
-        for lo in range(0, len(new), 20_000):
-            self._learn(new[lo : lo + 20_000])
-        out = [self._ids([t])[0] if i in whole else b"".join(map(self.chunks.__getitem__, split[i])) for i, t in enumerate(texts)]
-        for c in new:
-            if len(c) > CACHE_CHARS:
-                del self.chunks[c]
-        return out
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return self._ids(text)
+        ids = b"".join(map(self.chunks.__getitem__, text.split()))
+        for known, most in ((self.chunks, CACHE_CHUNKS), (self.words, CACHE_WORDS)):
+            if len(known) > most:
+                known.clear()
+        return ids
 
 
-def cut_lengths(n: int, capacity: int, min_piece: int = 1) -> list[int]:
-    """Lengths of a document's pieces: whole sequences, then powers of two, then a tail shorter than min_piece."""
-    out, rest = [capacity] * (n // capacity), n % capacity
-    size = capacity // 2
-    while size >= min_piece and size:
-        if rest >= size:
-            out.append(size)
-            rest -= size
-        size //= 2
-    return out + [rest] * (rest > 0)
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> ChunkTokenizer:
+    """The tokenizer of this Python worker: Spark hands a worker many tasks, and what it remembers serves them all."""
+    return ChunkTokenizer(path)
 
 
-def _class_of(length: int, capacity: int) -> int:
-    """How many pieces a bin of this length's class holds: capacity over the next power of two."""
-    return capacity >> (length - 1).bit_length()
+Piece = tuple[int | None, int, bytes, int]  # document, start, ids, tokens of the document
 
 
 class HarmonicBins:
-    """The open bins of one worker, one for each class. add() gives the sequences that it closes."""
-
-    def __init__(self, capacity: int) -> None:
-        self.capacity, self.open = capacity, {}
-
-    def add(self, length: int, piece: tuple) -> list[list[tuple]]:
-        count = _class_of(length, self.capacity)
-        bin_ = self.open.setdefault(count, [])
-        bin_.append((length, piece))
-        return [self.open.pop(count)] if len(bin_) == count else []
-
-    def close(self) -> list[list[tuple]]:
-        """Incomplete bins: as runs of 1, 2, 4, ... pieces where every piece fills its slot, else as they are."""
-        out = []
-        for count, bin_ in sorted(self.open.items()):
-            exact = all(length * count == self.capacity for length, _ in bin_)
-            while bin_:
-                n = 1 << (len(bin_).bit_length() - 1) if exact else len(bin_)
-                out.append(bin_[:n])
-                bin_ = bin_[n:]
+    """The open bins of one worker, one for each class. add() and close() give the sequences (lists of pieces) that they close."""
+
+    def __init__(self, capacity: int, classes: int = CLASSES, min_piece: int = 8) -> None:
+        self.capacity, self.classes, self.least = capacity, min(classes, capacity), min(min_piece, capacity)
+        self.open: dict[int, list[Piece]] = {}
+        self.short: list[Piece] = []  # a bin with its count of documents and room for a piece of the next one
+        self.room = 0
+
+    def _fit(self, length: int) -> int:
+        """How much of a length goes into the room: no piece or rest is shorter than the least, but for whole documents."""
+        if length <= self.room:
+            return length
+        return self.room if length - self.room >= self.least else max(0, length - self.least)
+
+    def _fill(self, piece: Piece) -> tuple[Piece | None, list[list[Piece]]]:
+        """The rest of a piece after its head has gone into the short bin, and the bin if that closed it."""
+        doc, start, ids, total = piece
+        take = self._fit(len(ids) // 4)
+        if take:
+            self.short.append((doc, start, ids[: 4 * take], total))
+            self.room -= take
+        closed = []
+        if take < len(ids) // 4 or self.room < self.least:
+            closed, self.short, self.room = [self.short], [], 0
+        return ((doc, start + take, ids[4 * take :], total) if 4 * take < len(ids) else None), closed
+
+    def add(self, doc: int | None, ids: bytes) -> list[list[Piece]]:
+        piece, out = (doc, 0, ids, len(ids) // 4), []
+        if self.short:
+            piece, out = self._fill(piece)
+        while piece and len(piece[2]) >= 4 * self.capacity:
+            doc, start, ids, total = piece
+            out.append([(doc, start, ids[: 4 * self.capacity], total)])
+            piece = (doc, start + self.capacity, ids[4 * self.capacity :], total)
+        if piece and piece[2]:
+            count = min(self.capacity // (len(piece[2]) // 4), self.classes)
+            bin_ = self.open.setdefault(count, [])
+            bin_.append(piece)
+            if len(bin_) == count:
+                room = self.capacity - sum(len(p[2]) // 4 for p in self.open.pop(count))
+                if room < self.least:
+                    out.append(bin_)
+                else:
+                    self.short, self.room = bin_, room
+        return out
+
+    def close(self) -> list[list[Piece]]:
+        """The pieces of the open bins, end to end; the last sequence as it is where it is nearly full, else as powers of two."""
+        pieces, out = [p for _, bin_ in sorted(self.open.items()) for p in bin_], []
         self.open = {}
+        for piece in pieces:
+            while piece:
+                if not self.short:
+                    self.room = self.capacity
+                piece, closed = self._fill(piece)
+                out += closed
+        last, self.short = self.short, []
+        if not last or self.room <= END_PADDING * self.capacity:
+            return out + [last] * bool(last)
+        while last:
+            size = sum(len(p[2]) // 4 for p in last)
+            self.room, head = 1 << (size.bit_length() - 1), []
+            while self.room:
+                doc, start, ids, total = last.pop(0)
+                take = min(self.room, len(ids) // 4)
+                head.append((doc, start, ids[: 4 * take], total))
+                self.room -= take
+                if 4 * take < len(ids):
+                    last.insert(0, (doc, start + take, ids[4 * take :], total))
+            out.append(head)
         return out
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, eos_id: int = 1, min_piece: int = 1) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, eos_id: int = 1, min_piece: int = 8) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
 
     Null texts count as empty: their document is the end id alone. Every row of df is a document, repeated rows and rows
     without an id included. An empty table gives no rows. Sequence ids are unique over the whole result.
     """
-    if capacity < 1 or capacity & (capacity - 1):
-        raise ValueError("capacity must be a power of two")
+    if capacity < 1 or min_piece < 1:
+        raise ValueError("capacity and min_piece must be positive")
     end = int(eos_id).to_bytes(4, "little")
     names = [x.split()[0] for x in PACKED.split(", ")]
     schema = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, bins = ChunkTokenizer(tokenizer_path), HarmonicBins(capacity)
+        tokenizer, bins = worker_tokenizer(tokenizer_path), HarmonicBins(capacity, min_piece=min_piece)
         next_id, rows = TaskContext.get().partitionId() * STRIDE, []
 
-        def place(sequences: list[list[tuple]]) -> None:
+        def place(sequences: list[list[Piece]]) -> None:
             nonlocal next_id
             for sequence in sequences:
                 offset = 0
-                for length, (doc, start, ids, total) in sequence:
-                    rows.append((doc, start, length, ids, total, next_id, offset))
-                    offset += length
+                for doc, start, ids, total in sequence:
+                    rows.append((doc, start, len(ids) // 4, ids, total, next_id, offset))
+                    offset += len(ids) // 4
                 next_id += 1
 
         def batch() -> pa.RecordBatch:
@@ -169,14 +210,8 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             return out
 
         for got in batches:
-            for lo in range(0, got.num_rows, 256):
-                part = got.slice(lo, 256)
-                for doc, ids in zip(part.column(0).to_pylist(), tokenizer.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += end
-                    total, start = len(ids) // 4, 0
-                    for length in cut_lengths(total, capacity, min_piece):
-                        place(bins.add(length, (doc, start, ids[4 * start : 4 * (start + length)], total)))
-                        start += length
+            for doc, text in zip(got.column(0), got.column(1), strict=True):
+                place(bins.add(doc.as_py(), tokenizer.encode(text.as_py() or "") + end))
                 if len(rows) > 4000:
                     yield batch()
         place(bins.close())
