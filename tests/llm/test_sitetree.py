@@ -1,8 +1,14 @@
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
+import time
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
 
 from papyrus.llm import queries, sitetree
 
@@ -13,8 +19,8 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>
 <div class="sidebar">More</div><footer>End &copy; <p>x</footer></body></html>"""
 
 
-def text(page, removed=frozenset()):
-    return " ".join(b for r in sitetree.roots(page) for b in sitetree.blocks(r, removed))
+def text(page):
+    return " ".join(sitetree.main_blocks(page))
 
 
 def test_main_text_of_a_page():
@@ -28,6 +34,89 @@ def test_broken_markup():
     assert text("<article><p>a<div>b") == "a b"
 
 
+def test_article_parts_with_telling_names_stay():
+    page = "<body><article><div class='article-header'><h1>T</h1></div><section class='related-work'>r</section><div class='search-results notice'>s</div><div id='social-history'>h</div><math><mi>x</mi></math></article></body>"
+    assert text(page) == "T r s h x"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 10_000 + "x", "<b>" * 10_000 + "x<p>y" * 5000, "<a " * 300_000 + '"', '<a "' * 250_000, "<a href='x " * 100_000, "<script></script " * 60_000, "<div>a " * 10_000, "<p><button>" + "<b><div></div>" * 20_000])
+def test_deep_and_badly_quoted_markup(page):
+    began = time.process_time()
+    text(page)
+    assert len(sitetree.style_rows(page)) <= 2 * 10_001
+    assert time.process_time() - began < 5
+
+
+def test_unclosed_quote_keeps_the_text():
+    assert text('<p>a <a href="x>b</a> c</p>') == "a b c"
+
+
+def importances(pages):
+    """The style tree's importances from their definition; pages: lists of (path, layout), (path, text) for each page."""
+    out = {}
+    paths = {p for page in pages for p, _ in page}
+    for path in paths:
+        on = [page for page in pages if any(p == path for p, _ in page)]
+        m = len(on)
+        shown = Counter(tuple(sorted({x for p, x in page if p == path and isinstance(x, tuple)})) for page in on)
+        presentation = -sum(n / m * math.log(n / m) for n in shown.values()) / math.log(m)
+        under = [q for q in paths if q[: len(path)] == path]
+        novel = mass = 0.0
+        for q in under:
+            deep = [page for page in pages if any(p == q for p, _ in page)]
+            seen = Counter(t for page in deep for t in {x for p, x in page if p == q and isinstance(x, str)})
+            for t, n in seen.items():
+                mass += n * len(t.split())
+                novel += n * len(t.split()) * (1 - math.log(n) / math.log(len(deep)))
+        out[path] = (m, presentation, novel, mass)
+    return out
+
+
+def test_importance_by_its_definition(spark):
+    rng, rows, pages = random.Random(3), [], []
+    for k in range(12):
+        own, ad, menu = " ".join(rng.choice("abcdefgh") * 3 + str(k) for _ in range(30)), f"buy {rng.randint(0, 3)}", ["home", "news", "more"][: rng.randint(1, 3)]
+        rows.append((1, f"<html><body><div class=menu-{k}>{''.join(f'<a>{x}</a>' for x in menu)}</div><div id=text>{own}</div><div class=box>{ad}</div></body></html>"))
+        top, step = ("html", "body"), ("div[class=menu-#]", "div[id=text]", "div[class=box]")
+        page = [(("html",), ("body",)), (top, step), ((*top, step[0]), ("a",) * len(menu)), ((*top, step[0], "a"), ("#",)), ((*top, step[1]), ("#",)), ((*top, step[2]), ("#",))]
+        pages.append(page + [((*top, step[0], "a"), x) for x in menu] + [((*top, step[1]), own), ((*top, step[2]), ad)])
+    want = importances(pages)
+
+    def key(path):
+        at = sitetree._key("")
+        for step in path:
+            at = sitetree._key(step, at & (1 << 64) - 1)
+        return at
+
+    found = {r["path"]: r for r in sitetree.importance(spark.createDataFrame(rows, "host long, html string")).collect()}
+    assert set(found) == {key(p) for p in want}
+    for path, (m, presentation, novel, _) in want.items():
+        most = max(v[2] / v[0] for p, v in want.items() if p[:-1] == path[:-1] and len(p) == len(path))
+        got = found[key(path)]
+        assert got["n_pages"] == m
+        assert (got["presentation"], got["content"]) == pytest.approx((presentation, novel / m / most), abs=1e-9)
+
+
+def test_counts_alone_remove_what_no_tag_or_name_tells(spark, sf_dir):
+    """Neutral names, no main element: the counts remove the same branches that the given pages' tags and names tell of."""
+    rows = []
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").collect():
+        page = r["html"].replace("<article>", "<div class=xa>").replace("</article>", "</div>").replace('class="ad"', "class=xb")
+        for tag, name in (("nav", "xc"), ("footer", "xd")):
+            page = page.replace(f"<{tag}>", f"<div class={name}>").replace(f"</{tag}>", "</div>")
+        rows.append((r["page_id"], "http://one.example/", page))
+    found = {r["page_id"]: r["text"] for r in sitetree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {r["page_id"]: r["text"] for r in queries.op5_site_style_tree(spark, sf_dir).collect()}
+    assert found == want
+
+
+def test_salted_join_gives_the_same(spark, sf_dir, monkeypatch):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("url", F.lit("http://h/"))
+    want = sorted(map(tuple, sitetree.main_text(pages, priors=False).collect()))
+    monkeypatch.setattr(sitetree, "MAX_BROADCAST", 0)
+    assert sorted(map(tuple, sitetree.main_text(pages, priors=False).collect())) == want
+
+
 def test_query_by_brute_force(spark, sf_dir):
     """The given pages: what stands in the article element, block by block."""
     pages = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").collect()}
