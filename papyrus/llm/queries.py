@@ -61,7 +61,7 @@ def op9_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"), with_masked=False)
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_network")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_network", "n_confirmed")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
