@@ -1,15 +1,16 @@
 """Chat formatting by incremental black-box rendering.
 
-A template is any function from a list of (role, text) turns to one string. It is rendered for successive turn prefixes:
-where each output starts with the one before it, the added part is the last turn's; where it does not, the template
-rewrites history and the conversation is marked. Within its part a turn's text is located by rendering the same prefix
-with two other texts: what the two outputs share in front and behind is the template's own. Loss falls on the texts of
-assistant turns.
-
-A template may look at the whole prefix. For long conversations the prefix is a window, its first turn and the last
-``WINDOW`` ones, which keeps the work linear and the memory bounded; each part is rendered with half that window as well, and
-where the two differ the template depends on more than the window and the job says so; ``whole_prefixes`` renders such templates exactly, with work
-that grows with the square of the turns.
+A template is any function from a list of (role, text) turns to one string. It is rendered for successive turn prefixes and
+each output compared with the one before it: where it starts with that, the added part is the last turn's; where it does not,
+the template rewrites history and the conversation is marked. Within its part a turn's text stands between what the
+template put around the last text of that role; where the part does not read so, the same prefix is rendered with two other
+texts, and what the two outputs share in front and behind is the template's own. Loss falls on the texts of assistant turns.
+
+A template may look at the whole prefix, so whole prefixes are rendered: one rendering a turn, whose cost grows with the
+prefix, and memory for one conversation. For a template that its caller declares local (a turn's part depends on nothing
+but the first turn and the last ``window`` ones before it) the prefix is just those, which keeps the work linear and the
+memory bounded. Each part is then rendered with half that window as well, and NotLocalError is raised where the two differ:
+that finds most false declarations, not all, as a window can hide what it does not hold.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ Template = Callable[[list[Turn]], str]
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 _BREAK = re.compile("|".join(map(re.escape, CONTROL)))
 _ESCAPED = re.compile(r"\\(.)", re.S)
-LOSS_ROLE, WINDOW = "assistant", 16
+LOSS_ROLE = "assistant"
+#: A window for local templates.
+WINDOW = 16
 
 
 def escape(text: str) -> str:
@@ -69,11 +72,9 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
-def render_turn(template: Template, before: list[Turn], turn: Turn) -> tuple[str, str, str] | None:
-    """(front, text, back) of the part that a turn adds after the turns before it; None if history is rewritten."""
-    role, text = turn
-    prefix = template(before)
-    whole = template([*before, (role, text)])
+def probe_turn(template: Template, before: list[Turn], turn: Turn, prefix: str, whole: str) -> tuple[str, str, str] | None:
+    """(front, text, back) of the part that a turn adds to prefix, the output of before; None if history is rewritten."""
+    role = turn[0]
     one, two = template([*before, (role, "0")]), template([*before, (role, "1")])
     if not all(x.startswith(prefix) for x in (whole, one, two)):
         return None
@@ -85,32 +86,52 @@ def render_turn(template: Template, before: list[Turn], turn: Turn) -> tuple[str
 
 
 class NotLocalError(ValueError):
-    """The template's output for a turn depends on turns outside the window."""
+    """A template that was declared local depends on turns outside the window."""
 
 
 class Conversation:
-    """Renders a conversation turn by turn; keeps at most WINDOW + 1 turns, or with ``whole`` all of them."""
-
-    def __init__(self, template: Template, whole: bool = False) -> None:
-        self.template, self.whole, self.first, self.recent, self.n, self.rewrites, self.at = template, whole, None, [], 0, False, 0
+    """Renders a conversation turn by turn; keeps its turns and output, or with a ``window`` at most one turn more than that."""
+
+    def __init__(self, template: Template, window: int | None = None) -> None:
+        self.template, self.window = template, window
+        self.first: list[Turn] = []  # the first turn, where later ones have left the window
+        self.turns: list[Turn] = []
+        self.around: dict[str, tuple[str, str]] = {}  # what the template put in front of and behind the last text of a role
+        self.output, self.n, self.at, self.rewrites = template([]), 0, 0, False
+
+    def _part(self, before: list[Turn], turn: Turn, prefix: str, whole: str) -> tuple[str, str, str] | None:
+        if not whole.startswith(prefix):
+            return None
+        front, back = self.around.get(turn[0], ("", ""))
+        if turn[0] in self.around and whole[len(prefix) :] == front + turn[1] + back:
+            return front, turn[1], back
+        part = probe_turn(self.template, before, turn, prefix, whole)
+        if part:
+            self.around[turn[0]] = (part[0], part[2])
+        return part
 
     def add(self, role: str, text: str) -> dict:
-        turn, long = (role, escape(text)), self.n > WINDOW and not self.whole
-        before = [self.first, *self.recent] if long else list(self.recent)
-        part = render_turn(self.template, before, turn)
-        if long and part != render_turn(self.template, [self.first, *self.recent[WINDOW // 2 :]], turn):
-            raise NotLocalError(f"turn {self.n}: pass whole_prefixes=True for this template")
+        turn, before = (role, escape(text)), [*self.first, *self.turns]
+        prefix = self.output if self.window is None else self.template(before)
+        whole = self.template([*before, turn])
+        part = self._part(before, turn, prefix, whole)
+        if self.first:
+            fewer = [*self.first, *self.turns[self.window - self.window // 2 :]]
+            if part != self._part(fewer, turn, self.template(fewer), self.template([*fewer, turn])):
+                raise NotLocalError(f"turn {self.n}: the template is not local, so it takes no window")
         if part is None:
             self.rewrites = True
-            part = ("", self.template([*before, turn])[len(self.template(before)) :], "")
+            part = ("", whole[len(prefix) :], "")
         front, body, back = part
         if self.n == 0:
-            self.first, front = turn, self.template([]) + front
+            front = prefix + front
         start = self.at + len(front)
         self.at = start + len(body) + len(back)
-        self.recent.append(turn)
-        if self.n >= WINDOW and not self.whole:
-            self.recent.pop(0)
+        self.output = whole if self.window is None else ""
+        self.turns.append(turn)
+        if self.window is not None and len(self.turns) > self.window:
+            gone = self.turns.pop(0)
+            self.first = self.first or [gone]
         self.n += 1
         return {"role": role, "formatted": front + body + back, "text_start": start, "text_end": start + len(body), "loss": role == LOSS_ROLE and not self.rewrites, "rewrites_history": self.rewrites}
 
@@ -118,17 +139,19 @@ class Conversation:
 FORMATTED = "conv_id long, turn_no long, role string, formatted string, text_start long, text_end long, loss boolean, rewrites_history boolean"
 
 
-def format_conversations(df: DataFrame, template: Template = instruct, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", whole_prefixes: bool = False) -> DataFrame:
+def format_conversations(df: DataFrame, template: Template = instruct, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", window: int | None = None) -> DataFrame:
     """A row for each turn: FORMATTED. ``formatted`` is the part that the turn adds, text_start and text_end (code points
     within the conversation's whole output) locate its escaped text, ``loss`` marks what is trained on.
 
-    The rows of a conversation stand together and in order within a partition; they are streamed, never gathered. Null
-    roles and texts count as empty; rows without a conv_id are one conversation; ties of a turn are ordered by role, then
-    text. An empty table gives no rows. A template that depends on more than its window raises NotLocalError; pass
-    whole_prefixes=True for it.
+    window: for templates that the caller declares local (see above); NotLocalError where a part shows that it is not.
+
+    The rows of a conversation stand together and in order within a partition; they are streamed, never gathered, and a
+    conversation's state is its turns (at most window + 1 of them with a window). Null roles and texts count as empty; a row
+    without a conv_id is a conversation of its own; ties of a turn are ordered by role, then text. An empty table gives no rows.
     """
     own = pick(df, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col).select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    dealt = own.repartition("conv_id", alone).sortWithinPartitions("conv_id", "turn", "role", "text")
     names = [x.split()[0] for x in FORMATTED.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
 
@@ -137,8 +160,8 @@ def format_conversations(df: DataFrame, template: Template = instruct, conv_col:
         for batch in batches:
             rows = []
             for conv, _, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if current != (conv,):
-                    current, state = (conv,), Conversation(template, whole_prefixes)
+                if current != (conv,) or conv is None:
+                    current, state = (conv,), Conversation(template, window)
                 got = state.add(role, text)
                 rows.append((conv, state.n - 1, *(got[k] for k in names[2:])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 8, types, strict=True)], names)
@@ -171,9 +194,9 @@ def digests(formatted: DataFrame) -> DataFrame:
                 out.append((current[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         for batch in batches:
-            table = batch.select(["conv_id", "formatted", "text_start", "text_end", "loss"])
-            for conv, part, start, end, loss in zip(*(c.to_pylist() for c in table.columns), strict=True):
-                if current != (conv,):
+            table = batch.select(["conv_id", "turn_no", "formatted", "text_start", "text_end", "loss"])
+            for conv, turn, part, start, end, loss in zip(*(c.to_pylist() for c in table.columns), strict=True):
+                if turn == 0:
                     close()
                     current, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 role, text = read_back(part)

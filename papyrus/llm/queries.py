@@ -22,11 +22,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, and one (-1) whose texts are control strings."""
+    """All conversations, and one (-1) whose texts are control strings. The instruct template is local: a turn's part depends on the turn alone."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.format_conversations(given.unionByName(own)))
+    return chat.digests(chat.format_conversations(given.unionByName(own), window=chat.WINDOW))
 
 
 def op4_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def test_long_conversation_and_spans(spark):
     assert whole == chat.instruct([(r[2], chat.escape(r[3])) for r in rows])
     assert [chat.unescape(whole[r["text_start"] : r["text_end"]]) for r in parts] == [r[3] for r in rows]
     assert chat.digests(made).first()[1:5] == brute([r[:4] for r in rows])[1]
-    assert [r["formatted"] for r in parts] == [r["formatted"] for r in sorted(chat.format_conversations(spark.createDataFrame(rows, SCHEMA), whole_prefixes=True).collect(), key=lambda r: r["turn_no"])]
+    assert [r["formatted"] for r in parts] == [r["formatted"] for r in sorted(chat.format_conversations(spark.createDataFrame(rows, SCHEMA), window=4).collect(), key=lambda r: r["turn_no"])]
 
 
 def forgetful(turns):
@@ -63,16 +63,46 @@ def test_templates_that_rewrite_or_count():
     c = chat.Conversation(forgetful)
     seen = [c.add(r, t)["rewrites_history"] for r, t in [("user", "a"), ("assistant", "bb"), ("user", "c"), ("assistant", "d")]]
     assert seen == [False, False, False, True]
-    c, w = chat.Conversation(numbered), chat.Conversation(numbered, whole=True)
+    c, w = chat.Conversation(numbered, window=16), chat.Conversation(numbered)
     with pytest.raises(chat.NotLocalError):
         for k in range(40):
             c.add("user", str(k))
     assert "".join(w.add("user", str(k))["formatted"] for k in range(40)) == numbered([("user", str(k)) for k in range(40)])
 
 
+def last_32(turns):
+    return "".join(f"<{r}>{t}\n" for r, t in turns[-32:])
+
+
+def line_every_eighth(turns):
+    return "".join(f"<{r}>{t}\n" + "--\n" * (i % 8 == 7) for i, (r, t) in enumerate(turns))
+
+
+def reads_turn_two(turns):
+    """What the second turn says stands before every turn from the fortieth on."""
+    return "".join((turns[1][1] if i >= 40 else "") + f"<{r}>{t}\n" for i, (r, t) in enumerate(turns))
+
+
+@pytest.mark.parametrize("template", [line_every_eighth, reads_turn_two, numbered, chat.instruct])
+def test_whole_prefixes_by_default(template):
+    turns = [(("user", "assistant")[k % 2], ("", "assistant", "text 8", "--")[k % 4]) for k in range(60)]
+    c = chat.Conversation(template)
+    got = [c.add(r, t) for r, t in turns]
+    whole = "".join(g["formatted"] for g in got)
+    assert whole == template(turns) and not any(g["rewrites_history"] for g in got)
+    assert [whole[g["text_start"] : g["text_end"]] for g in got] == [t for _, t in turns]
+
+
+def test_a_template_that_forgets_old_turns_rewrites_history():
+    c = chat.Conversation(last_32)
+    assert [c.add("user", str(k))["rewrites_history"] for k in range(60)] == [False] * 32 + [True] * 28
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None, None, "x"), (1, 2, None, "b", "x"), (1, None, "user", None, "x"), (1, 2, "user", "a\nb", None), (1, 2, "user", "a\nb", None), (2, 1, "assistant", "", "x"), (3, 1, "tool\nx", "y" * 300_000, "x")]
     found = {r["conv_id"]: r for r in chat.digests(chat.format_conversations(spark.createDataFrame(rows, SCHEMA))).collect()}
     assert {k: v["n_turns"] for k, v in found.items()} == {None: 1, 1: 4, 2: 1, 3: 1}
+    lone = chat.digests(chat.format_conversations(spark.createDataFrame([(None, k, "user", "same", None) for k in (0, 0, 1)], SCHEMA))).collect()
+    assert [(r["conv_id"], r["n_turns"]) for r in lone] == [(None, 1)] * 3
     assert found[3]["turns_sha256"] == hashlib.sha256(("tool\nx\n" + "y" * 300_000 + "\n").encode()).hexdigest()
     assert chat.digests(chat.format_conversations(spark.createDataFrame([], SCHEMA))).count() == 0
