@@ -56,22 +56,27 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> D
     return listed.select(F.transform("c", lambda c: F.when(F.col("n_target") > 0, ratio(c)).otherwise(F.lit(0.0))).alias("ratios"))
 
 
-def _repeat_words(hashes: Column) -> tuple[Column, Column, Column, Column]:
-    """Steps to the number of words in 3-word windows that occur twice or more; each step reads the one before by name.
+def _repeat_words(hashes: Column) -> tuple[Column, Column, Column, Column, Column, Column]:
+    """Steps to the number of words in 3-word windows that occur twice or more; each step reads the ones before by name (words too).
 
     A window's 64-bit hash gives its low bits to the position (as many as the text needs) and is sorted, so equal windows
-    are neighbours: n log n for any text. For 1,000 words 54 bits of hash remain, for a million 44.
+    are neighbours: n log n for any text. Windows without such a neighbour occur once. The others, few in most texts, are
+    sorted by their words, so no two different ones count as equal.
     """
     n, own = F.size(hashes), hashes
     mask = F.expr("shiftleft(1L, length(bin(size(hashes)))) - 1L")
     windows = F.transform(own, lambda h, i: F.xxhash64(h, F.get(own, i + 1), F.get(own, i + 2)).bitwiseAND(F.bitwise_not(F.col("mask"))).bitwiseOR(i.cast("long")))
     ordered = F.sort_array(F.when(n >= 3, F.slice(windows, F.lit(1), F.greatest(n - 2, F.lit(1)))).otherwise(F.array().cast("array<bigint>")))
-    s, m = F.col("ordered"), F.bitwise_not(F.col("mask"))
-    twice = F.filter(s, lambda x, i: (x.bitwiseAND(m) == F.get(s, i + 1).bitwiseAND(m)) | (x.bitwiseAND(m) == F.get(s, i - 1).bitwiseAND(m)))
-    places = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.col("mask"))))
+    s, m, w = F.col("ordered"), F.bitwise_not(F.col("mask")), F.col("words")
+    alike = F.filter(s, lambda x, i: (x.bitwiseAND(m) == F.get(s, i + 1).bitwiseAND(m)) | (x.bitwiseAND(m) == F.get(s, i - 1).bitwiseAND(m)))
+    at = F.transform(alike, lambda x: x.bitwiseAND(F.col("mask")).cast("int"))
+    spelt = F.sort_array(F.transform(F.col("alike"), lambda p: F.struct(F.concat_ws(" ", F.get(w, p), F.get(w, p + 1), F.get(w, p + 2)).alias("w"), p.alias("p"))))
+    e = F.col("spelt")
+    twice = F.filter(e, lambda x, i: (x["w"] == F.get(e, i + 1)["w"]) | (x["w"] == F.get(e, i - 1)["w"]))
+    places = F.sort_array(F.transform(twice, lambda x: x["p"]))
     p = F.col("places")
-    covered = F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, b: a + b)
-    return mask, ordered, places, covered
+    covered = F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+    return mask, ordered, at, spelt, places, covered
 
 
 def assess(docs: DataFrame, ratios: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -89,13 +94,16 @@ def assess(docs: DataFrame, ratios: DataFrame, buckets: int = BUCKETS, threshold
         (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)).alias("hashes"),
+        F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"),
         hashes.alias("gram_hashes"),
     )
     counted = ["doc_id", *keep, "word_chars", "n_symbols", "n_dup_lines"]
-    mask, ordered, places, covered = _repeat_words(F.col("hashes"))
-    step = step.select(*counted, "hashes", mask.alias("mask"), "gram_hashes")
-    step = step.select(*counted, F.size("hashes").cast("long").alias("n_words"), "mask", ordered.alias("ordered"), F.col("gram_hashes").alias("hashes"))
+    mask, ordered, alike, spelt, places, covered = _repeat_words(F.col("hashes"))
+    step = step.select(*counted, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), "gram_hashes")
+    step = step.select(*counted, "words", "hashes", mask.alias("mask"), "gram_hashes")
+    step = step.select(*counted, F.size("words").cast("long").alias("n_words"), "words", "mask", ordered.alias("ordered"), "gram_hashes")
+    step = step.select(*counted, "n_words", "words", alike.alias("alike"), "gram_hashes")
+    step = step.select(*counted, "n_words", spelt.alias("spelt"), F.col("gram_hashes").alias("hashes"))
     table = ratios.scalar()
     step = step.select(*counted, "n_words", places.alias("places"), grams.alias("grams"), table.alias("ratios"))
     total = F.aggregate("grams", F.lit(0.0), lambda acc, g: acc + F.get("ratios", g.cast("int")))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -63,6 +64,16 @@ def test_query_by_brute_force(spark, sf_dir, texts):
         assert r["kept"] == (not r["base_failed"] and r["score"] >= quality.THRESHOLD)
 
 
+def test_repeated_windows_of_a_long_text(spark):
+    """A million words, many of them repeats: the counts are those of the words themselves."""
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(300)}" for _ in range(1_000_000)]
+    short = [" ".join(rng.choice("ab") for _ in range(n)) for n in range(60)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([" ".join(words), *short])], "doc_id long, text string")
+    found = {r["doc_id"]: r["n_repeat_words"] for r in quality.quality(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()}
+    assert found == {k: base(t)[4] for k, t in enumerate([" ".join(words), *short])}
+
+
 def test_labelled_documents(spark, sf_dir):
     """Documents of good quality that the base rules pass are kept, the others go."""
     found = queries.op2_quality_rules(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), ["doc_id"]).where("not base_failed")
