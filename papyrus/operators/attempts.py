@@ -36,8 +36,8 @@ def routes(papers: DataFrame) -> DataFrame:
 
 def candidate_url(strategy: Column) -> Column:
     """What a strategy would ask for, as a path without a host."""
-    arxiv_id = F.element_at(F.split("doi", "/"), -1)
-    return F.when(strategy.isin("EuropePMC", "PMC OA", "Direct PMC"), F.concat(F.lit("pmc/"), F.col("pmcid"))).when(strategy.startswith("arXiv"), F.concat(F.lit("arxiv/"), arxiv_id)).otherwise(F.concat(F.lit("doi/"), F.coalesce("doi", "title")))
+    last, named = F.element_at(F.split("doi", "/"), -1), F.regexp_extract("doi", r"(?i)arxiv\.(.*)$", 1)
+    return F.when(strategy.isin("EuropePMC", "PMC OA", "Direct PMC"), F.concat(F.lit("pmc/"), F.col("pmcid"))).when(strategy == "arXiv", F.concat(F.lit("arxiv/"), last)).when(strategy == "arXiv API", F.concat(F.lit("arxiv/"), named)).otherwise(F.concat(F.lit("doi/"), F.coalesce("doi", "title")))
 
 
 def first_success(attempts: DataFrame, priority: Column) -> DataFrame:
@@ -58,45 +58,83 @@ def strategy_statistics(attempts: DataFrame) -> DataFrame:
     return sets.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col("strategy")).alias("strategy"), "ok", "failed", "rate")
 
 
-def by_day(df: DataFrame) -> list[Column]:
-    """Folds run within a strategy and day: strategies are few, days are not."""
-    return [F.col("strategy"), F.to_date("ts").alias("day")]
+def _dated(attempts: DataFrame) -> DataFrame:
+    return attempts.withColumn("day", F.to_date("ts"))
 
 
 def breaker_runs(attempts: DataFrame, threshold: int = 3) -> DataFrame:
-    """Per strategy and day: longest run of consecutive failures, and how many runs reach the threshold (gaps and islands)."""
-    w = Window.partitionBy("strategy", "day").orderBy("ts", "event_id")
-    islands = attempts.withColumn("day", F.to_date("ts")).withColumn("island", F.sum(F.col("success").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = islands.where(~F.col("success")).groupBy("strategy", "day", "island").agg(F.count("*").alias("n"))
-    return runs.groupBy("strategy", "day").agg(F.max("n").alias("longest"), F.count_if(F.col("n") >= threshold).alias("opened"))
+    """Per strategy: longest run of consecutive failures, and how many runs reach the threshold, over the whole log.
+
+    Runs are found within a strategy's days first. Those that touch a day's first or last attempt, and days of failures only,
+    are then put together over the days, of which only these counts are left.
+    """
+    w = Window.partitionBy("strategy", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    island = F.coalesce(F.sum(F.col("success").cast("int")).over(w), F.lit(0))
+    inner = _dated(attempts).withColumn("island", island)
+    runs = inner.groupBy("strategy", "day", "island").agg(F.count_if(~F.col("success")).alias("n"))
+    last = runs.groupBy("strategy", "day").agg(F.max("island").alias("last"))
+    cut = runs.join(last, ["strategy", "day"])
+    # A day's island 0 goes on with the run before; its last island starts the run that the next day goes on with.
+    before = Window.partitionBy("strategy").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = last.select("strategy", "day", F.coalesce(F.sum("last").over(before), F.lit(0)).alias("offset"))
+    whole = cut.join(offsets, ["strategy", "day"]).groupBy("strategy", (F.col("offset") + F.col("island")).alias("run")).agg(F.sum("n").alias("n"))
+    return whole.where("n > 0").groupBy("strategy").agg(F.max("n").alias("longest"), F.count_if(F.col("n") >= threshold).alias("opened"), F.count("*").alias("runs"))
+
+
+def _segments(attempts: DataFrame, known: Column, after: bool, **columns: Column) -> DataFrame:
+    """attempts with t, ``columns`` and segment, which changes where a fold's state is known whatever came before.
+
+    known: over t, previous (the time of the strategy's attempt before) and failed (of its last failure before), both over the
+    whole log: found within days, and from the days before where a day has none yet. after: whether the new segment begins
+    after that attempt or with it.
+    """
+    own = _dated(attempts).select("event_id", "strategy", "day", F.col("ts").cast("double").alias("t"), "success", *[c.alias(n) for n, c in columns.items()])
+    order = Window.partitionBy("strategy", "day").orderBy("t", "event_id")
+    past, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, -1 if after else 0)
+    days = own.groupBy("strategy", "day").agg(F.max("t").alias("t"), F.max(F.when(~F.col("success"), F.col("t"))).alias("f"))
+    earlier = Window.partitionBy("strategy").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select("strategy", "day", F.max("t").over(earlier).alias("t0"), F.max("f").over(earlier).alias("f0"))
+    seen = own.withColumn("p", F.max("t").over(past)).withColumn("f", F.max(F.when(~F.col("success"), F.col("t"))).over(past)).join(carried, ["strategy", "day"])
+    seen = seen.withColumn("previous", F.coalesce("p", "t0")).withColumn("failed", F.coalesce("f", "f0"))
+    mark = F.when(known, F.struct("t", "event_id"))
+    marked = seen.withColumn("mark", mark).withColumn("s", F.max("mark").over(upto))
+    day_marks = marked.groupBy("strategy", "day").agg(F.max("mark").alias("m"))
+    day_carried = day_marks.select("strategy", "day", F.max("m").over(earlier).alias("m0"))
+    return marked.join(day_carried, ["strategy", "day"]).select("event_id", "strategy", "t", "success", *columns, F.coalesce("s", "m0").alias("segment"))
+
+
+def _folded(segments: DataFrame) -> DataFrame:
+    """The rows of a strategy's segment together and in order, segments dealt over all tasks."""
+    key = F.xxhash64("strategy", "segment")
+    return segments.withColumn("key", key).repartition("key").sortWithinPartitions("key", "t", "event_id")
 
 
 def breaker_states(attempts: DataFrame, threshold: int = 3, timeout_s: float = 300.0) -> DataFrame:
-    """Attempts with the breaker's state before each (closed, open, half-open), within a strategy and day.
+    """Attempts with the breaker's state before each (closed, open, half-open), for each strategy over the whole log.
 
     It opens after ``threshold`` failures in a row, lets one attempt through after ``timeout_s``, and any success closes it;
-    attempts on an open breaker change nothing. The state depends on its own past, so it is a fold: rows are sorted within
-    partitions and streamed, a strategy's day never has to fit in memory.
+    attempts on an open breaker change nothing. The state depends on its own past, so it is a fold. A success at least ``timeout_s``
+    after the last failure leaves the breaker closed whatever came before: the log is cut there, and the segments
+    are folded apart, sorted within partitions and streamed, so neither a day nor a segment has to fit in memory.
     """
+    known = F.col("success") & (F.col("failed").isNull() | (F.col("t") - F.col("failed") >= timeout_s))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, failures, opened = None, 0, None
         for batch in batches:
             states = []
-            for s, d, t, ok in zip(batch["strategy"], batch["day"], batch["t"], batch["success"], strict=True):
-                if key != (s, d):
-                    key, failures, opened = (s, d), 0, None
+            for k, t, ok in zip(batch["key"], batch["t"], batch["success"], strict=True):
+                if key != k:
+                    key, failures, opened = k, 0, None
                 state = "closed" if opened is None else "open" if t - opened < timeout_s else "half-open"
                 states.append(state)
                 if state == "open":
                     continue
                 failures = 0 if ok else failures + 1
                 opened = None if ok else t if failures >= threshold else opened
-            yield pd.DataFrame({"event_id": batch["event_id"], "strategy": batch["strategy"], "state": states})
+            yield pd.DataFrame({"event_id": batch["event_id"], "strategy": batch["strategy"], "t": batch["t"], "state": states})
 
-    rows = attempts.select("event_id", "strategy", F.to_date("ts").alias("day"), F.col("ts").cast("double").alias("t"), "success")
-    dealt = rows.repartition("strategy", "day").sortWithinPartitions("strategy", "day", "t", "event_id")
-    return dealt.mapInPandas(run, "event_id long, strategy string, state string")
+    return _folded(_segments(attempts, known, after=True)).mapInPandas(run, "event_id long, strategy string, t double, state string")
 
 
 def retry_fold(attempts: DataFrame, most: int = 3) -> DataFrame:
@@ -107,29 +145,48 @@ def retry_fold(attempts: DataFrame, most: int = 3) -> DataFrame:
 
 
 def running_rate(attempts: DataFrame, least: int = 20, low: float = 0.5) -> DataFrame:
-    """Per strategy and day: attempts after which the running success rate (over ``least`` or more) was below ``low``, and the last rate."""
+    """Per strategy: attempts after which the running success rate (over ``least`` or more) was below ``low``, the last rate, and all attempts.
+
+    Running counts within a day start from the sums of the days before.
+    """
     w = Window.partitionBy("strategy", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = attempts.withColumn("day", F.to_date("ts")).select("strategy", "day", "ts", "event_id", F.avg(F.col("success").cast("double")).over(w).alias("rate"), F.count("*").over(w).alias("n"))
-    return run.groupBy("strategy", "day").agg(F.count_if((F.col("n") >= least) & (F.col("rate") < low)).alias("alerts"), F.round(F.max_by("rate", F.struct("ts", "event_id")), 6).alias("last_rate"), F.max("n").alias("n"))
+    ok = F.col("success").cast("long")
+    own = _dated(attempts).select("strategy", "day", F.sum(ok).over(w).alias("ok"), F.count("*").over(w).alias("n"))
+    days = _dated(attempts).groupBy("strategy", "day").agg(F.sum(ok).alias("ok"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("strategy").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select("strategy", "day", F.coalesce(F.sum("ok").over(earlier), F.lit(0)).alias("ok0"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"))
+    run = own.join(carried, ["strategy", "day"]).select("strategy", (F.col("n") + F.col("n0")).alias("n"), ((F.col("ok") + F.col("ok0")) / (F.col("n") + F.col("n0"))).alias("rate"))
+    return run.groupBy("strategy").agg(F.count_if((F.col("n") >= least) & (F.col("rate") < low)).alias("alerts"), F.round(F.max_by("rate", "n"), 6).alias("last_rate"), F.max("n").alias("n"))
+
 
+#: Tokens a second and most tokens of each strategy; others have the default.
+RATES = {"click": (1 / 60, 5.0), "view": (1 / 120, 8.0)}
+DEFAULT_RATE = (1 / 300, 2.0)
 
-def token_bucket(attempts: DataFrame, rate: float = 1.0 / 60, capacity: float = 5.0) -> DataFrame:
-    """(event_id, strategy, granted): a bucket for each strategy and day, refilled with time up to its capacity; streamed like breaker_states()."""
+
+def token_bucket(attempts: DataFrame, rates: dict[str, tuple[float, float]] = RATES, default: tuple[float, float] = DEFAULT_RATE) -> DataFrame:
+    """(event_id, strategy, t, granted): a bucket for each strategy over the whole log, refilled with time up to its capacity, full at first.
+
+    After a pause that fills any bucket of that size the state is known: the log is cut there (see breaker_states()).
+    """
+    named = F.create_map(*[x for k, v in rates.items() for x in (F.lit(k), F.array(F.lit(v[0]), F.lit(v[1])))])
+    own = F.coalesce(F.element_at(named, F.col("strategy")), F.array(F.lit(default[0]), F.lit(default[1])))
+    full = F.col("previous").isNull() | ((F.col("t") - F.col("previous")) * F.col("rate") >= F.col("capacity"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, tokens, last = None, capacity, 0.0
+        key, tokens, last = None, 0.0, 0.0
         for batch in batches:
             granted = []
-            for s, d, t in zip(batch["strategy"], batch["day"], batch["t"], strict=True):
-                if key != (s, d):
-                    key, tokens, last = (s, d), capacity, t
+            for k, t, rate, capacity in zip(batch["key"], batch["t"], batch["rate"], batch["capacity"], strict=True):
+                if key != k:
+                    key, tokens, last = k, capacity, t
                 tokens, last = min(capacity, tokens + (t - last) * rate), t
                 granted.append(tokens >= 1)
                 tokens -= granted[-1]
-            yield pd.DataFrame({"event_id": batch["event_id"], "strategy": batch["strategy"], "granted": granted})
+            yield pd.DataFrame({"event_id": batch["event_id"], "strategy": batch["strategy"], "t": batch["t"], "granted": granted})
 
-    rows = attempts.select("event_id", "strategy", F.to_date("ts").alias("day"), F.col("ts").cast("double").alias("t"))
-    return rows.repartition("strategy", "day").sortWithinPartitions("strategy", "day", "t", "event_id").mapInPandas(run, "event_id long, strategy string, granted boolean")
+    cut = _segments(attempts, full, after=False, rate=F.get(own, 0), capacity=F.get(own, 1))
+    return _folded(cut).mapInPandas(run, "event_id long, strategy string, t double, granted boolean")
 
 
 def url_checks(urls: DataFrame, url: str = "url") -> DataFrame:
@@ -138,6 +195,18 @@ def url_checks(urls: DataFrame, url: str = "url") -> DataFrame:
     return urls.withColumn("looks_pdf", F.contains(low, F.lit(".pdf")) | (F.contains(low, F.lit("pdf")) & F.contains(low, F.lit("download")))).withColumn("paywall", low.rlike("login|subscribe|paywall|access-denied|forbidden"))
 
 
+def response_checks(rows: DataFrame) -> DataFrame:
+    """rows (url, content_type, content_length) with looks_pdf, paywall, pdf_type and size_ok (over 10,000 bytes, or unknown)."""
+    pdf_type = F.contains(F.lower(F.coalesce("content_type", F.lit(""))), F.lit("pdf"))
+    return url_checks(rows).withColumn("pdf_type", pdf_type).withColumn("size_ok", F.coalesce(F.col("content_length") > 10_000, F.lit(True)))
+
+
+def health(attempts: DataFrame, threshold: int = 3, timeout_s: float = 300.0) -> DataFrame:
+    """(strategy, available, rate, failures): available unless the breaker was open at the last attempt."""
+    states = breaker_states(attempts, threshold, timeout_s).groupBy("strategy").agg((F.max_by("state", F.struct("t", "event_id")) != "open").alias("available"))
+    return states.join(attempts.groupBy("strategy").agg(F.round(F.avg(F.col("success").cast("double")), 6).alias("rate"), F.count_if(~F.col("success")).alias("failures")), ["strategy"])
+
+
 def valid_payload(content: Column) -> tuple[Column, Column]:
     """(is_pdf, no_paywall): 1024 bytes or more that start with %PDF; no paywall mark in the first 2048."""
     is_pdf = (F.octet_length(content) >= 1024) & F.startswith(content, F.lit("%PDF"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrus.functions import text as T
@@ -14,6 +14,22 @@ def search(papers: DataFrame, term: str, limit: int, offset: int = 0) -> DataFra
     return papers.where(F.contains(F.lower("abstract"), F.lit(term.lower()))).orderBy("doc_id").offset(offset).limit(limit).select("doc_id", "pmid", T.shortened(F.col("title"), 50).alias("title"))
 
 
+def search_dates(papers: DataFrame, col: str, term: str, start: str, end: str, limit: int, offset: int = 0) -> DataFrame:
+    """A page of the dated papers whose column holds the term, published from start to end (yyyy/MM/dd, both included), by pmid."""
+    within = F.col("pub_date").between(F.to_date(F.lit(start), "yyyy/MM/dd"), F.to_date(F.lit(end), "yyyy/MM/dd"))
+    return papers.where(F.contains(F.lower(col), F.lit(term.lower())) & within).orderBy("pmid").offset(offset).limit(limit).select("pmid", "pub_date", col)
+
+
+def batch_size(n: int, with_key: bool) -> int:
+    """How many ids a request takes: a fifth of them (50 to 200) with an access key, a tenth (20 to 100) without."""
+    return min(200, max(50, n // 5)) if with_key else min(100, max(20, n // 10))
+
+
+def numbered_within(rows: DataFrame, group: str, id_col: str) -> DataFrame:
+    """rows with their place (1, 2, ...) by id within a group of bounded size."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(id_col)))
+
+
 def batches(papers: DataFrame, size: int, id_col: str = "doc_id") -> DataFrame:
     """(batch, n, first_id, last_id) of consecutive batches by id."""
     numbered = ranked(papers.select(id_col), id_col)

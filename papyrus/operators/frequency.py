@@ -68,9 +68,10 @@ def cloud_weights(papers: DataFrame, k: int = 30) -> DataFrame:
 def tfidf(papers: DataFrame, features: int = 1000, min_df: int = 2, max_df: float = 0.8, k: int = 5) -> DataFrame:
     """The k terms of highest tf-idf of each paper, over the ``features`` terms of highest total count within the document frequency limits.
 
-    idf is ln((1 + n) / (1 + df)) + 1; a paper's weights have length one.
+    Terms are words and pairs of neighbouring words, stop words taken out first. idf is ln((1 + n) / (1 + df)) + 1; a paper's weights have length one.
     """
-    words = papers.select("doc_id", F.explode(T.letter_words(F.col("abstract"), 2)).alias("term")).where(~F.col("term").isin(T.ABSTRACT_STOPS))
+    own = papers.select("doc_id", F.filter(T.letter_words(F.col("abstract"), 2), lambda t: ~t.isin(T.ABSTRACT_STOPS)).alias("own"))
+    words = own.select("doc_id", F.explode(F.concat("own", T.bigrams(F.col("own"), []))).alias("term"))
     tf = words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     total = papers.agg(F.count("*").alias("docs"))
     terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).join(F.broadcast(total))

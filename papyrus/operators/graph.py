@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrus.session import shared_folder
+
 
 def shared_item_edges(rows: DataFrame, node: str, item: str, least: int = 1) -> DataFrame:
     """Nodes that occur with the same item, weighted by how many items they share.
@@ -66,21 +68,70 @@ def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return full.agg(F.round(F.sum(part), 6).alias("q"), F.count("*").alias("groups"))
 
 
-def label_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component): the smallest node that is reached. Minima spread along edges and jump to the label of the label, each round checkpointed."""
-    both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
-    labels = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("l")).toDF("node", "component").checkpoint()
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, written once to the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every node's larger neighbours are joined to the least node of its neighbourhood. edges: src < dst."""
+    least = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
+    return edges.join(least, ["src"]).select(F.col("m").alias("src"), "dst").where("src < dst").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours are joined to the smallest of those. edges: src < dst."""
+    least = edges.groupBy("dst").agg(F.min("src").alias("m"))
+    moved = edges.join(least, ["dst"]).where("src > m").select(F.col("m").alias("src"), F.col("src").alias("dst"))
+    return moved.union(least.select(F.col("m").alias("src"), "dst")).distinct()
+
+
+def label_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component): the smallest node that is reached. Stars grow by turns until no edge changes; each round is checkpointed.
+
+    No join is on a component's label: a giant component is many keys until it is a star, whose edges have different ends.
+    """
+    now = checkpointed(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     for _ in range(rounds):
-        near = both.join(labels.toDF("dst", "l"), ["dst"]).groupBy("src").agg(F.min("l").alias("l")).toDF("node", "near")
-        closer = labels.join(near, ["node"]).select("node", F.least("component", "near").alias("c"))
-        jumped = closer.join(closer.toDF("c", "cc"), ["c"]).select("node", F.least("c", "cc").alias("component")).checkpoint()
-        changed = jumped.join(labels.toDF("node", "old"), ["node"]).where("component <> old").isEmpty()
-        labels = jumped
-        if changed:
-            return labels
+        new = checkpointed(_small_star(_large_star(now)))
+        done = new.count() == now.count() and new.join(now, ["src", "dst"], "left_anti").isEmpty()
+        now = new
+        if done:
+            heads = now.select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
+            return now.select(F.col("dst").alias("node"), F.col("src").alias("component")).union(heads)
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
+def distances(edges: DataFrame, most_nodes: int = 2000) -> DataFrame:
+    """(node, other, d): shortest paths by edges, from every node at once, a step a round. For graphs of at most ``most_nodes`` nodes (checked): the result has their square."""
+    both = checkpointed(edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    nodes = both.select(F.col("src").alias("node")).distinct()
+    if nodes.limit(most_nodes + 1).count() > most_nodes:
+        raise ValueError(f"more than {most_nodes} nodes")
+    known = last = checkpointed(nodes.select("node", F.col("node").alias("other"), F.lit(0).alias("d")))
+    for d in range(1, most_nodes):
+        step = last.select("node", F.col("other").alias("src")).join(both, ["src"]).select("node", F.col("dst").alias("other")).distinct()
+        last = checkpointed(step.join(known, ["node", "other"], "left_anti").withColumn("d", F.lit(d)))
+        if last.isEmpty():
+            break
+        known = checkpointed(known.unionByName(last))
+    return known
+
+
+def metrics(edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, components, connected, diameter (null if there are several components), average clustering coefficient."""
+    edges = checkpointed(edges)
+    parts = label_components(edges).agg(F.count_distinct("component").alias("components"))
+    widest = distances(edges).agg(F.max("d").alias("d"))
+    mean = clustering(edges).agg(F.round(F.avg("coefficient"), 6).alias("clustering"))
+    one = summary(edges).select("nodes", "edges").join(F.broadcast(parts)).join(F.broadcast(widest)).join(F.broadcast(mean))  # one row each
+    connected = F.col("components") == 1
+    return one.select("nodes", "edges", "components", connected.alias("connected"), F.when(connected, F.col("d")).alias("diameter"), "clustering")
+
+
 def adjacency(edges: DataFrame, k: int = 20) -> DataFrame:
     """(node, neighbours) of the k nodes of highest degree, neighbours among them as a sorted list."""
     best = degrees(edges, k).select("node")

@@ -1,12 +1,11 @@
-"""Parsing of article XML, conversion and lookup JSON, access records and web pages, with built-in expressions."""
+"""Parsing of conversion and lookup JSON, access records and web pages, with built-in expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# English month names.
-MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+# What an abstract in running text starts and ends with.
 FALLBACK_PATTERNS = [r"(?is)Abstract[:\s]+(.*?)(?:Keywords|Introduction|Background|Methods|PMID|$)", r"(?is)Summary[:\s]+(.*?)(?:Keywords|Introduction|Background|Methods|PMID|$)"]
 
 
@@ -16,47 +15,6 @@ def escaped(text: Column) -> Column:
     return F.replace(F.replace(F.replace(clean, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def _first(xml: Column, path: str) -> Column:
-    return F.get(F.xpath(xml, F.lit(f"{path}/text()")), 0)
-
-
-def publication_date(xml: Column) -> Column:
-    """Date of PubDate, else ArticleDate, whichever first has a year; month as number or name (else 1), day (else 1); null if there is no such day."""
-    month_names = F.create_map(*[x for k, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(k + 1))])
-
-    def parts(path: str) -> tuple[Column, Column]:
-        year, month, day = (_first(xml, f"{path}/{p}") for p in ("Year", "Month", "Day"))
-        m = F.coalesce(month.try_cast("int"), F.element_at(month_names, month), F.lit(1))
-        return year, F.try_to_date(F.format_string("%s-%02d-%02d", year, m, F.coalesce(day.try_cast("int"), F.lit(1))), "yyyy-MM-dd")
-
-    (y1, d1), (y2, d2) = parts("//PubDate"), parts("//ArticleDate")
-    return F.when(y1.isNotNull(), d1).when(y2.isNotNull(), d2)
-
-
-def collapsed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
-
-
-def article_abstract(xml: Column, least: int = 20) -> Column:
-    """Labelled abstract texts joined, else the other abstract; white space to one space; null under ``least`` characters."""
-    labels, texts = F.xpath(xml, F.lit("//Abstract/AbstractText/@Label")), F.xpath(xml, F.lit("//Abstract/AbstractText/text()"))
-    joined = F.array_join(F.transform(texts, lambda t, i: F.when(F.get(labels, i).isNotNull(), F.concat(F.get(labels, i), F.lit(": "), t)).otherwise(t)), " ")
-    other = F.xpath_string(xml, F.lit("//OtherAbstract"))
-    text = collapsed(F.when(F.size(texts) > 0, joined).otherwise(other))
-    return F.when(F.length(text) >= least, text)
-
-
-def parse_articles(rows: DataFrame, xml: str = "xml") -> DataFrame:
-    """rows with an article's XML -> pmid, title, abstract, authors, journal, pub_date, doi."""
-    x = F.col(xml)
-    last, fore = F.xpath(x, F.lit("//Author/LastName/text()")), F.xpath(x, F.lit("//Author/ForeName/text()"))
-    authors = F.transform(last, lambda n, i: F.concat_ws(" ", F.get(fore, i), n))
-    return rows.select(
-        _first(x, "//PMID").alias("pmid"), F.nullif(F.xpath_string(x, F.lit("//ArticleTitle")), F.lit("")).alias("title"), article_abstract(x).alias("abstract"),
-        F.array_join(authors, "; ").alias("authors"), _first(x, "//Journal/Title").alias("journal"), publication_date(x).alias("pub_date"), F.get(F.xpath(x, F.lit("//ArticleId[@IdType='doi']/text()")), 0).alias("doi"),
-    )
-
-
 def parse_conversions(rows: DataFrame, json: str = "json") -> DataFrame:
     """rows with {"records": [{"pmid", "pmcid"}]} -> (pmid, pmcid) of the records that have both, with the PMC prefix."""
     parsed = F.from_json(F.col(json), "struct<records: array<struct<pmid: string, pmcid: string>>>")

@@ -15,8 +15,8 @@ QUESTION_TYPES = [
     ("limitations", ["limitation", "challenge", "problem", "gap"]),
     ("future_work", ["future", "next", "recommend", "suggest"]),
 ]
-TARGETS = {"methodological": ["sections", "fulltext", "abstracts"], "findings": ["abstracts", "sections", "fulltext"], "limitations": ["sections", "fulltext"], "future_work": ["sections", "fulltext"]}
-DEFAULT_TARGETS = ["abstracts", "fulltext"]
+TARGETS = {"methodological": ["section", "fulltext", "abstract"], "findings": ["abstract", "section", "fulltext"], "thematic": ["abstract", "fulltext"]}
+DEFAULT_TARGETS = ["abstract", "fulltext", "section"]
 
 
 def question_type(question: Column) -> Column:
@@ -113,7 +113,7 @@ def analysis_prompts(papers: DataFrame, most: int = 3000) -> DataFrame:
     return papers.select("doc_id", F.length(prompt).alias("n_chars"), (F.length(used) > most).alias("truncated"), F.md5(prompt).alias("md5"))
 
 
-# Questions that are always asked, and the insight questions by category.
+#: Questions that are always asked, in own wording.
 FIXED_QUESTIONS = [
     "What are the main research methodologies used in these papers?",
     "What are the key findings and results reported?",

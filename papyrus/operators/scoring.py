@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,18 @@ def statistics(scores: DataFrame) -> DataFrame:
     return by_name.unionByName(by_type).groupBy("what", "name").agg(*agg)
 
 
+def exported(results: DataFrame, folder: str) -> DataFrame:
+    """results written as JSON lines to a new place in folder (one file a task), and read back with the same columns."""
+    path = f"{folder}/{uuid.uuid4().hex}"
+    results.write.json(path)
+    return results.sparkSession.read.schema(results.schema).json(path)
+
+
+def ranges(scores: DataFrame) -> DataFrame:
+    """(name, n, low, high, papers) of each score."""
+    return exploded(scores).groupBy("name").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"), F.count_distinct("paper_id").alias("papers"))
+
+
 def top_by_score(scores: DataFrame, name: str, k: int) -> DataFrame:
     return scores.where(F.map_contains_key("scores", name)).select("paper_id", F.round(F.element_at("scores", name), 6).alias("score")).orderBy(F.col("score").desc(), "paper_id").limit(k)
 

@@ -1,7 +1,11 @@
-"""Set similarity through prefix-filtered inverted indexes, and exact inner products."""
+"""Set similarity, exact, by prefix-filtered inverted indexes or, for low thresholds, block by block; exact inner products."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,36 +17,96 @@ def term_sets(papers: DataFrame, least: int = 4) -> DataFrame:
     return papers.select("doc_id", F.array_distinct(T.letter_words(F.col("abstract"), least)).alias("terms"))
 
 
-def jaccard_pairs(sets: DataFrame, over: float) -> DataFrame:
+#: Rows of a block; two blocks are held by a task at a time.
+BLOCK_ROWS = 512
+#: Thresholds from which prefixes are short enough to prune.
+PREFIX_FROM = 0.6
+
+
+def jaccard_pairs(sets: DataFrame, over: float = 0.05) -> DataFrame:
     """(a, b, jaccard) of all pairs a < b of sets (doc_id, terms) whose similarity exceeds ``over`` (from 0 to 1).
 
     Equal sets are one class: a class's members are linked to its first, and only first members are compared with each
-    other. Terms are ordered from rare to frequent; a pair can only pass if the first few terms of both (their prefixes)
-    share one, so frequent terms are never joined on. The result holds class representatives; see class_members().
+    other. The result holds class representatives; see class_members(). High thresholds go through an index of prefixes. Under
+    PREFIX_FROM a prefix is most of a set and prunes nothing: the sets are compared block by block, terms as 64-bit hashes.
     """
     classes = _classes(sets)
+    return _pairs_by_prefix(classes, over) if over >= PREFIX_FROM else _pairs_by_blocks(classes, over)
+
+
+def _pairs_by_prefix(classes: DataFrame, over: float) -> DataFrame:
+    """Terms are ordered from rare to frequent; a pair can only pass if the first few terms of both (their prefixes) share one, so frequent terms are never joined on."""
     exploded = classes.select("rep", F.explode("terms").alias("term"))
     frequency = exploded.groupBy("term").agg(F.count("*").alias("df"))
-    ordered = exploded.join(frequency, ["term"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("o")).select("rep", F.transform("o", lambda x: x["term"]).alias("terms"), F.size("o").alias("n"))
+    key = F.xxhash64("term")
+    ordered = exploded.join(frequency, ["term"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", key.alias("term")))).alias("o")).select("rep", F.transform("o", lambda x: x["term"]).alias("terms"), F.size("o").alias("n"))
     prefix = F.slice("terms", 1, F.col("n") - F.ceil(F.col("n") * F.lit(over)).cast("int") + 1)
-    index = ordered.select(F.col("rep").alias("id"), "n", F.explode(prefix).alias("term"))
-    left, right = (index.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "term") for x in ("a", "b"))
-    # a length filter: the smaller set must be larger than ``over`` times the larger
+    index = ordered.select(F.col("rep").alias("id"), "n", F.posexplode(prefix).alias("pos", "term"))
+    left, right = (index.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), "term") for x in ("a", "b"))
+    # The smaller set must be larger than ``over`` times the larger; what can still be shared from these positions on must suffice.
     near = (F.col("a") < F.col("b")) & (F.least("na", "nb") > F.lit(over) * F.greatest("na", "nb"))
-    candidates = left.join(right, ["term"]).where(near).select("a", "b").distinct()
+    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
+    near &= rest >= F.lit(over / (1 + over)) * (F.col("na") + F.col("nb"))
+    candidates = left.join(right, ["term"]).where(near).groupBy("a", "b").agg(F.lit(1).alias("_")).select("a", "b")
     both = candidates.join(ordered.select(F.col("rep").alias("a"), F.col("terms").alias("x")), ["a"]).join(ordered.select(F.col("rep").alias("b"), F.col("terms").alias("y")), ["b"])
     return both.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") > over)
 
 
+def block_pairs(rows: DataFrame, key: str, value: Column, schema: str, compare: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Every block of rows (key: a long, value) meets every block once, itself included: compare(left, right, same) -> schema.
+
+    Blocks are dealt by hash and as many as the rows need, so a task holds about 2 * block_rows rows whatever the keys
+    are; the work is that of all pairs, which low thresholds ask for, and what leaves a task is only what compare() keeps.
+    """
+    own = rows.select(F.col(key).alias("id"), value.alias("v"))
+    n = max(1, -(-own.count() // block_rows))
+    dealt = own.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least("blk", o).alias("lo"), F.greatest("blk", o).alias("hi")))
+    met = dealt.select("id", "v", "blk", F.explode(every).alias("at")).select("id", "v", "blk", "at.lo", "at.hi")
+
+    def run(both: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = int(both["lo"].iloc[0]), int(both["hi"].iloc[0])
+        return compare(both[both["blk"] == lo], both[both["blk"] == hi], lo == hi)
+
+    return met.repartition(min(n * (n + 1) // 2, 2000), "lo", "hi").groupBy("lo", "hi").applyInPandas(run, schema)
+
+
+def _pairs_by_blocks(classes: DataFrame, over: float) -> DataFrame:
+    def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        """Counts of shared terms: a table of the left block's terms by rows, of which each right row adds up those of its terms."""
+        ids, sizes = left["id"].to_numpy(), np.array([len(t) for t in left["v"]])
+        flat = np.concatenate([np.asarray(t) for t in left["v"]]) if len(left) else np.zeros(0, np.int64)
+        known, place = np.unique(flat, return_inverse=True)
+        held = np.zeros((len(known) + 1, len(left)), np.uint8)
+        held[place, np.repeat(np.arange(len(left)), sizes)] = 1
+        out = []
+        for other, terms in zip(right["id"], right["v"], strict=True):
+            terms = np.asarray(terms)
+            at = np.minimum(np.searchsorted(known, terms), len(known) - 1) if len(known) else np.zeros(0, np.int64)
+            shared = held[at[known[at] == terms]].sum(axis=0, dtype=np.int64)
+            found = shared / (sizes + len(terms) - shared)
+            keep = (found > over) & ((ids < other) if same else (ids != other))
+            out.append(pd.DataFrame({"a": np.minimum(ids[keep], other), "b": np.maximum(ids[keep], other), "jaccard": found[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "jaccard": []})
+
+    return block_pairs(classes, "rep", F.transform("terms", lambda t: F.xxhash64(t)), "a long, b long, jaccard double", compare)
+
+
+def mirrored(pairs: DataFrame) -> DataFrame:
+    """(row, col, jaccard): the matrix of pairs a < b, both halves without the diagonal."""
+    return pairs.select(F.explode(F.array(F.struct(F.col("a").alias("row"), F.col("b").alias("col")), F.struct(F.col("b").alias("row"), F.col("a").alias("col")))).alias("at"), "jaccard").select("at.row", "at.col", "jaccard")
+
+
 def _classes(sets: DataFrame) -> DataFrame:
-    """(rep, terms) of the distinct non-empty sets; rep is the smallest doc_id."""
-    return sets.where(F.size("terms") > 0).groupBy(F.array_sort("terms").alias("terms")).agg(F.min("doc_id").alias("rep")).select("rep", "terms")
+    """(rep, terms) of the distinct non-empty sets; rep is the smallest doc_id. Sets are told apart by a digest, so no array is a key."""
+    key = F.sha2(F.array_join(F.array_sort("terms"), " "), 256)
+    return sets.where(F.size("terms") > 0).groupBy(key.alias("key")).agg(F.min_by(F.struct("doc_id", "terms"), "doc_id").alias("c")).select(F.col("c.doc_id").alias("rep"), "c.terms")
 
 
 def class_members(sets: DataFrame) -> DataFrame:
-    """(doc_id, rep) of every non-empty set."""
-    w = Window.partitionBy("key")
-    return sets.where(F.size("terms") > 0).select("doc_id", F.sha2(F.array_join(F.array_sort("terms"), " "), 256).alias("key")).withColumn("rep", F.min("doc_id").over(w)).select("doc_id", "rep")
+    """(doc_id, rep) of every non-empty set; a class, however large, is summed up before the shuffle and joined back."""
+    keyed = sets.where(F.size("terms") > 0).select("doc_id", F.sha2(F.array_join(F.array_sort("terms"), " "), 256).alias("key"))
+    return keyed.join(keyed.groupBy("key").agg(F.min("doc_id").alias("rep")), ["key"]).select("doc_id", "rep")
 
 
 def jaccard(x: Column, y: Column) -> Column:

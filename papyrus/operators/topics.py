@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrus.operators.graph import label_components
-from papyrus.operators.similarity import inner, unit
+from papyrus.operators.similarity import block_pairs, inner, unit
 
 
 def word_pairs(topics: DataFrame, per_topic: int = 5, top_words: int = 15) -> DataFrame:
@@ -18,8 +20,10 @@ def word_pairs(topics: DataFrame, per_topic: int = 5, top_words: int = 15) -> Da
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def entity_links(topics: DataFrame, entities: DataFrame) -> DataFrame:
-    """(topic, entity, weight): how many of a topic's words stand within an entity's name. entities: entity (few rows)."""
+def entity_links(topics: DataFrame, entities: DataFrame, most: int = 1000) -> DataFrame:
+    """(topic, entity, weight): how many of a topic's words stand within an entity's name. entities: entity, at most ``most`` rows (checked)."""
+    if entities.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} entities")
     hit = F.contains(F.lower("entity"), F.col("word"))
     return topics.join(F.broadcast(entities), hit).groupBy("topic", "entity").agg(F.count("*").alias("weight"))
 
@@ -56,20 +60,42 @@ def length_weight_bins(topics: DataFrame, bins: int = 10) -> DataFrame:
     return topics.join(F.broadcast(top)).groupBy(F.length("word").alias("length"), place.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def density_clusters(vectors: DataFrame, blocks: int = 8) -> DataFrame:
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances between rows, to nine digits; the difference is taken before squares, a few rows at a time."""
+    out = np.empty((len(x), len(y)))
+    for lo in range(0, len(x), 64):
+        out[lo : lo + 64] = np.sqrt(((x[lo : lo + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+    return out.round(9)
+
+
+def _nearest(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+    d = _distances(np.stack(left["v"].to_list()), np.stack(right["v"].to_list())) if len(left) and len(right) else np.zeros((0, 0))
+    if same:
+        np.fill_diagonal(d, np.inf)
+    sides = [(left["id"], d.min(axis=1))] + ([] if same else [(right["id"], d.min(axis=0))]) if d.size else []
+    return pd.concat([pd.DataFrame({"id": i, "d": m}) for i, m in sides]) if sides else pd.DataFrame({"id": [], "d": []})
+
+
+def density_clusters(vectors: DataFrame, quantile: float = 0.95) -> DataFrame:
     """vectors: id, v -> (id, cluster): density clusters with two points at least; -1 for noise.
 
     With two points enough for a core, clusters are the components of the pairs at most eps apart; eps is the 95th
-    percentile of the distances to the nearest neighbour. Every vector is a query against all vectors: the table is cut into
-    blocks by hash and blocks meet, so a task holds two blocks at a time; only neighbours within eps leave it.
+    percentile of the distances to the nearest neighbour. Blocks of vectors meet in numpy, once for the nearest distance
+    of each and once for the pairs within eps; one number a vector and block leaves the first, only links the second.
     """
-    own = vectors.select("id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("blk"))
-    other = own.select(F.col("id").alias("other"), F.col("v").alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("blk"))
-    square = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    met = own.join(other, ["blk"]).where("id <> other").select("id", "other", F.round(F.sqrt(square), 9).alias("d"))
-    eps = met.groupBy("id").agg(F.min("d").alias("d")).agg(F.percentile("d", 0.95).alias("eps"))
-    near = met.join(F.broadcast(eps)).where("d <= eps and id < other").select(F.col("id").alias("src"), F.col("other").alias("dst")).checkpoint()
-    found = label_components(near)
+    value = F.col("v").cast("array<double>")
+    near = block_pairs(vectors, "id", value, "id long, d double", _nearest).groupBy("id").agg(F.min("d").alias("d"))
+    eps = near.where("d < double('infinity')").agg(F.percentile("d", quantile)).first()[0]
+
+    def within(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        if eps is None or not (len(left) and len(right)):
+            return pd.DataFrame({"src": [], "dst": []})
+        i, j = np.nonzero(_distances(np.stack(left["v"].to_list()), np.stack(right["v"].to_list())) <= eps)
+        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+        keep = (a < b) if same else (a != b)
+        return pd.DataFrame({"src": np.minimum(a, b)[keep], "dst": np.maximum(a, b)[keep]})
+
+    found = label_components(block_pairs(vectors, "id", value, "src long, dst long", within))
     return vectors.select("id").join(found.toDF("id", "cluster"), ["id"], "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 

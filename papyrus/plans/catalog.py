@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from papyrus.functions.stats import histogram
 from papyrus.operators import attempts as A
 from papyrus.operators import corpus, derived, enrichment, frequency, graph, ingest, learning, retrieval, scoring, sentiment, similarity, topics, trends
+from papyrus.plans import panels_sql, records
 from papyrus.plans.oracles import ORACLES
 from papyrus.sources.views import attempts, dated_papers, papers, scores, table
 from papyrus.streaming import events as S
@@ -37,7 +38,6 @@ _over(
     coverage_suggestions=lambda p: corpus.coverage_suggestions(corpus.coverage(p)),
     text_normalize=corpus.normalized_table,
     readability=corpus.readability_table,
-    flesch_by_journal=corpus.flesch_by_journal,
     word_count_hist=corpus.word_count_histogram,
     sentence_lengths=corpus.sentence_length_counts,
     text_summary=corpus.text_summary,
@@ -51,16 +51,11 @@ _over(
     tfidf=frequency.tfidf,
     top_journals=trends.top_journals,
     years_in_text=lambda p: trends.years_in_text(p, "abstract"),
-    jaccard_pairs=lambda p: similarity.jaccard_pairs(similarity.term_sets(p), 0.5).withColumn("jaccard", F.round("jaccard", 6)),
+    jaccard_pairs=lambda p: similarity.jaccard_pairs(similarity.term_sets(p), 0.05).withColumn("jaccard", F.round("jaccard", 6)),
     jaccard_classes=lambda p: similarity.class_members(similarity.term_sets(p)),
     index_sizes=retrieval.eligible_counts,
-    chunk_stats=lambda p: retrieval.chunks(p).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("text")).alias("longest"), F.sum(F.length("text")).alias("n_chars")),
     analysis_prompts=retrieval.analysis_prompts,
     lexicon_sentiment=sentiment.sentiment,
-    sentiment_overall=lambda p: sentiment.overall(sentiment.sentiment(p)),
-    aspect_sentiment=sentiment.aspects,
-    emotion_counts=sentiment.emotion_counts,
-    gap_rules=sentiment.method_gap,
     quality_components=lambda p: derived.quality_components(derived.corpus_facts(p, sentiment.sentiment(p), frequency.top_terms_by_journal(p))),
     citation_split=lambda p: derived.citation_split(derived.corpus_facts(p, sentiment.sentiment(p), frequency.top_terms_by_journal(p)), 80.0),
     cluster_summaries=lambda p: learning.cluster_summaries(p, "keyword"),
@@ -79,11 +74,7 @@ _over(
     attempts,
     batch_result=A.batch_result,
     strategy_stats=A.strategy_statistics,
-    breaker_runs=A.breaker_runs,
-    breaker_states=lambda a: A.breaker_states(a).groupBy("strategy", "state").agg(F.count("*").alias("n")),
-    token_bucket=lambda a: A.token_bucket(a).groupBy("strategy", "granted").agg(F.count("*").alias("n")),
     retry_fold=A.retry_fold,
-    running_success_rate=A.running_rate,
     first_success=lambda a: A.first_success(a, F.array_position(F.array(*map(F.lit, ["click", "view", "purchase", "signup", "error"])), F.col("strategy"))),
 )
 _over(
@@ -185,17 +176,6 @@ def retrieve_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dedupe_contexts(found)
 
 
-@query
-def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.confidence(retrieve_dedupe(spark, sf_dir))
-
-
-@query
-def question_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("question_id"), F.col("text").alias("question"))
-    return retrieval.classify(asked).groupBy("type").agg(F.count("*").alias("n"))
-
-
 @query
 def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn with the next turn of its conversation as context."""
@@ -239,17 +219,6 @@ def strategy_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.routes(own).groupBy("strategy", "place").agg(F.count("*").alias("n"))
 
 
-@query
-def url_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.url_checks(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
-
-
-@query
-def payload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    is_pdf, free = A.valid_payload(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", is_pdf.alias("is_pdf"), free.alias("no_paywall"))
-
-
 def _edges(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
     """Suppliers that deliver for the same order; an order has a few lines."""
     return graph.shared_item_edges(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_orderkey", least)
@@ -268,13 +237,16 @@ QUERIES |= {
     "dominant_component": lambda s, d: learning.dominant_label(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))),
     "kmeans_elbow": lambda s, d: learning.kmeans_clusters(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))),
     "page_fields": lambda s, d: ingest.page_fields(table(s, d, "pages")),
-    "page_markdown": lambda s, d: ingest.markdown(table(s, d, "pages")),
     "sink_stats": lambda s, d: ingest.sink_statistics(table(s, d, "pages"), "html"),
+    "windows_sliding": lambda s, d: S.sliding(_events(s, d)).withColumn("start", F.col("start").cast("timestamp_ntz")),
+    "events_deduplicated": lambda s, d: S.deduplicated(_events(s, d).unionByName(_events(s, d).where("event_id % 3 = 0"))).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")),
+    "stream_sliding": lambda s, d: S.run(S.sliding(S.source(s, d))),
+    "stream_deduplicated": lambda s, d: S.run(S.deduplicated(S.source(s, d))),
     "windows_tumbling": lambda s, d: S.tumbling(_events(s, d)).withColumn("start", F.col("start").cast("timestamp_ntz")),
     "windows_session": lambda s, d: S.sessions(_events(s, d)).withColumn("start", F.col("start").cast("timestamp_ntz")),
     "stream_tumbling": lambda s, d: S.run(S.tumbling(S.source(s, d))),
     "stream_session": lambda s, d: S.run(S.sessions(S.source(s, d))),
-    "stream_breaker": lambda s, d: S.run(S.breaker(S.source(s, d)), "update"),
+    "stream_breaker": lambda s, d: S.run(S.breaker(S.source(s, d)), "update", "user_id"),
 }
 
 
@@ -282,21 +254,6 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query
-def article_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each paper as an article's XML, parsed again."""
-    n = F.col("doc_id")
-    months = F.array(*map(F.lit, ingest.MONTHS))
-    month = F.when(n % 2 == 0, F.get(months, (n % 12).cast("int"))).otherwise((n % 12 + 1).cast("string"))
-    doi = F.when(n % 2 == 0, F.concat(F.lit("<ArticleId IdType='doi'>10.1/"), n.cast("string"), F.lit("</ArticleId>"))).otherwise("")
-    xml = F.concat(
-        F.lit("<Article><PMID>"), n.cast("string"), F.lit("</PMID><Journal><Title>"), ingest.escaped(F.col("journal")), F.lit("</Title></Journal><PubDate><Year>"), (2000 + n % 20).cast("string"), F.lit("</Year><Month>"), month, F.lit("</Month><Day>"),
-        (n % 28 + 1).cast("string"), F.lit("</Day></PubDate><ArticleTitle>"), ingest.escaped(F.col("title")), F.lit("</ArticleTitle><Abstract><AbstractText Label='A'>"), ingest.escaped(F.col("abstract")),
-        F.lit("</AbstractText></Abstract><AuthorList><Author><LastName>Smith</LastName><ForeName>A"), n.cast("string"), F.lit("</ForeName></Author><Author><LastName>Doe</LastName></Author></AuthorList>"), doi, F.lit("</Article>"),
-    )
-    return ingest.parse_articles(papers(spark, sf_dir).select(xml.alias("xml"))).select("pmid", "journal", "pub_date", "doi", "authors")
-
-
 @query
 def access_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each label row as an access record in XML, parsed and counted; records without quality are errors."""
@@ -350,7 +307,6 @@ QUERIES |= {
     "coherence_sentiment": lambda s, d: topics.coherence_sentiment(_topics(s, d), papers(s, d).select(F.col("journal").alias("topic"), F.round(sentiment.polarity(F.col("abstract")), 6).alias("polarity"))),
     "corpus_overview": lambda s, d: corpus.overview(papers(s, d)),
     "score_density": lambda s, d: scoring.density(scoring.composites(scores(s, d))),
-    "label_similarity": lambda s, d: topics.label_similarity(table(s, d, "embeddings").select("label", F.col("embedding").alias("v"))),
     "generated_questions": lambda s, d: retrieval.generated_questions(papers(s, d), dated_papers(s, d)),
     "corpus_context": lambda s, d: retrieval.corpus_context(papers(s, d)),
     "response_length_hist": lambda s, d: histogram(table(s, d, "conversations").where("role = 'assistant'").select(F.length("text").alias("n")), "n", 20),
@@ -358,10 +314,10 @@ QUERIES |= {
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | records.QUERIES | panels_sql.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLES.items() if k in QUERIES}
+    return {k: v for k, v in ORACLES.items() if k in QUERIES} | records.ORACLES | panels_sql.ORACLES
 
 

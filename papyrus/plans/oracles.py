@@ -69,7 +69,7 @@ ORACLES: dict[str, str] = {
     "term_cooccurrence": f"{W}{PAPERS}, d AS (SELECT doc_id, unnest({_words('abstract', 4)}) AS w FROM papers), top AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) AS r FROM d WHERE w NOT IN {_in(T.COOCCURRENCE_STOPS)} GROUP BY w QUALIFY r <= 8), s AS (SELECT DISTINCT doc_id, w, r FROM d JOIN top USING (w)) SELECT x.w AS a, y.w AS b, count(*) AS n FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.r < y.r GROUP BY 1, 2",
     "top_terms_by_journal": f"{W}{PAPERS}, t AS (SELECT journal, w AS term, count(*) AS n FROM (SELECT journal, unnest({_words('abstract')}) AS w FROM papers) WHERE w NOT IN {_in(T.ABSTRACT_STOPS)} GROUP BY 1, 2), j AS (SELECT journal, count(*) AS papers, round(avg(length(abstract)), 4) AS mean_length FROM papers GROUP BY 1) SELECT journal, CAST(rank AS INTEGER) AS rank, term, n, papers, mean_length FROM (SELECT *, row_number() OVER (PARTITION BY journal ORDER BY n DESC, term) AS rank FROM t) JOIN j USING (journal) WHERE rank <= 10",
     "cloud_weights": f"{W}{PAPERS}, t AS (SELECT w AS term, count(*) AS n FROM (SELECT unnest({_words('abstract', 4)}) AS w FROM papers) WHERE w NOT IN {_in(T.CLOUD_STOPS)} GROUP BY w ORDER BY n DESC, w LIMIT 30) SELECT term, n, CAST(floor(n * 100 / (SELECT max(n) FROM t)) AS BIGINT) AS weight FROM t",
-    "tfidf": f"{W}{PAPERS}, tf AS (SELECT doc_id, w AS term, count(*) AS tf FROM (SELECT doc_id, unnest({_words('abstract', 2)}) AS w FROM papers) WHERE w NOT IN {_in(T.ABSTRACT_STOPS)} GROUP BY 1, 2), n AS (SELECT count(*) AS docs FROM papers), k AS (SELECT term, ln((1 + docs) / (1 + count(*))) + 1 AS idf, sum(tf) AS total FROM tf, n GROUP BY term, docs HAVING count(*) >= 2 AND count(*) <= 0.8 * docs ORDER BY total DESC, term LIMIT 1000), w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN k USING (term)), x AS (SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w) SELECT doc_id, term, weight, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS INTEGER) AS rank FROM x QUALIFY rank <= 5",
+    "tfidf": f"{W}{PAPERS}, o AS (SELECT doc_id, list_filter({_words('abstract', 2)}, lambda x: x NOT IN {_in(T.ABSTRACT_STOPS)}) AS o FROM papers), u AS (SELECT doc_id, unnest(o) AS w FROM o UNION ALL SELECT doc_id, unnest(list_transform(list_zip(o[:-2], o[2:]), lambda z: z[1] || ' ' || z[2])) FROM o WHERE len(o) > 1), tf AS (SELECT doc_id, w AS term, count(*) AS tf FROM u GROUP BY 1, 2), n AS (SELECT count(*) AS docs FROM papers), k AS (SELECT term, ln((1 + docs) / (1 + count(*))) + 1 AS idf, sum(tf) AS total FROM tf, n GROUP BY term, docs HAVING count(*) >= 2 AND count(*) <= 0.8 * docs ORDER BY total DESC, term LIMIT 1000), w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN k USING (term)), x AS (SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w) SELECT doc_id, term, weight, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS INTEGER) AS rank FROM x QUALIFY rank <= 5",
     "yearly_counts": f"{W}{DATED} SELECT CAST(year AS INTEGER) AS year, count(*) AS n FROM dated WHERE year >= 1990 GROUP BY year",
     "trend_slope_peak": f"{W}{DATED}, y AS (SELECT year, count(*) AS n FROM dated WHERE year >= 1990 GROUP BY year) SELECT round(regr_slope(n, year), 6) AS slope, (SELECT CAST(year AS INTEGER) FROM y ORDER BY n DESC, year LIMIT 1) AS peak_year, max(n) AS peak_n, count(*) AS years FROM y",
     "journal_trends": f"{W}{DATED}, b AS (SELECT journal, count(*) AS total FROM dated GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10), c AS (SELECT journal, year, count(*) AS n FROM dated GROUP BY 1, 2) SELECT journal, total, CASE WHEN count(*) > 1 THEN round(regr_slope(n, year), 6) END AS slope, arg_max(n, year) AS recent FROM c JOIN b USING (journal) GROUP BY 1, 2",
@@ -86,12 +86,11 @@ ORACLES: dict[str, str] = {
     "id_fallback": "SELECT CAST(d.doc_id AS VARCHAR) AS clean_pmid, CASE WHEN d.doc_id % 3 = 0 THEN 'PMC' || d.doc_id WHEN quality = 1 THEN 'PMC1' || d.doc_id WHEN toxic = 1 THEN 'PMC2' || d.doc_id END AS pmcid, CASE WHEN d.doc_id % 3 = 0 THEN 'own' WHEN quality = 1 THEN 'link' WHEN toxic = 1 THEN 'cross' ELSE 'none' END AS origin FROM documents d LEFT JOIN labels USING (doc_id)",
     "json_idconv": "SELECT CAST(doc_id AS VARCHAR) AS pmid, 'PMC' || doc_id AS pmcid FROM labels WHERE quality = 1",
     "json_links": "SELECT doc_id, CAST(doc_id * 10 AS VARCHAR) AS link FROM documents",
-    "jaccard_pairs": f"{W}s AS (SELECT doc_id, list_sort(list_distinct({_words('text', 4)})) AS t FROM documents), c AS (SELECT min(doc_id) AS id, t FROM s WHERE len(t) > 0 GROUP BY t), x AS (SELECT id, len(t) AS n, unnest(t) AS w FROM c), p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.w = b.w AND a.id < b.id AND least(a.n, b.n) > 0.5 * greatest(a.n, b.n) GROUP BY ALL) SELECT a, b, round(k / (na + nb - k), 6) AS jaccard FROM p WHERE k / (na + nb - k) > 0.5",
+    "jaccard_pairs": f"{W}s AS (SELECT doc_id, list_sort(list_distinct({_words('text', 4)})) AS t FROM documents), c AS (SELECT min(doc_id) AS id, t FROM s WHERE len(t) > 0 GROUP BY t), x AS (SELECT id, len(t) AS n, unnest(t) AS w FROM c), p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.w = b.w AND a.id < b.id AND least(a.n, b.n) > 0.05 * greatest(a.n, b.n) GROUP BY ALL) SELECT a, b, round(k / (na + nb - k), 6) AS jaccard FROM p WHERE k / (na + nb - k) > 0.05",
     "jaccard_classes": f"{W}s AS (SELECT doc_id, list_sort(list_distinct({_words('text', 4)})) AS t FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS rep FROM s WHERE len(t) > 0",
     "group_term_jaccard": f"{W}{PAPERS}, t AS (SELECT journal, w, row_number() OVER (PARTITION BY journal ORDER BY count(*) DESC, w) AS r FROM (SELECT journal, unnest({_words('abstract')}) AS w FROM papers) WHERE w NOT IN {_in(T.ABSTRACT_STOPS)} GROUP BY 1, 2 QUALIFY r <= 10), n AS (SELECT journal, count(*) AS n FROM t GROUP BY 1) SELECT x.journal AS a, y.journal AS b, round(count(*) / (any_value(nx.n) + any_value(ny.n) - count(*)), 6) AS jaccard FROM t x JOIN t y ON x.w = y.w AND x.journal < y.journal JOIN n nx ON nx.journal = x.journal JOIN n ny ON ny.journal = y.journal GROUP BY 1, 2",
     "vector_topk": "WITH u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), v AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM u), s AS (SELECT q.vec_id AS query_id, v.label AS kind, v.vec_id AS id, round(list_inner_product(q.e, v.e) / (q.n * v.n), 6) AS score FROM v q, v WHERE q.vec_id % 20 = 0) SELECT query_id, CAST(kind AS INTEGER) AS kind, id, score, CAST(row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 3",
     "retrieve_dedupe": "WITH u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), v AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM u), s AS (SELECT q.vec_id AS query_id, v.label AS kind, v.vec_id AS id, round(list_inner_product(q.e, v.e) / (q.n * v.n), 6) AS score FROM v q, v WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 3), f AS (SELECT query_id, id // 2 AS paper_id, score FROM r QUALIFY row_number() OVER (PARTITION BY query_id, id // 2 ORDER BY kind, rank) = 1) SELECT query_id, paper_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS INTEGER) AS place FROM f QUALIFY place <= 5",
-    "question_types": f"SELECT type, count(*) AS n FROM (SELECT {QTYPE} AS type FROM conversations WHERE role = 'user') GROUP BY 1",
     "index_sizes": "SELECT 'abstract' AS kind, count(*) FILTER (length(trim(coalesce(text, ''))) > 50) AS n FROM documents UNION ALL SELECT 'fulltext', count(*) FILTER (length(trim(coalesce(text, ''))) > 100) FROM documents",
     "analysis_prompts": "WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, CASE WHEN length(trim(text)) >= 100 THEN text ELSE split_part(text, chr(10), 1) END AS u FROM documents), p AS (SELECT doc_id, length(u) > 3000 AS truncated, 'Title: ' || title || chr(10) || 'Text: ' || CASE WHEN length(u) > 3000 THEN left(u, 3000) || '... [truncated]' ELSE u END AS p FROM d) SELECT doc_id, length(p) AS n_chars, truncated, md5(p) AS md5 FROM p",
     "score_extract": "SELECT doc_id, CAST(doc_id % 7 AS DOUBLE) AS quality, CAST(quality * 4 + 0.5 AS DOUBLE) AS overall, 2 AS n FROM labels",
@@ -102,18 +101,12 @@ ORACLES: dict[str, str] = {
     "composite_rank": f"{W}{SCORES} SELECT paper_id, journal, round((0.25 * q + 0.10 * c + 0.20 * i) / 0.55, 6) AS composite FROM sc",
     "journal_boxplot": f"{W}{SCORES}, k AS (SELECT left(journal, 20) AS journal, round((0.25 * q + 0.10 * c + 0.20 * i) / 0.55, 6) AS x FROM sc) SELECT journal, count(*) AS n, min(x) AS low, round(quantile_cont(x, 0.25), 4) AS q1, round(quantile_cont(x, 0.5), 4) AS q2, round(quantile_cont(x, 0.75), 4) AS q3, max(x) AS high FROM k GROUP BY 1 HAVING count(*) >= 2",
     "response_stats": "SELECT role, count(*) AS n, round(avg(length(text)), 4) AS mean_length, round(avg(turn), 4) AS mean_turn, CASE WHEN count(*) > 2 THEN round(covar_pop(length(text), turn) / nullif(stddev_pop(length(text)) * stddev_pop(turn), 0), 4) END AS corr FROM conversations GROUP BY 1",
-    "strategy_routing": "WITH s(strategy, priority, position, needs) AS (VALUES " + ", ".join(f"('{n}', {p}, {k}, '{need}')" for k, (n, p, need) in enumerate(attempts.STRATEGIES)) + "), p AS (SELECT d.doc_id AS paper, CASE WHEN quality = 1 THEN 'PMC' || d.doc_id END AS pmcid, CASE WHEN d.doc_id % 3 = 0 THEN '10.1/arxiv.' || d.doc_id WHEN d.doc_id % 3 = 1 THEN '10.1/x' || d.doc_id END AS doi FROM documents d LEFT JOIN labels USING (doc_id)) SELECT strategy, CAST(place AS INTEGER) AS place, count(*) AS n FROM (SELECT paper, strategy, row_number() OVER (PARTITION BY paper ORDER BY priority, position) AS place FROM p, s WHERE CASE needs WHEN 'pmcid' THEN pmcid IS NOT NULL WHEN 'doi' THEN doi IS NOT NULL WHEN 'arxiv' THEN contains(coalesce(doi, ''), 'arxiv') ELSE true END) GROUP BY 1, 2",
+    "strategy_routing": "WITH s(strategy, priority, position, needs) AS (VALUES ('EuropePMC', 0, 0, 'pmcid'), ('PMC OA', 1, 1, 'pmcid'), ('Direct PMC', 2, 2, 'pmcid'), ('Enhanced DOI', 3, 3, 'doi'), ('DOI', 3, 4, 'doi'), ('arXiv', 4, 5, 'arxiv'), ('arXiv API', 5, 6, 'arxiv'), ('PyPaperBot', 7, 7, 'title or doi'), ('Semantic Scholar', 8, 8, 'any'), ('Unpaywall', 10, 9, 'doi')), p AS (SELECT d.doc_id AS paper, CASE WHEN quality = 1 THEN 'PMC' || d.doc_id END AS pmcid, CASE WHEN d.doc_id % 3 = 0 THEN '10.1/arxiv.' || d.doc_id WHEN d.doc_id % 3 = 1 THEN '10.1/x' || d.doc_id END AS doi FROM documents d LEFT JOIN labels USING (doc_id)) SELECT strategy, CAST(place AS INTEGER) AS place, count(*) AS n FROM (SELECT paper, strategy, row_number() OVER (PARTITION BY paper ORDER BY priority, position) AS place FROM p, s WHERE CASE needs WHEN 'pmcid' THEN pmcid IS NOT NULL WHEN 'doi' THEN doi IS NOT NULL WHEN 'arxiv' THEN contains(coalesce(doi, ''), 'arxiv') ELSE true END) GROUP BY 1, 2",
     "first_success": f"{W}{ATTEMPTS} SELECT paper, strategy, event_id FROM att WHERE success QUALIFY row_number() OVER (PARTITION BY paper ORDER BY list_position(['click', 'view', 'purchase', 'signup', 'error'], strategy), ts, event_id) = 1",
     "batch_result": f"{W}{ATTEMPTS}, b AS (SELECT paper, bool_or(success) AS ok FROM att GROUP BY 1) SELECT count(*) AS papers, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS failed, round(avg(CAST(ok AS INTEGER)), 6) AS rate FROM b",
     "strategy_stats": f"{W}{ATTEMPTS} SELECT coalesce(strategy, 'ALL') AS strategy, count(*) FILTER (success) AS ok, count(*) FILTER (NOT success) AS failed, round(avg(CAST(success AS INTEGER)), 6) AS rate FROM att GROUP BY GROUPING SETS ((strategy), ())",
-    "breaker_runs": f"{W}{ATTEMPTS}, i AS (SELECT *, sum(CAST(success AS INTEGER)) OVER (PARTITION BY strategy, day ORDER BY ts, event_id) AS island FROM att), r AS (SELECT strategy, day, island, count(*) AS n FROM i WHERE NOT success GROUP BY ALL) SELECT strategy, day, max(n) AS longest, count(*) FILTER (n >= 3) AS opened FROM r GROUP BY 1, 2",
     "retry_fold": f"{W}{ATTEMPTS}, t AS (SELECT *, row_number() OVER (PARTITION BY paper, strategy ORDER BY ts, event_id) AS try FROM att QUALIFY try <= 3) SELECT paper, strategy, CAST(max(try) AS INTEGER) AS tries, bool_or(success) AS ok, arg_max(event_id, try) AS last_event, CAST(sum(CASE WHEN try > 1 THEN pow(2, try - 2) ELSE 0 END) AS DOUBLE) AS waited FROM t GROUP BY 1, 2",
-    "running_success_rate": f"{W}{ATTEMPTS}, w AS (SELECT strategy, day, ts, event_id, avg(CAST(success AS INTEGER)) OVER x AS rate, count(*) OVER x AS n FROM att WINDOW x AS (PARTITION BY strategy, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) SELECT strategy, day, count(*) FILTER (n >= 20 AND rate < 0.5) AS alerts, round(arg_max(rate, n), 6) AS last_rate, max(n) AS n FROM w GROUP BY 1, 2",
-    "url_checks": "SELECT page_id, (contains(lower(url), '.pdf') OR (contains(lower(url), 'pdf') AND contains(lower(url), 'download'))) AS looks_pdf, regexp_matches(lower(url), 'login|subscribe|paywall|access-denied|forbidden') AS paywall FROM pages",
-    "payload_checks": "SELECT page_id, (strlen(html) >= 1024 AND starts_with(html, '%PDF')) AS is_pdf, NOT regexp_matches(lower(left(html, 2048)), '<html|<!doctype|access denied|subscription required|paywall') AS no_paywall FROM pages",
     "lexicon_sentiment": f"{W}{LEX}, t AS (SELECT doc_id, unnest({_words('text')}) AS w FROM documents), r AS (SELECT doc_id, avg(p) AS p FROM t JOIN lex USING (w) GROUP BY 1) SELECT doc_id, round(coalesce(p, 0.0), 6) AS polarity, CASE WHEN coalesce(round(p, 6), 0) > 0.1 THEN 'positive' WHEN coalesce(round(p, 6), 0) < -0.1 THEN 'negative' ELSE 'neutral' END AS label FROM documents LEFT JOIN r USING (doc_id)",
-    "emotion_counts": "WITH e(emotion, word) AS (VALUES " + ", ".join(f"('{e}', '{w}')" for e, ws in sentiment.EMOTIONS.items() for w in ws) + f") SELECT emotion, word, count(*) AS n FROM (SELECT unnest({_words('text')}) AS word FROM documents) JOIN e USING (word) GROUP BY 1, 2",
-    "gap_rules": "WITH h AS (SELECT doc_id, " + " + ".join(f"CAST(contains(lower(coalesce(text, '')), '{w}') AS INTEGER)" for w in sentiment.METHOD_WORDS) + " AS k FROM documents) SELECT sum(k) AS hits, count(*) AS texts, round(sum(k) / count(*), 6) AS share, sum(k) / count(*) < 0.3 AS gap FROM h",
     "phase_trend": f"{W}{DATED}, y AS (SELECT year, count(*) AS n FROM dated GROUP BY 1), s AS (SELECT regr_slope(n, year) / avg(n) AS r FROM y) SELECT round(r, 6) AS relative_slope, CASE WHEN r > 0.01 THEN 'Improving' WHEN r < -0.01 THEN 'Declining' ELSE 'Stable' END AS label FROM s",
     "graph_density": f"{W}{EDGES.format(least=1)}, {ENDS} SELECT (SELECT count(DISTINCT node) FROM ends) AS nodes, count(*) AS edges, sum(weight) AS weight, round(2.0 * count(*) / ((SELECT count(DISTINCT node) FROM ends) * ((SELECT count(DISTINCT node) FROM ends) - 1)), 6) AS density FROM e",
     "degree_centrality": f"{W}{EDGES.format(least=1)}, {ENDS} SELECT node, count(*) AS degree, sum(weight) AS strength, round(count(*) / ((SELECT count(DISTINCT node) FROM ends) - 1), 6) AS centrality FROM ends GROUP BY node ORDER BY degree DESC, node LIMIT 10",
@@ -128,8 +121,9 @@ ORACLES: dict[str, str] = {
     "cluster_summaries": f"{W}{PAPERS}, w AS (SELECT keyword, w, row_number() OVER (PARTITION BY keyword ORDER BY count(*) DESC, w) AS r FROM (SELECT keyword, unnest({_words('abstract', 4)}) AS w FROM papers) GROUP BY 1, 2 QUALIFY r <= 10), l AS (SELECT keyword, string_agg(w, ' ' ORDER BY r) AS words FROM w GROUP BY 1) SELECT keyword, count(*) AS size, left(arg_min(abstract, doc_id), 200) AS example, any_value(words) AS words FROM papers LEFT JOIN l USING (keyword) GROUP BY 1",
     "page_fields": "SELECT page_id, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS heading, len(regexp_extract_all(html, '<p[ >]')) AS n_paragraphs, len(regexp_extract_all(html, '<a ')) AS n_links, strlen(html) AS n_bytes FROM pages",
     "sink_stats": "SELECT count(*) AS files, round(sum(strlen(html)) / 1048576, 2) AS total_mb FROM pages",
-    "article_parse": f"{W}{PAPERS} SELECT CAST(doc_id AS VARCHAR) AS pmid, journal, make_date(2000 + CAST(doc_id % 20 AS INTEGER), CAST(doc_id % 12 + 1 AS INTEGER), CAST(doc_id % 28 + 1 AS INTEGER)) AS pub_date, CASE WHEN doc_id % 2 = 0 THEN '10.1/' || doc_id END AS doi, 'A' || doc_id || ' Smith; Doe' AS authors FROM papers",
     "access_records": "SELECT count(*) AS n, count(*) FILTER (l.quality = 1) AS with_url, count(*) FILTER (l.toxic = 1) AS retracted FROM labels l",
+    "windows_sliding": "SELECT time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * k) AS start, count(*) AS n, round(avg(value), 4) AS mean FROM events, range(4) t(k) GROUP BY 1",
+    "events_deduplicated": "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1",
     "windows_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "windows_session": "WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, sid",
     "revenue_by_journal_year": "SELECT o_orderpriority AS journal, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS revenue, count(DISTINCT o_orderkey) AS papers FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2",

@@ -6,19 +6,21 @@ The stream functions take and return streaming DataFrames; run() drives one over
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from papyrus.session import shared_folder
 
-def source(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
-    """The events as a stream of Parquet files, with a timestamp that a watermark takes."""
+
+def source(spark: SparkSession, sf_dir: str, name: str = "events", files_a_batch: int = 64) -> DataFrame:
+    """The events as a stream of Parquet files, at most ``files_a_batch`` in a batch, with a timestamp that a watermark takes."""
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path[:-1] + "[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path[:-1] + "[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -44,7 +46,10 @@ def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def breaker(events: DataFrame, threshold: int = 3) -> DataFrame:
-    """(user_id, opened, attempts): how often a user's failures (value under 10) came ``threshold`` in a row; state is three numbers a user."""
+    """(user_id, opened, attempts): how often a user's failures (value under 10) came ``threshold`` in a row; state is three numbers a user.
+
+    A user's rows of a batch are sorted in memory: the source's files_a_batch bounds them.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run, opened, n = state.get if state.exists else (0, 0, 0)
@@ -58,10 +63,14 @@ def breaker(events: DataFrame, threshold: int = 3) -> DataFrame:
     return keyed.applyInPandasWithState(step, "user_id long, opened long, attempts long", "run long, opened long, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def run(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Runs a stream over all that is there now; the rows of its last state as a table in memory (for checks, not for production sinks)."""
-    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    out = spark.table(name)
-    return each(out) if each else out
+def run(stream: DataFrame, mode: str = "append", key: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there now. Rows and state go to a new place in the shared folder, so a lost executor or
+    driver costs no finished batch and nothing is gathered in memory. In update mode the last row of each ``key`` counts."""
+    spark, place = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{place}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{place}/rows")
+    writer.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{place}/rows/batch={batch}")).start().awaitTermination()
+    found = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{place}/rows")
+    return found.groupBy(key).agg(F.max_by(F.struct(*[c for c in stream.columns if c != key]), "batch").alias("r")).select(key, "r.*")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import re
 from datetime import datetime, timedelta
+from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from papyrus.functions import text as T
 from papyrus.functions.stats import ranked
 from papyrus.operators import attempts as A
-from papyrus.operators import graph, ingest, learning, retrieval, scoring, similarity
+from papyrus.operators import articles, graph, learning, retrieval, scoring, similarity
 from papyrus.plans import catalog
 from papyrus.streaming import events as S
 
@@ -65,14 +67,72 @@ def test_scores(spark):
         assert one(spark, text, scoring.fallback_score(F.col("x")))[0] == want
 
 
-def test_dates(spark):
-    def article(inner):
-        return one(spark, f"<A>{inner}</A>", ingest.publication_date(F.col("x")))[0]
+def articles_of(*inner):
+    return articles.parse_document("<Set>" + "".join(f"<PubmedArticle><PMID>{k}</PMID><Article>{x}</Article></PubmedArticle>" for k, x in enumerate(inner)) + "</Set>")
+
+
+def test_dates():
+    def date(inner):
+        return str(articles_of(inner)[0][5])
+
+    assert date("<PubDate><Year>2020</Year><Month>Mar</Month><Day>5</Day></PubDate>") == "2020-03-05"
+    assert date("<PubDate><Year>2020</Year><Month>Spring</Month></PubDate>") == "2020-01-01"
+    assert date("<PubDate><Year>2020</Year><Month>4</Month><Day>31</Day></PubDate><ArticleDate><Year>2019</Year></ArticleDate>") == "None"
+    assert date("<PubDate></PubDate><ArticleDate><Year>2019</Year></ArticleDate>") == "2019-01-01"
+
+
+def test_authors_and_abstracts():
+    doe, smith = "<Author><LastName>Doe</LastName></Author>", "<Author><LastName>Smith</LastName><ForeName>A</ForeName></Author>"
+    found = articles_of(
+        f"<AuthorList>{doe}{smith}<Author><CollectiveName>X</CollectiveName></Author></AuthorList><Abstract><AbstractText>first part</AbstractText><AbstractText Label='B'>some <i>nested</i> text</AbstractText></Abstract>",
+        "<Abstract>an abstract\n without parts</Abstract>", "<OtherAbstract Type='T'>translated one</OtherAbstract><OtherAbstract>second</OtherAbstract>",
+        "<Abstract><AbstractText>1234567890123456789</AbstractText></Abstract>", "<Abstract><AbstractText>12345678901234567890</AbstractText></Abstract>", f"<X>Summary: {'word ' * 300} Keywords a</X>", "",
+    )
+    assert found[0][3] == ["Doe", "A Smith"]
+    assert [f[2] for f in found[:5]] == ["first part B: some nested text", "an abstract without parts", "[T] translated one [Other] second", None, "1" + "2345678901234567890"]
+    assert len(found[5][2]) == 1000 - 1 and found[6][2] is None
+
+
+def test_documents_of_articles(spark):
+    rows = [("<Set><PubmedArticle><PMID>1</PMID><Article/></PubmedArticle><PubmedArticle><PMID>2</PMID></PubmedArticle></Set>",), ("<Set><PubmedArticle>",), (None,), ("",), ("<Set/>",)]
+    found = articles.parse_documents(spark.createDataFrame(rows, "xml string")).collect()
+    assert sorted((r["pmid"], r["error"]) for r in found) == [("1", None), ("2", "No article citation found")]
+
+
+def folded(rows):
+    """State and grant of each attempt, by one pass over the log in order."""
+    state, tokens, out = {}, {}, {}
+    for s, t, e, ok in sorted(rows):
+        failures, opened = state.get(s, (0, None))
+        now = "closed" if opened is None else "open" if t - opened < 300 else "half-open"
+        if now != "open":
+            failures = 0 if ok else failures + 1
+            state[s] = (failures, None if ok else t if failures >= 3 else opened)
+        rate, capacity = A.RATES.get(s, A.DEFAULT_RATE)
+        have, last = tokens.get(s, (capacity, t))
+        have = min(capacity, have + (t - last) * rate)
+        tokens[s] = (have - (have >= 1), t)
+        out[e] = (now, have >= 1)
+    return out
+
 
-    assert str(article("<PubDate><Year>2020</Year><Month>Mar</Month><Day>5</Day></PubDate>")) == "2020-03-05"
-    assert str(article("<PubDate><Year>2020</Year><Month>Spring</Month></PubDate>")) == "2020-01-01"
-    assert article("<PubDate><Year>2020</Year><Month>4</Month><Day>31</Day></PubDate><ArticleDate><Year>2019</Year></ArticleDate>") is None
-    assert str(article("<PubDate></PubDate><ArticleDate><Year>2019</Year></ArticleDate>")) == "2019-01-01"
+@pytest.mark.parametrize(("every", "share"), [(20, 0.5), (200, 0.3), (3000, 0.7), (40_000, 0.2)])
+def test_folds_over_a_log_of_many_days(spark, every, share):
+    rng = random.Random(every)
+    start, rows = datetime(2024, 1, 1, 22), []
+    t = 0.0
+    for e in range(1500):
+        t += rng.choice([0, 1, rng.randrange(2 * every)])
+        rows.append((e, rng.choice(["click", "view", "error"]), start + timedelta(seconds=t), rng.random() < share))
+    df = spark.createDataFrame(rows, "event_id long, strategy string, ts timestamp, success boolean")
+    want = folded([(s, ts.timestamp(), e, ok) for e, s, ts, ok in rows])
+    assert {r["event_id"]: r["state"] for r in A.breaker_states(df).collect()} == {e: w[0] for e, w in want.items()}
+    assert {r["event_id"]: r["granted"] for r in A.token_bucket(df).collect()} == {e: w[1] for e, w in want.items()}
+    by = {s: [ok for ok in (r[3] for r in sorted(rows, key=lambda r: (r[2], r[0])) if r[1] == s)] for s in ("click", "view", "error")}
+    runs = {s: [len(list(g)) for k, g in groupby(v) if not k] for s, v in by.items()}
+    assert {r["strategy"]: (r["longest"], r["opened"], r["runs"]) for r in A.breaker_runs(df).collect()} == {s: (max(v), sum(n >= 3 for n in v), len(v)) for s, v in runs.items() if v}
+    rates = {s: [sum(v[: k + 1]) / (k + 1) for k in range(len(v))] for s, v in by.items()}
+    assert {r["strategy"]: (r["alerts"], r["n"]) for r in A.running_rate(df).collect()} == {s: (sum(x < 0.5 for x in v[19:]), len(v)) for s, v in rates.items()}
 
 
 def test_breaker(spark):
@@ -92,14 +152,16 @@ def test_ranks_over_blocks(spark):
     assert {r["id"]: r["row_no"] for r in got} == {i: k + 1 for k, i in enumerate(sorted(ids))}
 
 
-def test_jaccard_at_any_threshold(spark):
+@pytest.mark.parametrize("over", [0.05, 0.4, 0.6, 0.8])
+def test_jaccard_at_any_threshold(spark, monkeypatch, over):
+    monkeypatch.setattr(similarity.block_pairs, "__defaults__", (7,))  # several blocks
     rows = [(k, [w for j, w in enumerate("abcdefghij") if (k * 37 + 11) >> j & 1]) for k in range(60)]
-    got = {(r["a"], r["b"]): r["jaccard"] for r in similarity.jaccard_pairs(spark.createDataFrame(rows, "doc_id long, terms array<string>"), 0.6).collect()}
+    got = {(r["a"], r["b"]): r["jaccard"] for r in similarity.jaccard_pairs(spark.createDataFrame(rows, "doc_id long, terms array<string>"), over).collect()}
     first = {}
     for k, s in rows:
         first.setdefault(tuple(s), k)
     sets = {k: set(s) for s, k in first.items() if s}
-    assert got == {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > 0.6}
+    assert got == {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > over}
 
 
 def test_graph(spark):
