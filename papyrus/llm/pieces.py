@@ -7,13 +7,16 @@ key, so a row gets the same segmentation in every run, wherever it is computed.
 
 The vocabulary's merge ranks give the weights (one over the rank; a character without a piece is spelled in byte pieces).
 No piece holds a space mark after another character or a line end, so the lattice falls apart there; the distinct parts of
-a batch are filtered once, as arrays, and their occurrences are sampled together.
+a batch are filtered once, as arrays, and their occurrences are sampled together. Of a long part (text without spaces) only
+the totals are kept, twelve bytes a character; what a draw chooses from is made again where the sampling comes by.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +28,8 @@ from papyrus.llm.common import pick
 
 SPACE = "▁"
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-#: Parts up to this length are sampled together as arrays, longer ones alone; parts in one array block.
-ARRAY_CHARS, BLOCK = 32, 4096
+#: Parts up to LONG_CHARS are filtered together as arrays, BLOCK of ARRAY_CHARS at a time or as many fewer as they are longer.
+ARRAY_CHARS, LONG_CHARS, BLOCK = 32, 256, 4096
 #: Weight of one byte piece.
 BYTE_WEIGHT = 1e-6
 _BASE, _MULTIPLIERS, _SLOT_BITS = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F), 20
@@ -149,6 +152,44 @@ class PieceSampler:
             open_, at, step = open_[at > 0], at[at > 0], step + 1
         return rows, out
 
+    def _choices(self, part: str, j: int, totals: array, scales: array) -> list[tuple[float, int, int]]:
+        """(weight, id or -1, length) of the pieces that end at j, shortest first, each with the segmentations before it; weights in the scale of the last total before j."""
+        out = []
+        for k in range(1, min(j, self.longest) + 1):
+            found = self.weights.get(part[j - k : j])
+            if found is None and k == 1:
+                found = (BYTE_WEIGHT ** len(part[j - 1].encode("utf-8", "surrogatepass")), -1)
+            if found:
+                out.append((math.ldexp(found[0] * totals[j - k], scales[j - k] - scales[j - 1]), found[1], k))
+        return out
+
+    def _long(self, part: str, seeds: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """As _filter and _backward for the occurrences of one long part."""
+        totals, scales, n = array("d", [1.0]), array("i", [0]), len(part)
+        for j in range(1, n + 1):
+            total, scale = sum(w for w, _, _ in self._choices(part, j, totals, scales)), scales[j - 1]
+            if total < 2.0**-400:
+                total, scale = math.ldexp(total, 400), scale - 400
+            totals.append(total)
+            scales.append(scale)
+        rows, out = [], []
+        for r in range(len(seeds)):
+            at, step = n, 0
+            while at:
+                choices = self._choices(part, at, totals, scales)
+                left = float(_uniform(seeds[r : r + 1], step)[0]) * sum(w for w, _, _ in choices)
+                for w, i, k in choices:
+                    left -= w
+                    if left < 0:
+                        break
+                if step == len(rows):
+                    rows.append([])
+                    out.append([])
+                rows[step].append(r)
+                out[step].append(-at if i < 0 else i)
+                at, step = at - k, step + 1
+        return [np.array(r) for r in rows], [np.array(g, np.int64) for g in out]
+
     def encode_batch(self, texts: list[str], keys: list[object], seed: int = 0) -> list[np.ndarray]:
         """Piece ids of each text; a text's key and the seed fix its draws, whatever else is in the batch."""
         found: dict[str, int] = {}
@@ -175,16 +216,16 @@ class PieceSampler:
         special[marks] = True
         for n in np.unique(lengths):
             own = np.flatnonzero(lengths == n)
-            block = BLOCK if n <= ARRAY_CHARS else max(1, BLOCK * ARRAY_CHARS // int(n))
+            block = 1 if n > LONG_CHARS else BLOCK if n <= ARRAY_CHARS else max(1, BLOCK * ARRAY_CHARS // int(n))
             for lo in range(0, len(own), block):
                 some = own[lo : lo + block]
                 places = np.concatenate([order[starts[u] : starts[u + 1]] for u in some])
                 which = np.repeat(np.arange(len(some)), starts[some + 1] - starts[some])
                 keep = ~special[places]
                 places, which = places[keep], which[keep]
-                shares, table = self._filter([names[u] for u in some], int(n))
-                for at in range(0, len(places), 1 << 16):
-                    rows, got = self._backward(shares, table, which[at : at + (1 << 16)], seeds[places[at : at + (1 << 16)]])
+                shares, table = self._filter([names[u] for u in some], int(n)) if n <= LONG_CHARS else (None, None)
+                for at in range(0, len(places), 1 << 16 if n <= LONG_CHARS else max(1, len(places))):
+                    rows, got = self._long(names[some[0]], seeds[places]) if n > LONG_CHARS else self._backward(shares, table, which[at : at + (1 << 16)], seeds[places[at : at + (1 << 16)]])
                     for step, (r, g) in enumerate(zip(rows, got, strict=True)):
                         occ.append(places[at : at + (1 << 16)][r])
                         step_no.append(np.full(len(r), step))
