@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyrus.llm.common import checkpointed, pick
-from papyrus.llm.components import component_labels
+from papyrus.operators.graph import label_components
 
 BITS = 64
 SEED = 42
 #: Shingles that one pass over a text turns into bits at a time; bounds memory on very long texts.
 BLOCK = 1 << 16
+#: A fingerprint of more than one in so many rows is joined by broadcast, so there are fewer than so many of them.
+HOT_SHARE = 1000
 
 
 def fingerprint(text: str | None, shingle_words: int = 4) -> int:
@@ -125,17 +127,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     a null one. Null and wordless texts have fingerprint 0 and link like any other. Repeated rows each get a row.
     """
     docs = checkpointed(fingerprints(df, id_col, text_col, shingle_words))
-    vertices = checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    grouped = component_labels(close_links(vertices))
-    groups = checkpointed(vertices.join(grouped.withColumnRenamed("node", "fp"), ["fp"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("grp")))
+    vertices = checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
+    grouped = label_components(close_links(vertices)).toDF("fp", "label")
+    groups = checkpointed(vertices.join(grouped, ["fp"], "left").select("fp", "first_id", "rows", F.coalesce("label", "fp").alias("grp")))
     links = near_links(groups, tau).join(groups.select(F.col("fp").alias("src"), F.col("grp").alias("a")), ["src"]).join(groups.select(F.col("fp").alias("dst"), F.col("grp").alias("b")), ["dst"])
-    merged = component_labels(links.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
-    labelled = groups.join(merged.withColumnRenamed("node", "grp"), ["grp"], "left").withColumn("label", F.coalesce("label", "grp"))
+    merged = label_components(links.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()).toDF("grp", "label")
+    labelled = groups.join(merged, ["grp"], "left").withColumn("label", F.coalesce("label", "grp"))
     names = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
     # Vertices that stand alone keep their own first_id: only those in groups of several need the second table.
-    linked = labelled.join(names.where("n > 1"), ["label"]).select("fp", "component_id")
-    alone = vertices.join(linked, ["fp"], "left").select("fp", F.when(F.col("component_id").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return docs.join(alone, ["fp"], "left").select("doc_id", "fp", "component_id")
+    linked = labelled.join(names.where("n > 1"), ["label"]).select("fp", F.struct("component_id").alias("named"))
+    named = vertices.join(linked, ["fp"], "left").select("fp", "rows", F.when(F.col("named").isNull(), F.col("first_id")).otherwise(F.col("named.component_id")).alias("component_id"))
+    # A fingerprint with a large share of all rows is joined by broadcast: there are at most HOT_SHARE such, whatever the input.
+    most = max(1, docs.count() // HOT_SHARE)
+    hot = checkpointed(named.where(F.col("rows") > most).drop("rows"))
+    often = docs.join(F.broadcast(hot), ["fp"]).select("doc_id", "fp", "component_id")
+    others = docs.join(F.broadcast(hot.select("fp")), ["fp"], "left_anti").join(named.drop("rows"), ["fp"]).select("doc_id", "fp", "component_id")
+    return others.unionByName(often)
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, tau: int = 4) -> DataFrame:

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from papyrus.llm import queries, simhash
-from papyrus.llm.components import component_labels
+from papyrus.operators.graph import label_components
 
 
 def brute_fingerprint(text):
@@ -71,9 +71,9 @@ def test_links_of_clouds_by_brute_force(spark):
 
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(100)] + [(500, 501 + k) for k in range(50)] + [(900, 900), (-5, 700), (700, -5)]
-    found = dict(component_labels(spark.createDataFrame(edges, "src long, dst long")).collect())
+    found = dict(label_components(spark.createDataFrame(edges, "src long, dst long")).collect())
     assert found == {k: 0 for k in range(101)} | {k: 500 for k in range(500, 551)} | {-5: -5, 700: -5}
-    assert component_labels(spark.createDataFrame([], "src long, dst long")).count() == 0
+    assert label_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
 def test_odd_rows(odd_docs, no_docs):
