@@ -69,9 +69,9 @@ def _record() -> Column:
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block)
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Writes a new folder of WARC files, a file for each task."""
-    with_revisits(pages, id_col, url_col, html_col).select(_record().alias("value")).write.option("lineSep", END).text(path)
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", compression: str = "none") -> None:
+    """Writes a new folder of WARC files, a file for each task; with compression "gzip" each is compressed as a whole."""
+    with_revisits(pages, id_col, url_col, html_col).select(_record().alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
 
 
 @dataclass
@@ -138,19 +138,28 @@ class WarcReader(DataSourceReader):
     def read(self, partition: FilePart) -> Iterator[tuple]:
         system, _ = _filesystem(self.path)
         for path in partition.paths:
-            with system.open_input_file(path) as raw:
-                yield from self._records(raw)
+            packed = path.endswith(".gz")
+            with system.open_input_stream(path, compression="gzip") if packed else system.open_input_file(path) as raw:
+                yield from self._records(raw, not packed)
 
-    def _records(self, raw) -> Iterator[tuple]:  # noqa: ANN001
-        buffer, at, size = b"", 0, raw.size()
+    def _records(self, raw, seekable: bool) -> Iterator[tuple]:  # noqa: ANN001
+        """The records of a file; blocks that nobody needs are passed by a seek, in compressed files by reading on without keeping."""
+        buffer, past = b"", 0  # past: how far the place in the file is behind where the next bytes are wanted
 
         def need(n: int) -> bool:
             """At least n bytes in the buffer, if the file has them."""
-            nonlocal buffer, at
-            if len(buffer) < n and at < size:
-                raw.seek(at)
+            nonlocal buffer, past
+            while past and not seekable:
+                skipped = len(raw.read(min(past, 1 << 20)))
+                past = past - skipped if skipped else 0
+            if past:
+                raw.seek(raw.tell() + past)
+                past = 0
+            while len(buffer) < n:
                 more = raw.read(max(n - len(buffer), 1 << 16))
-                buffer, at = buffer + more, at + len(more)
+                if not more:
+                    break
+                buffer += more
             return len(buffer) >= n
 
         while need(1):
@@ -179,7 +188,7 @@ class WarcReader(DataSourceReader):
             if end <= len(buffer):
                 buffer = buffer[end:]
             else:
-                buffer, at = b"", at + end - len(buffer)
+                buffer, past = b"", end - len(buffer)
 
     @staticmethod
     def _values(head: dict[str, str]) -> list:

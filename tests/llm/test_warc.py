@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import gzip
 import hashlib
+import re
 from pathlib import Path
 
 import pytest
@@ -54,6 +56,22 @@ def test_filters_and_skipped_payloads(spark, pages, tmp_path):
     assert {r[0] for r in rows} == {"response"} and len(rows) == 8
 
 
+def test_compressed_archives(spark, pages, tmp_path):
+    """Gzip files, and files of one gzip member a record, as archives come."""
+    warc.write_archive(pages, f"file://{tmp_path}/w")
+    warc.write_archive(pages, f"file://{tmp_path}/z", compression="gzip")
+    assert all(f.name.endswith(".gz") for f in Path(tmp_path / "z").glob("part-*"))
+    (tmp_path / "m").mkdir()
+    for f in Path(tmp_path / "w").glob("part-*"):
+        records = [r + b"\r\n\r\n" for r in re.split(rb"\r\n\r\n(?=WARC/1.1\r\nWARC-Type)", f.read_bytes()[:-4]) if r]
+        (tmp_path / f"m/{f.name}.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    want = sorted(map(repr, warc.read_archive(spark, f"file://{tmp_path}/w").collect()))
+    some = sorted(map(repr, warc.read_archive(spark, f"file://{tmp_path}/w", "page_id > 6 and record_type in ('response')").collect()))
+    for folder in ("z", "m"):
+        assert sorted(map(repr, warc.read_archive(spark, f"file://{tmp_path}/{folder}").collect())) == want
+        assert sorted(map(repr, warc.read_archive(spark, f"file://{tmp_path}/{folder}", "page_id > 6 and record_type in ('response')").collect())) == some
+
+
 def test_damaged_files(spark, tmp_path):
     (tmp_path / "w").mkdir()
     Path(tmp_path / "w/a.warc").write_bytes(b"no record\r\n\r\n")
