@@ -56,8 +56,6 @@ _over(
     index_sizes=retrieval.eligible_counts,
     analysis_prompts=retrieval.analysis_prompts,
     lexicon_sentiment=sentiment.sentiment,
-    quality_components=lambda p: derived.quality_components(derived.corpus_facts(p, sentiment.sentiment(p), frequency.top_terms_by_journal(p))),
-    citation_split=lambda p: derived.citation_split(derived.corpus_facts(p, sentiment.sentiment(p), frequency.top_terms_by_journal(p)), 80.0),
     cluster_summaries=lambda p: learning.cluster_summaries(p, "keyword"),
     lda_topics=learning.lda_topics,
 )
@@ -176,16 +174,6 @@ def retrieve_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dedupe_contexts(found)
 
 
-@query
-def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user turn with the next turn of its conversation as context."""
-    c = table(spark, sf_dir, "conversations")
-    asked = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
-    context = c.where("role <> 'user'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("context"))
-    pairs = asked.join(context, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "question", "context")
-    return retrieval.extractive_answers(pairs)
-
-
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label rows as responses with marked scores; a name twice, a value that is no number."""
     q = (F.col("quality") * 4 + 0.5).cast("string")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyrus.functions import text as T
-from papyrus.operators import corpus, frequency, graph, ingest, learning, panels, prompts, retrieval, scoring, sentiment, similarity, topics
+from papyrus.operators import corpus, derived, frequency, graph, ingest, learning, panels, prompts, retrieval, scoring, sentiment, similarity, topics
 from papyrus.plans.records import ASKED, QUESTION_TYPE, _asked
 from papyrus.sources.views import papers, scores, table
 
@@ -76,6 +76,44 @@ def _emotive(spark: SparkSession, sf_dir: str) -> DataFrame:
 EMOTIVE_SQL = "em AS (SELECT doc_id, [" + ", ".join(f"'{t}'" for t in EMOTIVE) + "][CAST(doc_id % 5 AS INTEGER) + 1] || '. ' || coalesce(text, '') AS text FROM documents)"
 
 
+FACTS = f"""{TOPICS}, {RATED}, facts AS (SELECT (SELECT round(avg(CAST(text IS NOT NULL AS INTEGER)) * 100, 6) FROM documents) AS availability, (SELECT count(DISTINCT lang) FROM documents) AS kinds, (SELECT count(DISTINCT word) FROM tw) AS words,
+    (SELECT round(avg(polarity), 6) FROM rated) AS polarity, (SELECT count(*) FROM quality) AS topics, (SELECT round(avg(c), 6) FROM (SELECT sum(n) FILTER (rank <= 5) / sum(n) AS c FROM tw JOIN topics USING (topic, word) GROUP BY topic)) AS coherence)"""
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.corpus_facts(papers(spark, sf_dir), _rated(spark, sf_dir), frequency.top_terms_by_journal(papers(spark, sf_dir)))
+
+
+@query(f"""
+    WITH {FACTS}, p AS (SELECT *, least(availability, 100) AS a, least(coherence * 100, 100) AS c, least(topics * 10.0, 100) AS t, least((1 - abs(polarity)) * 100, 100) AS b, least(kinds * 20.0, 100) AS e FROM facts)
+    SELECT unnest(['availability', 'coherence', 'topics', 'balance', 'phases', 'overall', 'c_availability', 'c_topics', 'c_sentiment', 'c_entities', 'c_clusters', 'completeness', 'i_words', 'i_entities', 'i_topics', 'i_balance']) AS component,
+        unnest(list_transform([CAST(a AS DOUBLE), c, t, b, 100, (a + c + t + b + 100) / 5, a, t, 100, e, 50, (a + t + 100 + e + 50) / 5, least(words / 100.0, 1), least(kinds / 10.0, 1), CASE WHEN topics > 3 THEN 1 WHEN topics > 1 THEN 0.5 ELSE 0 END, 1 - abs(polarity)], lambda x: round(x, 4))) AS value FROM p
+""")
+def quality_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.quality_components(_facts(spark, sf_dir))
+
+
+@query(f"WITH {FACTS}, h AS (SELECT CAST(least(topics * 80.0 / 100, 40) AS DOUBLE) AS high FROM facts), m AS (SELECT high, least((100 - high) * 0.4, 35) AS medium FROM h), l AS (SELECT *, least((100 - high - medium) * 0.6, 20) AS low FROM m) SELECT high, medium, low, 100 - high - medium - low AS niche FROM l")
+def citation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.citation_split(_facts(spark, sf_dir), 80.0)
+
+
+@query("""
+    WITH a AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'), c AS (SELECT conv_id, turn - 1 AS turn, text AS context FROM conversations WHERE role <> 'user'),
+    p AS (SELECT conv_id * 1000 + turn AS id, list_distinct(str_split(trim(regexp_replace(lower(question), '\s+', ' ', 'g')), ' ')) AS asked, context FROM a JOIN c USING (conv_id, turn)),
+    s AS (SELECT id, asked, pos, trim(regexp_replace(s, '\s+', ' ', 'g')) AS s FROM (SELECT id, asked, unnest(str_split(context, '.')) AS s, generate_subscripts(str_split(context, '.'), 1) AS pos FROM p)),
+    o AS (SELECT id, pos, s, len(list_intersect(asked, list_distinct(str_split(lower(s), ' ')))) AS k FROM s WHERE length(s) > 20), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k DESC, pos) AS rn FROM o WHERE k > 0 QUALIFY rn <= 3),
+    j AS (SELECT id, string_agg(s, '. ' ORDER BY rn) AS answer, CAST(sum(k) AS BIGINT) AS overlap FROM b GROUP BY 1)
+    SELECT id, coalesce(answer, left(context, 200)) AS answer, coalesce(overlap, 0) AS overlap FROM p LEFT JOIN j USING (id)
+""")
+def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn with the next turn of its conversation as context."""
+    c = table(spark, sf_dir, "conversations")
+    asked = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    context = c.where("role <> 'user'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("context"))
+    return retrieval.extractive_answers(asked.join(context, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "question", "context"))
+
+
 @query(f"WITH {PHASES}, s AS (SELECT phase, sum(seconds) AS s FROM phases GROUP BY 1) SELECT count(*) AS phases, round(sum(s), 4) AS total, round(avg(s), 6) AS mean, round(median(s), 6) AS median, round(stddev_pop(s), 6) AS std FROM s")
 def phase_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.phase_times(_phases(spark, sf_dir))
