@@ -47,10 +47,18 @@ def page_fields(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", element("title").alias("title"), element("h1").alias("heading"), F.regexp_count(h, F.lit(r"<p[ >]")).alias("n_paragraphs"), F.regexp_count(h, F.lit(r"<a ")).alias("n_links"), F.octet_length(h).alias("n_bytes"))
 
 
+#: Markup to Markdown, step by step; $1 and $2 are groups.
+MARKDOWN = [
+    (r"(?s)<script\b.*?</script>", ""), (r"(?s)<style\b.*?</style>", ""), (r"(?s)<head\b.*?</head>", ""), (r"(?s)<!--.*?-->", ""), *[(rf"<h{n}[^>]*>", "\n" + "#" * n + " ") for n in range(1, 7)],
+    (r"(?s)<a\b[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>", "[$2]($1)"), (r"</?(?:b|strong)>", "**"), (r"</?(?:i|em)>", "*"), (r"(?s)<(?:ul|ol)[^>]*>\s*<li[^>]*>", "\n- "), (r"<li[^>]*>", "\n- "), (r"<(?:p|br|div|/ul|/ol)[^>]*>", "\n"), (r"<[^>]+>", ""),
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"), (r"[ \t]+", " "), (r"\s*\n\s*", "\n"),
+]
+
+
 def markdown(pages: DataFrame, least: int = 100) -> DataFrame:
-    """(page_id, markdown) of the pages whose Markdown has more than ``least`` bytes: headings, paragraphs and emphasis, other markup dropped."""
+    """(page_id, markdown) of the pages whose Markdown has more than ``least`` bytes: headings, paragraphs, lists, links, emphasis and common references; other markup is dropped."""
     t = F.coalesce("html", F.lit(""))
-    for pattern, to in [(r"(?s)<(script|style|head)\b.*?</\1>", ""), (r"(?s)<!--.*?-->", ""), (r"<h1[^>]*>", "\n# "), (r"<h2[^>]*>", "\n## "), (r"</?(?:b|strong)>", "**"), (r"<li[^>]*>", "\n- "), (r"<(?:p|br|div)[^>]*>", "\n"), (r"<[^>]+>", ""), (r"[ \t]+", " "), (r"\s*\n\s*", "\n")]:
+    for pattern, to in MARKDOWN:
         t = F.regexp_replace(t, pattern, to)
     return pages.select("page_id", F.trim(t).alias("markdown")).where(F.octet_length("markdown") > least)
 

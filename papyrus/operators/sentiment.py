@@ -28,8 +28,8 @@ ASPECTS = {
 METHOD_WORDS = ["method", "methodology", "approach", "technique", "algorithm"]
 
 
-def _mean_weight(tokens: Column) -> Column:
-    weights = F.create_map(*[x for k, v in LEXICON.items() for x in (F.lit(k), F.lit(v))])
+def _mean_weight(tokens: Column, lexicon: dict[str, float] = LEXICON) -> Column:
+    weights = F.create_map(*[x for k, v in lexicon.items() for x in (F.lit(k), F.lit(v))])
     known = F.filter(F.transform(tokens, lambda t: F.element_at(weights, t)), lambda v: v.isNotNull())
     return F.coalesce(F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, b: a + b), F.size(known)), F.lit(0.0))
 
@@ -40,6 +40,12 @@ def polarity(text: Column) -> Column:
     return _mean_weight(listed)
 
 
+def subjectivity(text: Column) -> Column:
+    """Mean strength (weight without its sign) of the text's lexicon words, from 0 to 1; 0 without any."""
+    listed = F.filter(T.letter_words(text), lambda t: t.isin(list(LEXICON)))
+    return _mean_weight(listed, {w: abs(p) for w, p in LEXICON.items()})
+
+
 def label(p: Column) -> Column:
     return F.when(p > 0.1, "positive").when(p < -0.1, "negative").otherwise("neutral")
 

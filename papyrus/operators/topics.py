@@ -99,6 +99,29 @@ def density_clusters(vectors: DataFrame, quantile: float = 0.95) -> DataFrame:
     return vectors.select("id").join(found.toDF("id", "cluster"), ["id"], "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
+def silhouettes(vectors: DataFrame) -> DataFrame:
+    """vectors: id, label, v -> (label, n, silhouette): mean over a label's vectors of (b - a) / max(a, b), a being the mean distance to the others of the label, b the least mean distance to another label; 0 for a vector without either.
+
+    Blocks of vectors meet in numpy; a task gives one sum for each vector and label of the other block.
+    """
+
+    def sums(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        out = []
+        for x, y in ((left, right),) if same else ((left, right), (right, left)):
+            if len(x) and len(y):
+                d, labels = _distances(np.stack([v["v"] for v in x["v"]]), np.stack([v["v"] for v in y["v"]])), np.array([v["label"] for v in y["v"]])
+                for label in np.unique(labels):
+                    there = labels == label
+                    own = np.array([v["label"] == label for v in x["v"]]) & same  # a vector itself is not among its label's others
+                    out.append(pd.DataFrame({"id": x["id"], "label": [v["label"] for v in x["v"]], "other": label, "s": d[:, there].sum(axis=1), "n": there.sum() - own}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "label": [], "other": [], "s": [], "n": []})
+
+    value = F.struct("label", F.col("v").cast("array<double>").alias("v"))
+    each = block_pairs(vectors, "id", value, "id long, label long, other long, s double, n long", sums).groupBy("id", "label", "other").agg((F.try_divide(F.sum("s"), F.sum("n"))).alias("d"))
+    one = each.groupBy("id", "label").agg(F.max(F.when(F.col("label") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("label") != F.col("other"), F.col("d"))).alias("b"))
+    return one.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))), 6).alias("silhouette"))
+
+
 def label_similarity(vectors: DataFrame) -> DataFrame:
     """(a, b, cosine) between the mean vectors of labels (few rows)."""
     flat = vectors.select("label", F.posexplode(F.col("v").cast("array<double>")).alias("d", "x"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyrus.functions import text as T
-from papyrus.operators import corpus, derived, frequency, graph, ingest, learning, panels, prompts, retrieval, scoring, sentiment, similarity, topics
+from papyrus.operators import corpus, derived, frequency, graph, ingest, learning, panels, prompts, retrieval, scoring, sentiment, similarity, topics, trends
 from papyrus.plans.records import ASKED, QUESTION_TYPE, _asked
 from papyrus.sources.views import papers, scores, table
 
@@ -274,13 +274,11 @@ def flesch_by_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _replaced(column: str, steps: list[tuple[str, str]]) -> str:
     for pattern, to in steps:
-        column = f"regexp_replace({column}, '{pattern}', " + "'" + to.replace("\n", "' || chr(10) || '") + "', 'g')"
+        column = f"regexp_replace({column}, '" + pattern.replace("'", "''") + "', '" + to.replace("'", "''").replace("$1", "\\1").replace("$2", "\\2").replace("\n", "' || chr(10) || '") + "', 'g')"
     return column
 
 
-_MARKDOWN = _replaced("coalesce(html, '')", [
-    ("(?s)<script\\b.*?</script>", ""), ("(?s)<style\\b.*?</style>", ""), ("(?s)<head\\b.*?</head>", ""), ("(?s)<!--.*?-->", ""), ("<h1[^>]*>", "\n# "), ("<h2[^>]*>", "\n## "), ("</?(?:b|strong)>", "**"), ("<li[^>]*>", "\n- "), ("<(?:p|br|div)[^>]*>", "\n"), ("<[^>]+>", ""), ("[ \\t]+", " "), ("\\s*\\n\\s*", "\n"),
-])
+_MARKDOWN = _replaced("coalesce(html, '')", ingest.MARKDOWN)
 
 
 @query(f"SELECT page_id, length(m) AS n_chars, md5(m) AS md5 FROM (SELECT page_id, trim({_MARKDOWN}, ' ') AS m FROM pages) WHERE strlen(m) > 100")
@@ -288,6 +286,53 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.markdown(table(spark, sf_dir, "pages")).select("page_id", F.length("markdown").alias("n_chars"), F.md5("markdown").alias("md5"))
 
 
+@query("""
+    WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.e, b.e)) AS s, count(*) AS n FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+    m AS (SELECT vec_id, label, max(s / n) FILTER (other = label) AS a, min(s / n) FILTER (other <> label) AS b FROM d GROUP BY 1, 2)
+    SELECT label, count(*) AS n, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM m GROUP BY 1
+""")
+def silhouette_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean silhouette of each label over the distances between all vectors."""
+    return topics.silhouettes(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v")))
+
+
+@query(f"WITH {LEXICON}, w AS (SELECT doc_id, unnest({_words('text')}) AS w FROM documents), s AS (SELECT doc_id, avg(abs(p)) AS s FROM w JOIN lex USING (w) GROUP BY 1) SELECT source AS journal, count(*) AS n, round(avg(coalesce(s, 0)), 6) AS mean, round(stddev_pop(coalesce(s, 0)), 6) AS std FROM documents LEFT JOIN s USING (doc_id) GROUP BY 1")
+def subjectivity_by_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = papers(spark, sf_dir).select("journal", sentiment.subjectivity(F.col("abstract")).alias("s"))
+    return own.groupBy("journal").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.stddev_pop("s"), 6).alias("std"))
+
+
+@query(f"WITH {TOPICS} SELECT topic, word, CAST(floor(weight * 100) AS BIGINT) AS size FROM topics")
+def topic_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topics(spark, sf_dir).select("topic", "word", F.floor(F.col("weight") * 100).alias("size"))
+
+
+@query("""
+    WITH y AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'n/a' WHEN 1 THEN '1989' WHEN 2 THEN '1990' WHEN 3 THEN NULL ELSE CAST(1990 + doc_id % 30 AS VARCHAR) END AS year FROM documents)
+    SELECT CAST(year AS INTEGER) AS year, count(*) AS n FROM y WHERE TRY_CAST(year AS INTEGER) >= 1990 GROUP BY 1
+""")
+def numeric_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years as strings; those that are no number, missing or before 1990 drop out."""
+    n = F.col("doc_id")
+    year = F.when(n % 6 == 0, "n/a").when(n % 6 == 1, "1989").when(n % 6 == 2, "1990").when(n % 6 == 3, F.lit(None)).otherwise((1990 + n % 30).cast("string"))
+    return trends.yearly_counts(papers(spark, sf_dir).select(year.alias("year")).select(F.col("year").try_cast("int").alias("year")).where("year is not null"))
+
+
+_TYPES = ["overall_quality", "methodology", "innovation", "field_impact", "comparative", "insight"]
+
+
+@query(
+    "WITH t(kind, model, tokens) AS (VALUES ('overall_quality', 'small', 500), ('methodology', 'small', 500), ('innovation', 'small', 500), ('field_impact', 'small', 500), ('comparative', 'large', 800), ('insight', 'large', 500)), "
+    "d AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, CASE WHEN length(trim(text)) >= 100 THEN text ELSE split_part(text, chr(10), 1) END AS u FROM documents), p AS (SELECT doc_id, length('Title: ' || title || chr(10) || 'Text: ' || CASE WHEN length(u) > 3000 THEN left(u, 3000) || '... [truncated]' ELSE u END) AS n FROM d) "
+    "SELECT kind, model, tokens, count(*) AS requests, CAST(sum(n) AS BIGINT) AS n_chars FROM p, t GROUP BY 1, 2, 3"
+)
+def analysis_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paper's prompt for each of six analysis types: requests and characters that each model gets."""
+    asked = retrieval.analysis_prompts(papers(spark, sf_dir)).select("n_chars", F.explode(F.array(*map(F.lit, _TYPES))).alias("kind"))
+    model, tokens = prompts.model_settings(F.col("kind"))
+    return asked.groupBy("kind", model.alias("model"), tokens.alias("tokens")).agg(F.count("*").alias("requests"), F.sum("n_chars").alias("n_chars"))
+
+
 @query(f"""
     WITH s AS (SELECT doc_id, list_sort(list_distinct({_words('text', 4)})) AS t FROM documents), c AS (SELECT min(doc_id) AS id, t FROM s WHERE len(t) > 0 GROUP BY t), x AS (SELECT id, len(t) AS n, unnest(t) AS w FROM c),
     p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.w = b.w AND a.id < b.id GROUP BY ALL), j AS (SELECT a, b, round(k / (na + nb - k), 6) AS jaccard FROM p WHERE k / (na + nb - k) > 0.05), m AS (SELECT a AS row, jaccard FROM j UNION ALL SELECT b, jaccard FROM j)

@@ -10,6 +10,7 @@ from itertools import groupby
 import pytest
 from pyspark.sql import functions as F
 
+from papyrus import cli
 from papyrus.functions import text as T
 from papyrus.functions.stats import ranked
 from papyrus.operators import attempts as A
@@ -191,6 +192,14 @@ def test_closed_windows_equal_the_batch(spark):
     assert stream.items() <= batch.items() and len(stream) > 0.9 * len(batch)
 
 
+@pytest.mark.parametrize(("args", "names"), [(["abstracts", "--term", "the", "--limit", "7"], {"papers": 7, "coverage": 1}), (["full", "--streaming"], {"coverage": 1, "sentiment": 200, "attempts": None}), (["markdown"], {"conversion": 1, "markdown": None})])
+def test_jobs(spark, tmp_path, args, names):
+    cli.main([*args, "--data", SF_DIR, "--out", f"file://{tmp_path}"], spark)
+    for name, rows in names.items():
+        n = spark.read.json(f"file://{tmp_path}/{name}").count()
+        assert n == rows if rows is not None else n > 0
+
+
 def plan_of(df):
     return df._jdf.queryExecution().toString()
 
