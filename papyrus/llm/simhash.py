@@ -30,6 +30,7 @@ SEED = 42
 BLOCK = 1 << 16
 #: A fingerprint of more than one in so many rows is joined by broadcast, so there are fewer than so many of them.
 HOT_SHARE = 1000
+SALTS = 16
 
 
 def fingerprint(text: str | None, shingle_words: int = 4) -> int:
@@ -135,7 +136,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labelled = groups.join(merged, ["grp"], "left").withColumn("label", F.coalesce("label", "grp"))
     names = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
     # Vertices that stand alone keep their own first_id: only those in groups of several need the second table.
-    linked = labelled.join(names.where("n > 1"), ["label"]).select("fp", F.struct("component_id").alias("named"))
+    # A group of many vertices is dealt over SALTS tasks.
+    salted = names.where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    dealt = labelled.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    linked = dealt.join(salted, ["label", "salt"]).select("fp", F.struct("component_id").alias("named"))
     named = vertices.join(linked, ["fp"], "left").select("fp", "rows", F.when(F.col("named").isNull(), F.col("first_id")).otherwise(F.col("named.component_id")).alias("component_id"))
     # A fingerprint with a large share of all rows is joined by broadcast: there are at most HOT_SHARE such, whatever the input.
     most = max(1, docs.count() // HOT_SHARE)
