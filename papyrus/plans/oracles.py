@@ -110,9 +110,9 @@ ORACLES: dict[str, str] = {
     "phase_trend": f"{W}{DATED}, y AS (SELECT year, count(*) AS n FROM dated GROUP BY 1), s AS (SELECT regr_slope(n, year) / avg(n) AS r FROM y) SELECT round(r, 6) AS relative_slope, CASE WHEN r > 0.01 THEN 'Improving' WHEN r < -0.01 THEN 'Declining' ELSE 'Stable' END AS label FROM s",
     "graph_density": f"{W}{EDGES.format(least=1)}, {ENDS} SELECT (SELECT count(DISTINCT node) FROM ends) AS nodes, count(*) AS edges, sum(weight) AS weight, round(2.0 * count(*) / ((SELECT count(DISTINCT node) FROM ends) * ((SELECT count(DISTINCT node) FROM ends) - 1)), 6) AS density FROM e",
     "degree_centrality": f"{W}{EDGES.format(least=1)}, {ENDS} SELECT node, count(*) AS degree, sum(weight) AS strength, round(count(*) / ((SELECT count(DISTINCT node) FROM ends) - 1), 6) AS centrality FROM ends GROUP BY node ORDER BY degree DESC, node LIMIT 10",
-    "clustering_coeff": f"{W}{EDGES.format(least=8)}, {ENDS}, d AS (SELECT node, count(*) AS degree FROM ends GROUP BY 1), t AS (SELECT x.node, count(*) AS triangles FROM ends x JOIN ends y ON x.node = y.node AND x.other < y.other JOIN e ON e.src = x.other AND e.dst = y.other GROUP BY 1) SELECT node, degree, coalesce(triangles, 0) AS triangles, round(coalesce(2.0 * triangles / nullif(degree * (degree - 1), 0), 0), 6) AS coefficient FROM d LEFT JOIN t USING (node)",
+    "clustering_coeff": f"{W}{EDGES.format(least=1)}, {ENDS}, d AS (SELECT node, count(*) AS degree FROM ends GROUP BY 1), t AS (SELECT x.node, count(*) AS triangles FROM ends x JOIN ends y ON x.node = y.node AND x.other < y.other JOIN e ON e.src = x.other AND e.dst = y.other GROUP BY 1) SELECT node, degree, coalesce(triangles, 0) AS triangles, round(coalesce(2.0 * triangles / nullif(degree * (degree - 1), 0), 0), 6) AS coefficient FROM d LEFT JOIN t USING (node)",
     "modularity_q": f"{W}{EDGES.format(least=1)}, {ENDS}, g AS (SELECT s_suppkey AS node, s_nationkey AS grp FROM supplier), m AS (SELECT sum(weight) AS m FROM e), i AS (SELECT a.grp, sum(CASE WHEN a.grp = b.grp THEN weight ELSE 0 END) AS inside FROM e JOIN g a ON a.node = src JOIN g b ON b.node = dst GROUP BY 1), s AS (SELECT grp, sum(weight) AS s FROM ends JOIN g USING (node) GROUP BY 1) SELECT round(sum(coalesce(inside, 0) / m - pow(s / (2 * m), 2)), 6) AS q, count(*) AS groups FROM s LEFT JOIN i USING (grp), m",
-    "components": f"{W}RECURSIVE {EDGES.format(least=8)}, {ENDS}, r(node, reached) AS (SELECT node, node FROM ends UNION SELECT r.node, ends.other FROM r JOIN ends ON ends.node = r.reached) SELECT node, min(reached) AS component FROM r GROUP BY node",
+    "components": f"{W}RECURSIVE {EDGES.format(least=1)}, {ENDS}, r(node, reached) AS (SELECT node, node FROM ends UNION SELECT r.node, ends.other FROM r JOIN ends ON ends.node = r.reached) SELECT node, min(reached) AS component FROM r GROUP BY node",
     "adjacency": f"{W}{EDGES.format(least=1)}, {ENDS}, b AS (SELECT node FROM ends GROUP BY 1 ORDER BY count(*) DESC, node LIMIT 20) SELECT node, count(*) AS n, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS neighbours FROM ends WHERE node IN (SELECT node FROM b) AND other IN (SELECT node FROM b) GROUP BY node",
     "top_entities": "WITH n AS (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY 1, 2) SELECT p_type, p_brand, n, CAST(row_number() OVER (PARTITION BY p_type ORDER BY n DESC, p_brand) AS INTEGER) AS rank FROM n QUALIFY rank <= 3",
     "cluster_sizes": "WITH s AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT count(*) AS clusters, round(avg(n), 4) AS mean, round(stddev_pop(n), 4) AS std, round(stddev_pop(n) / avg(n), 6) AS variation FROM s",
