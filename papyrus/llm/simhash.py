@@ -137,7 +137,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
     # Vertices that stand alone keep their own first_id: only those in groups of several need the second table.
     # A group of many vertices is dealt over SALTS tasks.
-    salted = names.where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    salted = names.where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = labelled.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
     linked = dealt.join(salted, ["label", "salt"]).select("fp", F.struct("component_id").alias("named"))
     named = vertices.join(linked, ["fp"], "left").select("fp", "rows", F.when(F.col("named").isNull(), F.col("first_id")).otherwise(F.col("named.component_id")).alias("component_id"))
