@@ -100,8 +100,8 @@ def citation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH a AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'), c AS (SELECT conv_id, turn - 1 AS turn, text AS context FROM conversations WHERE role <> 'user'),
-    p AS (SELECT conv_id * 1000 + turn AS id, list_distinct(str_split(trim(regexp_replace(lower(question), '\s+', ' ', 'g')), ' ')) AS asked, context FROM a JOIN c USING (conv_id, turn)),
-    s AS (SELECT id, asked, pos, trim(regexp_replace(s, '\s+', ' ', 'g')) AS s FROM (SELECT id, asked, unnest(str_split(context, '.')) AS s, generate_subscripts(str_split(context, '.'), 1) AS pos FROM p)),
+    p AS (SELECT conv_id * 1000 + turn AS id, list_distinct(str_split(trim(regexp_replace(lower(question), '\\s+', ' ', 'g')), ' ')) AS asked, context FROM a JOIN c USING (conv_id, turn)),
+    s AS (SELECT id, asked, pos, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS s FROM (SELECT id, asked, unnest(str_split(context, '.')) AS s, generate_subscripts(str_split(context, '.'), 1) AS pos FROM p)),
     o AS (SELECT id, pos, s, len(list_intersect(asked, list_distinct(str_split(lower(s), ' ')))) AS k FROM s WHERE length(s) > 20), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k DESC, pos) AS rn FROM o WHERE k > 0 QUALIFY rn <= 3),
     j AS (SELECT id, string_agg(s, '. ' ORDER BY rn) AS answer, CAST(sum(k) AS BIGINT) AS overlap FROM b GROUP BY 1)
     SELECT id, coalesce(answer, left(context, 200)) AS answer, coalesce(overlap, 0) AS overlap FROM p LEFT JOIN j USING (id)
