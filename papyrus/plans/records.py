@@ -137,7 +137,7 @@ def cross_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'https://a/' || doc_id WHEN quality = 1 THEN 'https://b/' || doc_id END AS link FROM labels")
-def open_access_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def free_pdf_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     num, n = _num(), F.col("doc_id")
     paper = F.when(n % 3 == 0, F.to_json(F.struct(F.struct(F.concat(F.lit("https://a/"), num).alias("url")).alias("openAccessPdf")))).when(n % 3 == 1, F.lit('{"openAccessPdf": null}')).otherwise(F.lit('{"openAccessPdf": {"url": ""}}'))
     location = F.to_json(F.struct((F.col("quality") == 1).alias("is_oa"), F.struct(F.concat(F.lit("https://b/"), num).alias("url_for_pdf")).alias("best_oa_location")))
