@@ -16,6 +16,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from threading import Timer
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,7 +29,8 @@ PACKED = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 #: Sequence ids of a partition start at its number times this.
 STRIDE = 1 << 33
 #: White-space-free chunks and words whose ids a worker remembers, and the longest ones that it does.
-CACHE_CHUNKS, CACHE_WORDS, CACHE_CHARS = 600_000, 600_000, 48
+CACHE_CHUNKS, CACHE_WORDS, CACHE_CHARS = 400_000, 400_000, 48
+IDLE_SECONDS = 5.0
 #: Reciprocal classes, and the largest share of a worker's last sequence that is padding.
 CLASSES, END_PADDING = 64, 0.05
 #: Chunks that only the whole tokenizer may split: letters beyond Latin, and what may hold a special token.
@@ -102,6 +104,19 @@ def worker_tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
+_idle: list[Timer] = []
+
+
+def keep_tokenizer(seconds: float | None) -> None:
+    """Lets the worker's tokenizer go after so many seconds without another task, so that later stages have its memory; None: a task begins."""
+    while _idle:
+        _idle.pop().cancel()
+    if seconds is not None:
+        _idle.append(Timer(seconds, worker_tokenizer.cache_clear))
+        _idle[0].daemon = True
+        _idle[0].start()
+
+
 Piece = tuple[int | None, int, bytes, int]  # document, start, ids, tokens of the document
 
 
@@ -192,6 +207,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     schema = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_tokenizer(None)
         tokenizer, bins = worker_tokenizer(tokenizer_path), HarmonicBins(capacity, min_piece=min_piece)
         next_id, rows = TaskContext.get().partitionId() * STRIDE, []
 
@@ -217,6 +233,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         place(bins.close())
         if rows:
             yield batch()
+        keep_tokenizer(IDLE_SECONDS)
 
     own = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     return own.mapInArrow(run, PACKED)
