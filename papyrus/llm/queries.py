@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrus.llm import chat, itq, licenses, multiset, packing, pieces, quality, repair, secrets, simhash, sitetree, warc
+from papyrus.llm import align, chat, itq, licenses, multiset, packing, pieces, quality, repair, secrets, simhash, sitetree, warc
 from papyrus.llm.common import shared_dir, table
 
 
@@ -64,6 +64,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_network", "n_confirmed")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_statistics(table(spark, sf_dir, "documents"), *align.tokenizer_paths())
+
+
 def op12_itq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -74,7 +78,7 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_harmonic_packing, op2_quality_rules, op3_chat_format, op4_simhash_pigeonring, op5_site_style_tree, op6_sampled_pieces, op7_licence_scan, op8_warc_archive, op9_multiset_hash, op10_secret_scan, op12_itq_neighbours, op13_turn_repair)
+    own = (op1_harmonic_packing, op2_quality_rules, op3_chat_format, op4_simhash_pigeonring, op5_site_style_tree, op6_sampled_pieces, op7_licence_scan, op8_warc_archive, op9_multiset_hash, op10_secret_scan, op11_token_alignment, op12_itq_neighbours, op13_turn_repair)
     return {f.__name__: f for f in own}
 
 
