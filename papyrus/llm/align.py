@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from papyrus.llm.common import pick, shared_dir
 
 #: Text that a chunk of documents holds (a longer document is a chunk of its own), text that B is given at once.
-CHUNK_BYTES, PIECE_BYTES = 8 << 20, 1 << 17
+CHUNK_BYTES, PIECE_BYTES = 4 << 20, 1 << 17
+#: Pairs of documents' parts that are looked at together.
+EXPANDED = 1 << 19
 #: A pair of ids is a * PAIR + b. Groups with more links than LARGE_GROUP are expanded from their distinct ids.
 PAIR, LARGE_GROUP = 1 << 16, 1 << 16
 
@@ -249,10 +251,16 @@ def chunk_row(tok: Tokenizers, chunk_id: int, ids: list, texts: pa.Array) -> pa.
     part, pair, links = aligned.pairs()
     pairs, pair = np.unique(pair, return_inverse=True)
     part_first = np.searchsorted(part, np.arange(n_parts + 1))
+    in_docs = np.zeros(len(pairs), dtype=np.int64)
     many = np.diff(part_first)[held_part]
-    nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    seen = _unique(np.repeat(held_doc, many) * max(1, len(pairs)) + pair[np.repeat(part_first[held_part], many) + nth])[0]
-    in_docs = np.bincount(seen % max(1, len(pairs)), minlength=len(pairs))
+    ends, doc_ends, at = np.cumsum(many), np.searchsorted(held_doc, np.arange(n_docs), "right"), 0
+    while at < len(many):  # whole documents, about EXPANDED pairs at a time
+        to = int(doc_ends[held_doc[min(len(many) - 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + EXPANDED, "right")))]])
+        own = many[at:to]
+        nth = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+        seen = np.unique(np.repeat(held_doc[at:to], own) * len(pairs) + pair[np.repeat(part_first[held_part[at:to]], own) + nth])
+        in_docs += np.bincount(seen % len(pairs), minlength=len(pairs))
+        at = to
     docs = [dict(zip(("doc_id", "n_a", "n_b", "n_groups", "n_links", "sha"), row, strict=True)) for row in zip(ids, *sums, digests, strict=True)]
     of_docs = _blob(np.searchsorted(held_doc, np.arange(n_docs + 1)), np.diff(held_part, prepend=0), times)
     return pa.RecordBatch.from_arrays([pa.array([chunk_id]), pa.array([docs], pa.list_(_DOC)), pa.array([of_docs]), pa.array([_blob(part_first, pair, links)]), pa.array([pairs.tolist()], pa.list_(pa.int64())), pa.array([in_docs.tolist()], pa.list_(pa.int64()))], schema=_CHUNK)
