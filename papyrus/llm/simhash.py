@@ -7,9 +7,9 @@ first segment, at most 1 in the first two, at most 2 in the first three, and so
 two conditions are an equality on a 26-bit key (each fingerprint also probes the keys with one zero bit of the second
 segment set), the longer chains are checked on the candidates of a key, and only what passes them gets the full test.
 
-Exact copies share a fingerprint and are one vertex, however many there are. Fingerprints one bit apart are joined first;
-after that a candidate pair counts only between different groups, so a dense cloud of near copies does not become all of
-its pairs.
+Exact copies share a fingerprint and are one vertex, however many there are. Fingerprints one bit apart, and each fingerprint
+with the first of every key that it has, are joined first; after that only members of different groups meet as candidates, and the
+largest group of a crowded key does not meet itself. So a dense cloud of near copies does not become all of its pairs.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ BLOCK = 1 << 16
 #: A fingerprint of more than one in so many rows is joined by broadcast, so there are fewer than so many of them.
 HOT_SHARE = 1000
 SALTS = 16
+#: Fingerprints of an index key from which its largest group does not meet itself.
+LARGE_KEY = 64
 
 
 def fingerprint(text: str | None, shingle_words: int = 4) -> int:
@@ -94,21 +96,37 @@ def _keys(fp: Column, tau: int) -> tuple[list[Column], list[Column]]:
     return own, probes
 
 
+def head_links(vertices: DataFrame, tau: int) -> DataFrame:
+    """(src, dst): each fingerprint with the smallest one of every index key that it has, where they differ in at most tau bits. A cloud whose members share a key so becomes one group by as many links as members."""
+    own = vertices.select(F.col("fp").alias("dst"), F.explode(F.array(*_keys(F.col("fp"), tau)[0])).alias("key"))
+    heads = own.groupBy("key").agg(F.min("dst").alias("src"))
+    return own.join(heads, ["key"]).where((F.col("src") < F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= tau)).select("src", "dst").distinct()
+
+
 def near_links(vertices: DataFrame, tau: int) -> DataFrame:
-    """(src, dst): fingerprints of different groups that differ in at most tau bits. vertices: fp (unique), grp."""
+    """(src, dst): fingerprints of different groups that differ in at most tau bits. vertices: fp (unique), grp.
+
+    In an index key with more than LARGE_KEY fingerprints the group with most of them meets the others, but not itself: so a key that a
+    cloud fills costs its members times those of other groups, not their square.
+    """
     if not 1 <= tau <= 7:
         raise ValueError("tau must be from 1 to 7")
     own, probes = _keys(F.col("fp"), tau)
-    index = vertices.select(F.col("fp").alias("b"), F.col("grp").alias("b_grp"), F.explode(F.array(*own)).alias("key"))
-    exact = vertices.select(F.col("fp").alias("a"), F.col("grp").alias("a_grp"), F.lit(False).alias("flipped"), F.explode(F.array(*own)).alias("key"))
-    probe = vertices.select(F.col("fp").alias("a"), F.col("grp").alias("a_grp"), F.lit(True).alias("flipped"), F.explode(F.array_compact(F.array(*probes))).alias("key"))
+    index = vertices.select("fp", "grp", F.explode(F.array(*own)).alias("key"))
+    members = index.groupBy("key", "grp").agg(F.count("*").alias("n"))
+    main = members.groupBy("key").agg(F.sum("n").alias("rows"), F.max_by("grp", "n").alias("main")).where(F.col("rows") > LARGE_KEY).select("key", "main")
+    probe = vertices.select("fp", "grp", F.explode(F.array_compact(F.array(*probes))).alias("key"))
+    both = index.withColumn("flipped", F.lit(False)).unionByName(probe.withColumn("flipped", F.lit(True))).join(main, ["key"], "left")
+    meets = F.when(F.col("main").isNull() | (F.col("grp") == F.col("main")), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    left = both.select(F.col("fp").alias("a"), F.col("grp").alias("a_grp"), "flipped", "key", F.explode(meets).alias("of_main"))
+    right = index.join(main, ["key"], "left").select(F.col("fp").alias("b"), F.col("grp").alias("b_grp"), "key", F.coalesce(F.col("grp") == F.col("main"), F.lit(False)).alias("of_main"))
     differ, start = F.col("a").bitwiseXOR(F.col("b")), (F.shiftright("key", 40) + 1).cast("int")
-    hit = (F.col("a_grp") != F.col("b_grp")) & (F.col("flipped") | (F.col("a") < F.col("b")))
+    hit = F.col("a_grp") != F.col("b_grp")
     for length in range(3, tau + 1):
         masks = F.array(*[F.lit(_signed(m)) for m in _chain_masks(tau, length)])
         hit &= F.bit_count(differ.bitwiseAND(F.element_at(masks, start))) <= length * tau // (tau + 1)
     hit &= F.bit_count(differ) <= tau
-    found = exact.unionByName(probe).join(index, ["key"]).where(hit)
+    found = left.join(right, ["key", "of_main"]).where(hit)
     return found.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
 
@@ -129,7 +147,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = checkpointed(fingerprints(df, id_col, text_col, shingle_words))
     vertices = checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
-    grouped = label_components(close_links(vertices)).toDF("fp", "label")
+    grouped = label_components(close_links(vertices).unionByName(head_links(vertices, tau))).toDF("fp", "label")
     groups = checkpointed(vertices.join(grouped, ["fp"], "left").select("fp", "first_id", "rows", F.coalesce("label", "fp").alias("grp")))
     links = near_links(groups, tau).join(groups.select(F.col("fp").alias("src"), F.col("grp").alias("a")), ["src"]).join(groups.select(F.col("fp").alias("dst"), F.col("grp").alias("b")), ["dst"])
     merged = label_components(links.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()).toDF("grp", "label")
