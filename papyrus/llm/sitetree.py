@@ -11,10 +11,11 @@ the host's distinct pages a node has
 * a composite of the two, by ``GAMMA``.
 
 Branches of low composite importance go from each page. What tags, roles and class words say is a prior: it decides where a host
-has fewer than ``LEAST_PAGES`` distinct pages with a node, and with the counts elsewhere. Kinds that are no main text whatever
-their importance (navigation, footers, side bars, forms, scripts, comments, adverts, hidden elements) go. Weak words outside
-main elements (related, social, notice, ...), and branches beside a main element, go unless their importance is above ``DOUBT``.
-Main elements stay, and so do headings, paragraphs, lists and tables that carry no class, id or role, and everything inline.
+has fewer than ``LEAST_PAGES`` distinct pages with a node, and with the counts elsewhere. Tags and roles that are no main text whatever
+their importance (navigation, footers, forms, scripts, hidden elements) go, and so do comments and adverts, whose texts are as
+new as an article's. Other class words (share, sidebar, cookies, ...; outside main elements also related, social, notice, ...) and
+branches beside a main element go unless their importance is above ``DOUBT``. Class words are whole names, or parts of names
+whose other parts only say where they stand ("site-footer"; not "footer-note"). Main elements stay, and so do headings, paragraphs, lists and tables that carry no class, id or role, and everything inline.
 """
 
 from __future__ import annotations
@@ -50,10 +51,21 @@ IMPLIED = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)),
 GONE_TAGS = frozenset("nav footer aside form head button select dialog menu input label fieldset svg object template canvas".split()) | RAW
 GONE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu form".split())
 MAIN_TAGS, MAIN_ROLES = frozenset(("article", "main")), frozenset(("main", "article"))
-GONE_CLASS = re.compile(r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|sponsor(?:ed|s)?|nav(?:bar|igation)?|breadcrumbs?|side-?bar|footer|masthead|cookies?(?:-?(?:bar|banner|notice|consent))?|consent|gdpr|newsletter|search-?(?:bar|box|form)|share|sharing|comments?|commentlist|disqus|replies|respond|pagination|pager|skip-?link)(?:$|[\s_-])", re.I)
-WEAK_CLASS = re.compile(r"(?:^|[\s_-])(?:banner|promo(?:tion)?s?|menus?|widgets?|foot|header|notices?|subscribe|signup|login|search|social|related|recommended|popular|popup|modal|overlay|toolbar)(?:$|[\s_-])", re.I)
+#: What may stand before or behind a class word in a name without changing what it says ("site-footer", "share-buttons"; but not "footer-note").
+_BEFORE, _BEHIND = r"(?:(?:site|page|main|top|bottom|left|right|global|post|article|user|reader|blog|wp|js|the)[-_]?)*", r"(?:[-_]?(?:bar|box|list|area|section|container|wrapper|wrap|links?|buttons?|icons?|block|widget|unit|slot|left|right|top|bottom|inner|outer|form|menu|item|items|thread|panel|main|content|header|title|[0-9]+))*"
 
-STAYS, WEAK, STRONG = 0, 1, 2
+
+def _class_words(words: str) -> re.Pattern:
+    """A whole name among a class attribute's, made of one of the words and of parts that say nothing."""
+    return re.compile(rf"(?:^|\s){_BEFORE}(?:{words}){_BEHIND}(?:$|\s)", re.I)
+
+
+#: Kinds that are no main text whatever their importance; kinds that importance may overrule; words that count outside main elements only.
+FIXED_CLASS = _class_words(r"ads?|advert(?:s|isement|isements|ising)?|sponsor(?:ed|s)?|comments?|commentlist|disqus|replies|respond|skip-?link")
+LIKELY_CLASS = _class_words(r"nav(?:bar|igation)?|breadcrumbs?|side-?bar|footer|masthead|cookies?|cookies?-?(?:banner|notice|consent)|consent|gdpr|newsletter|search-?(?:bar|box|form)|share|sharing|pagination|pager")
+WEAK_CLASS = _class_words(r"banner|promo(?:tion)?s?|menus?|widgets?|foot|header|notices?|subscribe|signup|login|search|social|related|recommended|popular|popup|modal|overlay|toolbar")
+
+STAYS, WEAK, LIKELY, STRONG = 0, 1, 2, 3
 
 
 def _key(text: str, seed: int = 0) -> int:
@@ -79,7 +91,9 @@ def _prior(tag: str, words: str, role: str, hidden: bool, main: bool, inside: bo
         return STRONG
     if main or tag in ("html", "body") or not words.strip():
         return STAYS
-    return STRONG if GONE_CLASS.search(words) else WEAK if not inside and WEAK_CLASS.search(words) else STAYS
+    if FIXED_CLASS.search(words):
+        return STRONG
+    return LIKELY if LIKELY_CLASS.search(words) else WEAK if not inside and WEAK_CLASS.search(words) else STAYS
 
 
 def events(page: str) -> list[Node | str | None]:
@@ -138,7 +152,7 @@ def events(page: str) -> list[Node | str | None]:
         look = " ".join(f"{k}={names[k]}" for k in ("class", "id", "role") if names.get(k))
         words, role = f"{names.get('class', '')} {names.get('id', '')}", names.get("role", "").lower()
         hidden = "hidden" in m[3].lower().split() or names.get("aria-hidden", "").lower() == "true"
-        main = (tag in MAIN_TAGS or role in MAIN_ROLES) and not GONE_CLASS.search(words)
+        main = (tag in MAIN_TAGS or role in MAIN_ROLES) and not FIXED_CLASS.search(words) and not LIKELY_CLASS.search(words)
         top = stack[-1]
         step = f"{tag}[{re.sub('[0-9]+', '#', look)}]" if look else tag
         node = Node(tag, step, top, bool(look), main, _prior(tag, words, role, hidden, main, top.inside or top.main))
@@ -170,7 +184,7 @@ def _around_main(found: list[Node | str | None]) -> set[int] | None:
     for i, x in enumerate(found):
         if isinstance(x, Node):
             open_.append(i)
-            if not away and x.prior == STRONG:
+            if not away and x.prior >= LIKELY:
                 away = len(open_)
             elif not away and x.main:
                 around = set() if around is None else around
@@ -212,7 +226,7 @@ def main_blocks(page: str, gone: frozenset[int] = frozenset(), kept: frozenset[i
     for i, x in enumerate(found):
         if isinstance(x, Node):
             open_.append(i)
-            if not away and ((removable(x) and x.path in gone) or (priors and (x.prior == STRONG or (x.prior == WEAK and x.path not in kept)))):
+            if not away and ((removable(x) and x.path in gone) or (priors and (x.prior == STRONG or (x.prior != STAYS and x.path not in kept)))):
                 away = len(open_)
             if not away and x.tag not in INLINE:
                 parts.append([])
@@ -252,7 +266,7 @@ def style_rows(page: str) -> list[tuple]:
                 open_[-1][1].append(x.step)
             open_.append((x, []))
             above[x.path] = x.above
-            flags[x.path] = flags.get(x.path, 0) | REMOVABLE * removable(x) | INSIDE * x.inside | WEAKLY * (x.prior == WEAK)
+            flags[x.path] = flags.get(x.path, 0) | REMOVABLE * removable(x) | INSIDE * x.inside | WEAKLY * (x.prior in (WEAK, LIKELY))
         elif x is None:
             node, steps = open_.pop()
             layouts[node.path].add(_key(" ".join(steps)))
