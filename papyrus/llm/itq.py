@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrus.llm.common import checkpointed, pick
@@ -90,18 +90,20 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _cosine(a: Column, b: Column) -> Column:
-    """Of two arrays in double precision, scaled first, so that no square overflows."""
+def _with_cosine(df: DataFrame, x: str, y: str) -> DataFrame:
+    """df without its vectors x and y but with their cosine, in double precision; -1 where one of them is zero."""
+    rest = [c for c in df.columns if c not in (x, y)]
+    schema = df.select(*rest).withColumn("cosine", F.lit(0.0)).schema
 
-    def unit(v: Column) -> Column:
-        top = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
-        return F.transform(v, lambda x: F.try_divide(x.cast("double"), top))
-
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    found = np.einsum("ij,ij->i", _matrix(batch.column(batch.schema.get_field_index(x))), _matrix(batch.column(batch.schema.get_field_index(y))))
+                kept = [batch.column(batch.schema.get_field_index(c)) for c in rest]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.nan_to_num(found, nan=-1.0))], [*rest, "cosine"])
 
-    x, y = unit(a), unit(b)
-    return F.try_divide(dot(x, y), F.sqrt(dot(x, x) * dot(y, y)))
+    return df.mapInArrow(run, schema)
 
 
 def most_bits_off(threshold: float) -> int:
@@ -113,7 +115,7 @@ def most_bits_off(threshold: float) -> int:
 def _verified(pairs: DataFrame, vertices: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose original vectors reach the threshold."""
     full = pairs.join(vertices.select(F.col("vertex").alias("a"), F.col("v").alias("va")), ["a"]).join(vertices.select(F.col("vertex").alias("b"), F.col("v").alias("vb")), ["b"])
-    return full.where(_cosine(F.col("va"), F.col("vb")) >= threshold).select("a", "b")
+    return _with_cosine(full, "va", "vb").where(F.col("cosine") >= threshold).select("a", "b")
 
 
 def first_links(coded: DataFrame, vertices: DataFrame, threshold: float) -> DataFrame:
@@ -147,13 +149,14 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
     large = members.where(size)
     unit = lambda df: df.withColumn("u", array_to_vector(F.transform("v", lambda x: x.cast("double"))))
     centre = unit(large).groupBy("component").agg(Summarizer.mean(F.col("u")).alias("m")).select("component", vector_to_array("m").alias("m"))
-    turned = large.join(centre, ["component"]).withColumn("angle", F.coalesce(F.acos(F.least(_cosine(F.col("v"), F.col("m")), F.lit(1.0))), F.lit(math.pi))).drop("m")
+    angle = F.acos(F.greatest(F.least("cosine", F.lit(1.0)), F.lit(-1.0)))
+    turned = _with_cosine(large.select("component", "vertex", "w", "v").join(centre, ["component"]), "v", "m").select("component", "vertex", "w", angle.alias("angle"))
     widest = turned.groupBy("component").agg(F.max("angle").alias("widest"))
-    turned = checkpointed(turned.join(widest, ["component"]).withColumn("inner", F.col("angle") + F.col("widest") <= math.acos(threshold) - 1e-6))
+    turned = checkpointed(turned.join(widest, ["component"]).select("component", "vertex", "w", (F.col("angle") + F.col("widest") <= math.acos(threshold) - 1e-6).alias("inner")))
     totals = turned.groupBy("component").agg(F.sum("w").alias("all_w"), F.sum(F.when(F.col("inner"), F.col("w")).otherwise(0)).alias("inner_w"), F.count_if(~F.col("inner")).alias("outer"))
     known = turned.select("component", "vertex", "w", "inner").join(totals, ["component"]).select("vertex", F.when(F.col("inner"), F.col("all_w") - F.col("w")).otherwise(F.col("inner_w")).alias("linked"))
     blocks = F.ceil(F.col("outer") / BLOCK_ROWS).cast("int")
-    rest = turned.where(~F.col("inner")).join(totals.select("component", "outer"), ["component"]).select("component", "vertex", "w", "v", blocks.alias("blocks"))
+    rest = turned.where(~F.col("inner")).join(totals.select("component", "outer"), ["component"]).join(large.select("vertex", "v"), ["vertex"]).select("component", "vertex", "w", "v", blocks.alias("blocks"))
     every = members.where(~size).select("component", "vertex", "w", "v", F.lit(1).alias("blocks")).unionByName(rest)
     blk = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("blk", o).alias("lo"), F.greatest("blk", o).alias("hi")))
