@@ -22,11 +22,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, and one (-1) whose texts are control strings. The instruct template is local: a turn's part depends on the turn alone."""
+    """All conversations, and one (-1) whose texts are control strings; every prefix is rendered whole."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.format_conversations(given.unionByName(own), window=chat.WINDOW))
+    return chat.digests(chat.format_conversations(given.unionByName(own)))
 
 
 def op4_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op9_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"), with_masked=False)
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_network", "n_confirmed")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_network", "n_confirmed", "network")
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
