@@ -47,3 +47,9 @@ def histogram(df: DataFrame, value: str, bins: int, up_to_distinct: bool = False
 
 def slope(y: str, x: str) -> Column:
     return F.regr_slope(F.col(y).cast("double"), F.col(x).cast("double"))
+
+
+def ratio(part: Column, whole: Column, digits: int) -> Column:
+    """part / whole of integers (whole over 0, part not negative), rounded half up from the exact fraction; null where whole is 0."""
+    scale = 10**digits
+    return F.floor(F.try_divide(part * (2 * scale) + whole, whole * 2)) / F.lit(float(scale))

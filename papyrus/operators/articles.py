@@ -12,7 +12,8 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # English month names, and what an abstract in running text starts and ends with.
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
@@ -79,16 +80,20 @@ def parse_article(element: ElementTree.Element) -> tuple:
     return pmid, _text(article.find(".//ArticleTitle")), abstract_of(article), authors_of(article), article.findtext(".//Journal/Title"), date_of(article), doi, None
 
 
+#: What an article that is not well-formed says in its error column.
+MALFORMED = "Malformed article"
+
+
 def parse_document(xml: str | None) -> list[tuple]:
-    """The articles of a document, in order; none for a document that is not well-formed."""
+    """The articles of a document, in order; one error row for a document that is not well-formed, none for a null or empty one."""
     try:
-        return [parse_article(e) for e in ElementTree.fromstring(xml or "").iter("PubmedArticle")]
+        return [parse_article(e) for e in ElementTree.fromstring(xml).iter("PubmedArticle")] if xml else []
     except ElementTree.ParseError:
-        return []
+        return [(None, None, None, [], None, None, None, MALFORMED)]
 
 
 def parse_documents(rows: DataFrame, xml: str = "xml") -> DataFrame:
-    """rows with documents of many PubmedArticle -> one row an article: ARTICLE. Malformed and null documents give no rows."""
+    """rows with documents of many PubmedArticle -> one row an article: ARTICLE. A malformed document gives a row with an error, a null one none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in ARTICLE.split(", ")]
@@ -98,3 +103,40 @@ def parse_documents(rows: DataFrame, xml: str = "xml") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names)
 
     return rows.select(xml).mapInArrow(run, ARTICLE)
+
+
+RECORD_TAG = "PubmedArticle"
+
+
+def write_archive(documents: DataFrame, path: str, xml: str = "xml") -> None:
+    """Writes documents of articles, without their outer element, as files that hold many of them."""
+    documents.select(xml).write.text(path)
+
+
+def read_records(spark: SparkSession, path: str, tag: str = RECORD_TAG) -> DataFrame:
+    """(record, whole) of every element ``tag`` in files of any size: a file is split between tasks, as its end tags separate the lines that Spark's text reader cuts it into.
+
+    Where another start tag comes before the end tag the first one's element was never closed: what stands before it is a record
+    that is not whole. Text outside of elements is left out. An element that the end of a file cuts off is closed there.
+    """
+    end = f"</{tag}>"
+    pieces = spark.read.option("lineSep", end).text(path).select(F.split("value", rf"(?=<{tag}[\s>])").alias("p"))
+    each = pieces.select(F.posexplode("p").alias("k", "record"), F.size("p").alias("n")).where(F.col("record").startswith(f"<{tag}"))
+    whole = F.col("k") == F.col("n") - 1
+    return each.select(F.when(whole, F.concat("record", F.lit(end))).otherwise(F.rtrim("record", F.lit(" \t\r\n"))).alias("record"), whole.alias("whole"))
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """ARTICLE and malformed of every record of an archive: a record that is not whole or not well-formed has an error and stands in malformed as it is; others have a null there."""
+    names = [*(c.split()[0] for c in ARTICLE.split(", ")), "malformed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for record, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parsed = parse_document(record if whole else "<")
+                found += [(*row, record if row[-1] == MALFORMED else None) for row in parsed]
+            columns = list(zip(*found, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*_TYPES, pa.string()], strict=True)], names)
+
+    return read_records(spark, path).mapInArrow(run, f"{ARTICLE}, malformed string")

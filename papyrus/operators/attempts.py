@@ -28,16 +28,40 @@ def applicable(needs: Column) -> Column:
 
 
 def routes(papers: DataFrame) -> DataFrame:
-    """papers (paper, pmcid, doi, title) x the ten strategies that apply, in the order in which they are tried."""
+    """papers (paper, pmcid, doi, title; pmid if there is one) x the ten strategies that apply, in the order in which they are tried."""
     s = strategies(papers.sparkSession)
+    papers = papers if "pmid" in papers.columns else papers.withColumn("pmid", F.lit(None).cast("string"))
     w = Window.partitionBy("paper").orderBy("priority", "position")
     return papers.join(F.broadcast(s)).where(applicable(F.col("needs"))).withColumn("place", F.row_number().over(w)).select("paper", "place", "strategy", candidate_url(F.col("strategy")).alias("candidate"))
 
 
 def candidate_url(strategy: Column) -> Column:
-    """What a strategy would ask for, as a path without a host."""
-    last, named = F.element_at(F.split("doi", "/"), -1), F.regexp_extract("doi", r"(?i)arxiv\.(.*)$", 1)
-    return F.when(strategy.isin("EuropePMC", "PMC OA", "Direct PMC"), F.concat(F.lit("pmc/"), F.col("pmcid"))).when(strategy == "arXiv", F.concat(F.lit("arxiv/"), last)).when(strategy == "arXiv API", F.concat(F.lit("arxiv/"), named)).otherwise(F.concat(F.lit("doi/"), F.coalesce("doi", "title")))
+    """What a strategy would ask for, as an address (host names are made up) or, where a service answers first, as service:query. Of a paper's pmcid, doi, title and, if there is one, pmid; null where the strategy has no form for it.
+
+    arXiv takes what follows the DOI's last slash; its API what stands between the last "arxiv." and the next slash, and searches by title
+    without such a DOI.
+    """
+    number, doi, low = F.replace("pmcid", F.lit("PMC"), F.lit("")), F.col("doi"), F.lower("doi")
+    last, named = F.element_at(F.split(doi, "/"), -1), F.element_at(F.split(F.element_at(F.split(doi, r"arxiv\."), -1), "/"), 1)
+    on_arxiv = F.coalesce(F.contains(low, F.lit("arxiv")), F.lit(False))
+    direct = F.concat(F.lit("https://doi.example/"), doi)
+    publisher = F.when(F.contains(low, F.lit("plos")), F.concat(F.lit("https://plos.example/article/file?id="), doi, F.lit("&type=printable"))).when(F.contains(low, F.lit("nature")), F.concat(F.lit("https://nature.example/articles/"), last, F.lit(".pdf"))).otherwise(direct)
+    forms = {
+        "EuropePMC": F.concat(F.lit("https://europepmc.example/articles/PMC"), number, F.lit("?pdf=render")),
+        "PMC OA": F.concat(F.lit("pmc-oa:PMC"), number),
+        "Direct PMC": F.concat(F.lit("https://pmc.example/articles/PMC"), number, F.lit("/pdf/")),
+        "Enhanced DOI": publisher,
+        "DOI": direct,
+        "arXiv": F.when(on_arxiv, F.concat(F.lit("https://arxiv.example/pdf/"), last, F.lit(".pdf"))),
+        "arXiv API": F.when(on_arxiv, F.concat(F.lit("arxiv:"), named)).otherwise(F.concat(F.lit("arxiv-search:"), "title")),
+        "PyPaperBot": F.coalesce(F.concat(F.lit("bot-doi:"), doi), F.concat(F.lit("bot-title:"), "title")),
+        "Semantic Scholar": F.coalesce(F.concat(F.lit("scholar:DOI:"), doi), F.concat(F.lit("scholar:PMID:"), F.trim(F.replace("pmid", F.lit("PMID:"), F.lit(""))))),
+        "Unpaywall": F.concat(F.lit("unpaywall:"), doi),
+    }
+    found = None
+    for name, form in forms.items():
+        found = F.when(strategy == name, form) if found is None else found.when(strategy == name, form)
+    return found
 
 
 def first_success(attempts: DataFrame, priority: Column) -> DataFrame:

@@ -25,6 +25,11 @@ def batch_size(n: int, with_key: bool) -> int:
     return min(200, max(50, n // 5)) if with_key else min(100, max(20, n // 10))
 
 
+def conversion_batch(n: int, with_key: bool) -> int:
+    """How many ids a conversion request takes: all up to 200, at least 100, with an access key; up to 100, at least 50, without."""
+    return min(200, max(100, n)) if with_key else min(100, max(50, n))
+
+
 def numbered_within(rows: DataFrame, group: str, id_col: str) -> DataFrame:
     """rows with their place (1, 2, ...) by id within a group of bounded size."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(id_col)))
@@ -49,12 +54,12 @@ def coverage(papers: DataFrame) -> DataFrame:
 
 
 def coverage_suggestions(stats: DataFrame, least_percent: float = 98.0) -> DataFrame:
-    """One row for each rule that a coverage row fires."""
+    """One row for each rule that a coverage row (with errors, if there is such a column) fires: missing abstracts, errors, low coverage. A corpus without papers fires none."""
+    stats = stats if "errors" in stats.columns else stats.withColumn("errors", F.lit(0))
     rules = F.array(
         F.when(F.col("without_abstract") > 0, F.concat(F.lit("recover "), F.col("without_abstract").cast("string"), F.lit(" abstracts"))),
-        F.when(F.col("percent") < least_percent, F.lit("coverage is low")),
-        F.when(F.col("total") == 0, F.lit("no papers")),
-        F.when(F.col("mean_length") < 500, F.lit("abstracts are short")).otherwise(F.lit("abstracts are long")),
+        F.when(F.col("errors") > 0, F.concat(F.lit("retry "), F.col("errors").cast("string"), F.lit(" failed requests"))),
+        F.when((F.col("total") > 0) & (F.col("percent") < least_percent), F.lit("ask for missing abstracts one by one")),
     )
     return stats.select(F.explode(F.array_compact(rules)).alias("suggestion"))
 

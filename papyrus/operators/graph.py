@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,15 +41,17 @@ def summary(edges: DataFrame) -> DataFrame:
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """(node, triangles): edges are directed from the node of lower degree, so hubs start few wedges."""
+    """(node, triangles). Edges are directed from the end of lower degree, so no node has more than about sqrt(2 * edges) out-neighbours; an edge meets those of both its ends, two lists an edge, and what they share closes triangles."""
     d = _ends(edges).groupBy("node").agg(F.count("*").alias("d"))
     e = edges.select("src", "dst").join(d.toDF("src", "ds"), ["src"]).join(d.toDF("dst", "dd"), ["dst"])
     up: Column = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
     directed = e.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("x"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("y"))
-    wedges = directed.alias("a").join(directed.alias("b"), F.col("a.x") == F.col("b.x")).where("a.y < b.y").select(F.col("a.x").alias("x"), F.col("a.y").alias("src"), F.col("b.y").alias("dst"))
-    closed = wedges.join(edges.select("src", "dst"), ["src", "dst"])
-    corners = closed.select(F.explode(F.array("x", "src", "dst")).alias("node"))
-    return corners.groupBy("node").agg(F.count("*").alias("triangles"))
+    out = directed.groupBy("x").agg(F.collect_list("y").alias("out"))
+    both = directed.join(out, ["x"]).join(out.select(F.col("x").alias("y"), F.col("out").alias("out_y")), ["y"])
+    closed = both.select("x", "y", F.array_intersect("out", "out_y").alias("z")).where(F.size("z") > 0)
+    n = F.size("z").cast("long")
+    corners = F.concat(F.array(F.struct(F.col("x").alias("node"), n.alias("n")), F.struct(F.col("y").alias("node"), n.alias("n"))), F.transform("z", lambda z: F.struct(z.alias("node"), F.lit(1).cast("long").alias("n"))))
+    return closed.select(F.explode(corners).alias("c")).groupBy("c.node").agg(F.sum("c.n").alias("triangles"))
 
 
 def clustering(edges: DataFrame) -> DataFrame:
@@ -105,31 +110,96 @@ def label_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
-def distances(edges: DataFrame, most_nodes: int = 2000) -> DataFrame:
-    """(node, other, d): shortest paths by edges, from every node at once, a step a round. For graphs of at most ``most_nodes`` nodes (checked): the result has their square."""
-    both = checkpointed(edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    nodes = both.select(F.col("src").alias("node")).distinct()
-    if nodes.limit(most_nodes + 1).count() > most_nodes:
-        raise ValueError(f"more than {most_nodes} nodes")
-    known = last = checkpointed(nodes.select("node", F.col("node").alias("other"), F.lit(0).alias("d")))
-    for d in range(1, most_nodes):
-        step = last.select("node", F.col("other").alias("src")).join(both, ["src"]).select("node", F.col("dst").alias("other")).distinct()
-        last = checkpointed(step.join(known, ["node", "other"], "left_anti").withColumn("d", F.lit(d)))
+#: Sources of a component that one search takes: a bit of a long each, in so many columns.
+WORDS, WORD = 8, 64
+
+
+def _both_ways(edges: DataFrame, *cols: str) -> DataFrame:
+    return edges.select("src", "dst", *cols).unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *cols))
+
+
+def eccentricities(both: DataFrame, sources: DataFrame, words: int = WORDS) -> DataFrame:
+    """(component, node, ecc): how far the farthest node of its component is from each source. sources: node, component, at most words * WORD in each component.
+
+    both: edges in both directions, without repeats. All sources are searched from at once, components side by side: a node keeps a bit
+    for each source of its component that has reached it; a step sends the bits that were new to a node on to its neighbours and
+    ORs them there. Of each step and component one row is kept: the sources that still reached a new node.
+    """
+    names, one = [f"w{k}" for k in range(words)], F.lit(1).cast("long")
+    bit = F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1
+    placed = checkpointed(sources.select("node", "component").withColumn("bit", bit))
+    masks = [F.when(F.floor(F.col("bit") / WORD) == k, F.call_function("shiftleft", one, (F.col("bit") % WORD).cast("int"))).otherwise(F.lit(0).cast("long")).alias(f"w{k}") for k in range(words)]
+    # A row for each node that was reached: the bits that it had before (s) and those that the last step brought (w).
+    state, steps = checkpointed(placed.select("node", "component", *[F.lit(0).cast("long").alias(f"s{w}") for w in names], *masks)), []
+    some = " OR ".join(f"{w} <> 0" for w in names)
+    for step in itertools.count(1):
+        sent = state.where(some).withColumnRenamed("node", "src").join(both, ["src"]).groupBy(F.col("dst").alias("node"), "component").agg(*[F.bit_or(w).alias(f"n{w}") for w in names])
+        none = F.lit(0).cast("long")
+        had = [F.coalesce(f"s{w}", none).bitwiseOR(F.coalesce(w, none)) for w in names]
+        fresh = [F.coalesce(f"n{w}", none).bitwiseAND(F.bitwise_not(h)).alias(w) for w, h in zip(names, had, strict=True)]
+        state = checkpointed(state.join(sent, ["node", "component"], "full").select("node", "component", *[h.alias(f"s{w}") for w, h in zip(names, had, strict=True)], *fresh))
+        last = state.where(some)
         if last.isEmpty():
             break
+        steps.append(last.groupBy("component").agg(F.lit(step).alias("d"), F.array(*[F.bit_or(w) for w in names]).alias("bits")))
+    if not steps:
+        return placed.select("component", "node", F.lit(0).alias("ecc"))
+    reached = functools.reduce(DataFrame.unionByName, steps)
+    hit = F.call_function("getbit", F.get("bits", F.floor(F.col("bit") / WORD).cast("int")), (F.col("bit") % WORD).cast("int")) == 1
+    far = placed.join(reached, ["component"]).where(hit).groupBy("component", "node").agg(F.max("d").alias("d"))
+    return placed.join(far, ["component", "node"], "left").select("component", "node", F.coalesce("d", F.lit(0)).alias("ecc"))
+
+
+def levels(both: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, component, level): steps from the start of its component. starts: node, component, one for each component. The frontier grows by a join a step."""
+    known = last = checkpointed(starts.select("node", "component", F.lit(0).alias("level")))
+    while not last.isEmpty():
+        step = last.select(F.col("node").alias("src"), "component", (F.col("level") + 1).alias("level")).join(both, ["src"]).select(F.col("dst").alias("node"), "component", "level").distinct()
+        last = checkpointed(step.join(known, ["node"], "left_anti"))
         known = checkpointed(known.unionByName(last))
     return known
 
 
+def diameters(edges: DataFrame, words: int = WORDS) -> DataFrame:
+    """(component, nodes, diameter) of each connected component, exact, for any number of nodes.
+
+    Levels are counted from a node of highest degree of each component. A path between nodes of level i or less has 2 * i edges at most,
+    so levels are searched from the farthest inwards, words * WORD nodes of each component's open level at a time, until the
+    longest distance found reaches what the levels that are left could still give. Components are searched side by side.
+    """
+    both = checkpointed(_both_ways(edges.where("src <> dst")).distinct())
+    labels = checkpointed(label_components(edges))
+    degree = both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"))
+    starts = labels.join(degree, ["node"]).groupBy("component").agg(F.min_by("node", F.struct(-F.col("d"), "node")).alias("node"))
+    found, size = levels(both, starts), words * WORD
+    # The nodes of a level in turns of at most ``size``: dealt by hash to parts of half of that, and numbered within those.
+    parts = found.groupBy("component", "level").agg(F.ceil(F.count("*") / (size / 2)).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    within = Window.partitionBy("component", "level", "part").orderBy("node")
+    numbered = found.join(parts, ["component", "level"]).withColumn("part", part).withColumn("turn", F.col("part") + F.col("parts") * F.floor((F.row_number().over(within) - 1) / size)).select("node", "component", "level", "turn")
+    numbered = checkpointed(numbered)
+    turns = checkpointed(numbered.groupBy("component", "level").agg(F.max("turn").alias("last_turn"))).withColumnRenamed("level", "open")
+    state = checkpointed(found.groupBy("component").agg(F.count("*").alias("nodes"), F.max("level").alias("low"), F.max("level").alias("open")).withColumn("turn", F.lit(0).cast("long")))
+    while True:
+        going = state.where(F.col("low") < 2 * F.col("open"))
+        if going.isEmpty():
+            return state.select("component", "nodes", F.col("low").alias("diameter"))
+        batch = numbered.join(going.select("component", F.col("open").alias("level"), "turn"), ["component", "level", "turn"])
+        best = eccentricities(both, batch, words).groupBy("component").agg(F.max("ecc").alias("best"))
+        more, searched = F.col("turn") < F.col("last_turn"), F.col("low") < 2 * F.col("open")
+        after = state.join(best, ["component"], "left").join(turns, ["component", "open"], "left")
+        state = checkpointed(after.select("component", "nodes", F.greatest("low", F.coalesce("best", "low")).alias("low"), F.when(searched & ~more, F.col("open") - 1).otherwise(F.col("open")).alias("open"), F.when(searched & more, F.col("turn") + 1).otherwise(F.lit(0)).alias("turn")))
+
+
 def metrics(edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, components, connected, diameter (null if there are several components), average clustering coefficient."""
     edges = checkpointed(edges)
-    parts = label_components(edges).agg(F.count_distinct("component").alias("components"))
-    widest = distances(edges).agg(F.max("d").alias("d"))
+    parts = checkpointed(label_components(edges)).agg(F.count_distinct("component").alias("components"))
+    single = parts.first()["components"] == 1  # one number; several components have no diameter, and none is searched for
+    widest = diameters(edges).agg(F.max("diameter").alias("d")) if single else parts.select(F.lit(None).cast("int").alias("d"))
     mean = clustering(edges).agg(F.round(F.avg("coefficient"), 6).alias("clustering"))
     one = summary(edges).select("nodes", "edges").join(F.broadcast(parts)).join(F.broadcast(widest)).join(F.broadcast(mean))  # one row each
-    connected = F.col("components") == 1
-    return one.select("nodes", "edges", "components", connected.alias("connected"), F.when(connected, F.col("d")).alias("diameter"), "clustering")
+    return one.select("nodes", "edges", "components", (F.col("components") == 1).alias("connected"), F.col("d").alias("diameter"), "clustering")
 
 
 def adjacency(edges: DataFrame, k: int = 20) -> DataFrame:

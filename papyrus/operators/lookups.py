@@ -26,10 +26,10 @@ def first_answer(answers: DataFrame, key: str, priority: Column, usable: Column)
     return answers.where(usable).groupBy(key).agg(best.alias("a")).select(key, "a.*")
 
 
-def first_yielding_source(rows: DataFrame, sources: list[str], most_ids: int = 50) -> DataFrame:
-    """rows: batch, pmid, place, source, abstract -> the abstracts that a batch gets from the first source, in the given order, that yields any for its first ``most_ids`` ids."""
+def first_yielding_source(rows: DataFrame, sources: list[str]) -> DataFrame:
+    """rows: batch, pmid, source, abstract -> the abstracts that a batch gets from the first source, in the given order, that yields any."""
     order = F.array_position(F.array(*map(F.lit, sources)), F.col("source"))
-    found = rows.where((F.col("place") <= most_ids) & T.filled(F.col("abstract"))).withColumn("order", order)
+    found = rows.where(T.filled(F.col("abstract"))).withColumn("order", order)
     first = found.groupBy("batch").agg(F.min("order").alias("order"))
     return found.join(first, ["batch", "order"], "left_semi").select("batch", "pmid", "source", "abstract")
 
@@ -50,8 +50,8 @@ def with_files(papers: DataFrame, listing: DataFrame, path: str = "path") -> Dat
 
 
 def pdf_listing(files: DataFrame) -> DataFrame:
-    """Of a listing (path, length) the files that end in .pdf, in any case, and are not folders."""
-    return files.where(F.lower("path").endswith(".pdf") & (F.col("length") > 0))
+    """Of a listing (path, is_folder) the files that end in .pdf, in any case; empty files are files."""
+    return files.where(F.lower("path").endswith(".pdf") & ~F.col("is_folder"))
 
 
 def backoff(requests: DataFrame, delay: float = 1.0, decay: float = 0.9, floor: float = 0.2) -> DataFrame:

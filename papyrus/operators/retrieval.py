@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,47 +40,48 @@ def search_targets(kind: Column) -> Column:
     return found.otherwise(F.array(*map(F.lit, DEFAULT_TARGETS)))
 
 
-def classify(questions: DataFrame) -> DataFrame:
-    """questions (question_id, question) with type, targets and the limit that each target gets of 5."""
+def classify(questions: DataFrame, limit: int = 5) -> DataFrame:
+    """questions (question_id, question) with type, targets and the limit that each target gets of ``limit``."""
     typed = questions.withColumn("type", question_type(F.col("question")))
     out = typed.withColumn("targets", search_targets(F.col("type")))
-    return out.withColumn("limit_each", F.floor(F.lit(5) / F.size("targets")).cast("int"))
-
-
-def chunk_bounds(text: Column, size: int = 500, overlap: int = 50) -> Column:
-    """(start, end) of a text's chunks: ``size`` characters, cut back to after the last .!? in the second half, ``overlap`` shared with the next.
+    return out.withColumn("limit_each", F.floor(F.lit(limit) / F.size("targets")).cast("int"))
 
-    A fold over at most length / (size / 2 - overlap) steps, within the row.
-    """
-    n = F.length(text)
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(n / (size // 2 - overlap)).cast("int")))
 
-    def step(acc: Column, _: Column) -> Column:
-        start = acc["next"]
-        full = F.least(start + size, n)
-        tail = F.substring(text, start + size // 2 + 1, F.lit(size // 2 + 1))
-        back = F.length(F.regexp_extract(tail, r"^([\s\S]*[.!?])", 1))
-        end = F.when(full >= n, n).when(back > 0, start + size // 2 + back).otherwise(full)
-        chunk = F.struct(start.alias("s"), end.alias("e"))
-        return F.when(acc["done"], acc).otherwise(F.struct(F.concat(acc["chunks"], F.array(chunk)).alias("chunks"), F.greatest(end - overlap, start + 1).alias("next"), (end >= n).alias("done")))
-
-    zero = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("chunks"), F.lit(0).alias("next"), (n == 0).alias("done"))
-    return F.aggregate(steps, zero, step, lambda acc: acc["chunks"])
+def chunk_bounds(text: str, size: int = 500, overlap: int = 50) -> Iterator[tuple[int, int]]:
+    """(start, end) of a text's chunks: ``size`` characters, cut back to after the last .!? in the second half, ``overlap`` shared with the next. Only a chunk's second half is looked at again."""
+    start, n = 0, len(text)
+    while n:
+        end, middle = min(start + size, n), start + size // 2
+        if end < n:
+            back = max(text.rfind(c, middle, end + 1) for c in ".!?") + 1
+            end = back or end
+        yield start, end
+        if end >= n:
+            return
+        start = max(end - overlap, start + 1)
 
 
 def chunks(papers: DataFrame, size: int = 500, overlap: int = 50, longer_than: int = 50) -> DataFrame:
     """(doc_id, chunk_id, start, text) of the chunks with more than ``longer_than`` characters without their outer white space."""
-    own = papers.select("doc_id", F.coalesce("abstract", F.lit("")).alias("t"))
-    cut = own.select("doc_id", "t", F.posexplode(chunk_bounds(F.col("t"), size, overlap)).alias("chunk_id", "c"))
-    out = cut.select("doc_id", "chunk_id", F.col("c.s").alias("start"), F.substring("t", F.col("c.s") + 1, F.col("c.e") - F.col("c.s")).alias("text"))
-    return out.where(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > longer_than)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(doc, k, s, t[s:e]) for doc, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, (s, e) in enumerate(chunk_bounds(t, size, overlap))]
+            for lo in range(0, max(1, len(rows)), 10_000):
+                columns = list(zip(*rows[lo : lo + 10_000], strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["doc_id", "chunk_id", "start", "text"])
+
+    own = papers.select(F.col("doc_id").cast("long"), F.coalesce("abstract", F.lit("")).alias("t"))
+    cut = own.mapInArrow(run, "doc_id long, chunk_id int, start int, text string")
+    return cut.where(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > longer_than)
 
 
 def eligible_counts(papers: DataFrame) -> DataFrame:
-    """(kind, n): papers whose abstract has over 50 characters, whose whole text over 100."""
+    """(kind, n): papers whose abstract has over 50 characters, whose whole text over 100, and sections (lines of the text) of over 100."""
     n = F.length(F.trim(F.coalesce("abstract", F.lit(""))))
-    one = papers.agg(F.count_if(n > 50).alias("abstract"), F.count_if(n > 100).alias("fulltext"))
-    return one.unpivot([], ["abstract", "fulltext"], "kind", "n")
+    sections = F.size(F.filter(F.split(F.coalesce("abstract", F.lit("")), "\n"), lambda s: F.length(F.trim(s)) > 100))
+    one = papers.agg(F.count_if(n > 50).alias("abstract"), F.count_if(n > 100).alias("fulltext"), F.coalesce(F.sum(sections), F.lit(0)).cast("long").alias("section"))
+    return one.unpivot([], ["abstract", "fulltext", "section"], "kind", "n")
 
 
 def dedupe_contexts(found: DataFrame, limit: int = 5) -> DataFrame:

@@ -24,7 +24,7 @@ PREFIX_FROM = 0.6
 
 
 def jaccard_pairs(sets: DataFrame, over: float = 0.05) -> DataFrame:
-    """(a, b, jaccard) of all pairs a < b of sets (doc_id, terms) whose similarity exceeds ``over`` (from 0 to 1).
+    """(a, b, shared, total, jaccard) of all pairs a < b of sets (doc_id, terms) whose similarity exceeds ``over`` (from 0 to 1); shared and total count the terms of both and of either.
 
     Equal sets are one class: a class's members are linked to its first, and only first members are compared with each
     other. The result holds class representatives; see class_members(). High thresholds go through an index of prefixes. Under
@@ -49,7 +49,8 @@ def _pairs_by_prefix(classes: DataFrame, over: float) -> DataFrame:
     near &= rest >= F.lit(over / (1 + over)) * (F.col("na") + F.col("nb"))
     candidates = left.join(right, ["term"]).where(near).groupBy("a", "b").agg(F.lit(1).alias("_")).select("a", "b")
     both = candidates.join(ordered.select(F.col("rep").alias("a"), F.col("terms").alias("x")), ["a"]).join(ordered.select(F.col("rep").alias("b"), F.col("terms").alias("y")), ["b"])
-    return both.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") > over)
+    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), (F.size("x") + F.size("y")).cast("long").alias("n"))
+    return shared.select("a", "b", "shared", (F.col("n") - F.col("shared")).alias("total")).withColumn("jaccard", F.col("shared") / F.col("total")).where(F.col("jaccard") > over)
 
 
 def block_pairs(rows: DataFrame, key: str, value: Column, schema: str, compare: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -84,12 +85,13 @@ def _pairs_by_blocks(classes: DataFrame, over: float) -> DataFrame:
             terms = np.asarray(terms)
             at = np.minimum(np.searchsorted(known, terms), len(known) - 1) if len(known) else np.zeros(0, np.int64)
             shared = held[at[known[at] == terms]].sum(axis=0, dtype=np.int64)
-            found = shared / (sizes + len(terms) - shared)
-            keep = (found > over) & ((ids < other) if same else (ids != other))
-            out.append(pd.DataFrame({"a": np.minimum(ids[keep], other), "b": np.maximum(ids[keep], other), "jaccard": found[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "jaccard": []})
+            total = sizes + len(terms) - shared
+            keep = (shared / total > over) & ((ids < other) if same else (ids != other))
+            out.append(pd.DataFrame({"a": np.minimum(ids[keep], other), "b": np.maximum(ids[keep], other), "shared": shared[keep], "total": total[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "shared": [], "total": []})
 
-    return block_pairs(classes, "rep", F.transform("terms", lambda t: F.xxhash64(t)), "a long, b long, jaccard double", compare)
+    found = block_pairs(classes, "rep", F.transform("terms", lambda t: F.xxhash64(t)), "a long, b long, shared long, total long", compare)
+    return found.withColumn("jaccard", F.col("shared") / F.col("total"))
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:

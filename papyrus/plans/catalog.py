@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from papyrus.functions.stats import histogram
+from papyrus.functions.stats import histogram, ratio
 from papyrus.operators import attempts as A
 from papyrus.operators import corpus, derived, enrichment, frequency, graph, ingest, learning, retrieval, scoring, sentiment, similarity, topics, trends
-from papyrus.plans import panels_sql, records
+from papyrus.plans import panels_sql, records, searches
 from papyrus.plans.oracles import ORACLES
 from papyrus.sources.views import attempts, dated_papers, papers, scores, table
 from papyrus.streaming import events as S
@@ -35,7 +35,6 @@ _over(
     search_limit=lambda p: corpus.search(p, "licensed", 25, 5),
     batch_numbers=lambda p: corpus.batches(p, 100),
     coverage_stats=corpus.coverage,
-    coverage_suggestions=lambda p: corpus.coverage_suggestions(corpus.coverage(p)),
     text_normalize=corpus.normalized_table,
     readability=corpus.readability_table,
     word_count_hist=corpus.word_count_histogram,
@@ -51,7 +50,7 @@ _over(
     tfidf=frequency.tfidf,
     top_journals=trends.top_journals,
     years_in_text=lambda p: trends.years_in_text(p, "abstract"),
-    jaccard_pairs=lambda p: similarity.jaccard_pairs(similarity.term_sets(p), 0.05).withColumn("jaccard", F.round("jaccard", 6)),
+    jaccard_pairs=lambda p: similarity.jaccard_pairs(similarity.term_sets(p), 0.05).select("a", "b", ratio(F.col("shared"), F.col("total"), 6).alias("jaccard")),
     jaccard_classes=lambda p: similarity.class_members(similarity.term_sets(p)),
     index_sizes=retrieval.eligible_counts,
     analysis_prompts=retrieval.analysis_prompts,
@@ -85,6 +84,13 @@ _over(
 )
 
 
+@query
+def coverage_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a corpus needs whose toxic papers count as failed requests."""
+    errors = table(spark, sf_dir, "labels").agg(F.count_if(F.col("toxic") == 1).alias("errors"))
+    return corpus.coverage_suggestions(corpus.coverage(papers(spark, sf_dir)).join(F.broadcast(errors)))  # one row
+
+
 @query
 def keyword_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -228,13 +234,13 @@ QUERIES |= {
     "sink_stats": lambda s, d: ingest.sink_statistics(table(s, d, "pages"), "html"),
     "windows_sliding": lambda s, d: S.sliding(_events(s, d)).withColumn("start", F.col("start").cast("timestamp_ntz")),
     "events_deduplicated": lambda s, d: S.deduplicated(_events(s, d).unionByName(_events(s, d).where("event_id % 3 = 0"))).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")),
-    "stream_sliding": lambda s, d: S.run(S.sliding(S.source(s, d))),
-    "stream_deduplicated": lambda s, d: S.run(S.deduplicated(S.source(s, d))),
+    "stream_sliding": lambda s, d: S.run(S.sliding(S.source(s, d))).withColumn("start", F.col("start").cast("timestamp_ntz")),
+    "stream_deduplicated": lambda s, d: S.run(S.deduplicated(S.source(s, d))).withColumn("ts", F.col("ts").cast("timestamp_ntz")),
     "windows_tumbling": lambda s, d: S.tumbling(_events(s, d)).withColumn("start", F.col("start").cast("timestamp_ntz")),
     "windows_session": lambda s, d: S.sessions(_events(s, d)).withColumn("start", F.col("start").cast("timestamp_ntz")),
-    "stream_tumbling": lambda s, d: S.run(S.tumbling(S.source(s, d))),
-    "stream_session": lambda s, d: S.run(S.sessions(S.source(s, d))),
-    "stream_breaker": lambda s, d: S.run(S.breaker(S.source(s, d)), "update", "user_id"),
+    "stream_tumbling": lambda s, d: S.run(S.tumbling(S.source(s, d))).withColumn("start", F.col("start").cast("timestamp_ntz")),
+    "stream_session": lambda s, d: S.run(S.sessions(S.source(s, d))).withColumn("start", F.col("start").cast("timestamp_ntz")),
+    "stream_breaker": lambda s, d: S.run(S.breaker(S.source(s, d, end=False)), "update", "user_id"),
 }
 
 
@@ -302,10 +308,10 @@ QUERIES |= {
 
 
 def queries() -> dict[str, Query]:
-    return QUERIES | records.QUERIES | panels_sql.QUERIES
+    return QUERIES | records.QUERIES | panels_sql.QUERIES | searches.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLES.items() if k in QUERIES} | records.ORACLES | panels_sql.ORACLES
+    return {k: v for k, v in ORACLES.items() if k in QUERIES} | records.ORACLES | panels_sql.ORACLES | searches.ORACLES
 
 

@@ -56,7 +56,7 @@ ORACLES: dict[str, str] = {
     "search_limit": f"{W}{PAPERS} SELECT doc_id, pmid, CASE WHEN length(title) > 50 THEN left(title, 50) || '...' ELSE title END AS title FROM papers WHERE contains(lower(abstract), 'licensed') ORDER BY doc_id LIMIT 25 OFFSET 5",
     "batch_numbers": "SELECT batch, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS batch FROM documents) GROUP BY batch",
     "coverage_stats": f"{W}{PAPERS} SELECT count(*) AS total, count(*) FILTER ({HAS}) AS with_abstract, count(*) FILTER (NOT coalesce({HAS}, false)) AS without_abstract, round(coalesce(count(*) FILTER ({HAS}) * 100.0 / nullif(count(*), 0), 0), 4) AS percent, round(coalesce(avg(length(abstract)) FILTER (length(abstract) > 0), 0), 4) AS mean_length FROM papers",
-    "coverage_suggestions": f"{W}{PAPERS}, s AS (SELECT count(*) AS total, count(*) FILTER (NOT coalesce({HAS}, false)) AS missing, count(*) FILTER ({HAS}) * 100.0 / nullif(count(*), 0) AS percent, avg(length(abstract)) FILTER (length(abstract) > 0) AS mean_length FROM papers) SELECT 'recover ' || missing || ' abstracts' AS suggestion FROM s WHERE missing > 0 UNION ALL SELECT 'coverage is low' FROM s WHERE percent < 98 UNION ALL SELECT 'no papers' FROM s WHERE total = 0 UNION ALL SELECT CASE WHEN coalesce(mean_length, 0) < 500 THEN 'abstracts are short' ELSE 'abstracts are long' END FROM s",
+    "coverage_suggestions": f"{W}{PAPERS}, s AS (SELECT count(*) AS total, count(*) FILTER (NOT coalesce({HAS}, false)) AS missing, (SELECT count(*) FROM labels WHERE toxic = 1) AS errors, count(*) FILTER ({HAS}) * 100.0 / nullif(count(*), 0) AS percent FROM papers) SELECT 'recover ' || missing || ' abstracts' AS suggestion FROM s WHERE missing > 0 UNION ALL SELECT 'retry ' || errors || ' failed requests' FROM s WHERE errors > 0 UNION ALL SELECT 'ask for missing abstracts one by one' FROM s WHERE total > 0 AND percent < 98",
     "text_normalize": f"{W}{PAPERS} SELECT doc_id, length({NORM}) AS n_chars, md5({NORM}) AS md5, CASE WHEN length(title) > 30 THEN left(title, 30) || '...' ELSE title END AS label, CAST(doc_id AS VARCHAR) AS clean_pmid FROM papers",
     "readability": f"{W}{PAPERS} SELECT doc_id, round({READ}, 6) AS readability, {_wc('abstract')} AS n_words FROM papers",
     "word_count_hist": f"{W}{PAPERS}, x AS (SELECT CAST({_wc('abstract')} AS DOUBLE) AS v FROM papers), b AS (SELECT min(v) AS lo, max(v) AS hi, least(15, count(DISTINCT v)) AS bins FROM x), p AS (SELECT CASE WHEN hi > lo THEN least(floor((v - lo) / ((hi - lo) / bins)), bins - 1) ELSE 0 END AS bin, lo, (hi - lo) / bins AS width FROM x, b) SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, round(first(lo + bin * width), 4) AS low FROM p GROUP BY bin",
@@ -86,12 +86,12 @@ ORACLES: dict[str, str] = {
     "id_fallback": "SELECT CAST(d.doc_id AS VARCHAR) AS clean_pmid, CASE WHEN d.doc_id % 3 = 0 THEN 'PMC' || d.doc_id WHEN quality = 1 THEN 'PMC1' || d.doc_id WHEN toxic = 1 THEN 'PMC2' || d.doc_id END AS pmcid, CASE WHEN d.doc_id % 3 = 0 THEN 'own' WHEN quality = 1 THEN 'link' WHEN toxic = 1 THEN 'cross' ELSE 'none' END AS origin FROM documents d LEFT JOIN labels USING (doc_id)",
     "json_idconv": "SELECT CAST(doc_id AS VARCHAR) AS pmid, 'PMC' || doc_id AS pmcid FROM labels WHERE quality = 1",
     "json_links": "SELECT doc_id, CAST(doc_id * 10 AS VARCHAR) AS link FROM documents",
-    "jaccard_pairs": f"{W}s AS (SELECT doc_id, list_sort(list_distinct({_words('text', 4)})) AS t FROM documents), c AS (SELECT min(doc_id) AS id, t FROM s WHERE len(t) > 0 GROUP BY t), x AS (SELECT id, len(t) AS n, unnest(t) AS w FROM c), p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.w = b.w AND a.id < b.id AND least(a.n, b.n) > 0.05 * greatest(a.n, b.n) GROUP BY ALL) SELECT a, b, round(k / (na + nb - k), 6) AS jaccard FROM p WHERE k / (na + nb - k) > 0.05",
+    "jaccard_pairs": f"{W}s AS (SELECT doc_id, list_sort(list_distinct({_words('text', 4)})) AS t FROM documents), c AS (SELECT min(doc_id) AS id, t FROM s WHERE len(t) > 0 GROUP BY t), x AS (SELECT id, len(t) AS n, unnest(t) AS w FROM c), p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.w = b.w AND a.id < b.id AND least(a.n, b.n) > 0.05 * greatest(a.n, b.n) GROUP BY ALL) SELECT a, b, (2000000 * k + na + nb - k) // (2 * (na + nb - k)) / 1000000.0 AS jaccard FROM p WHERE k / (na + nb - k) > 0.05",
     "jaccard_classes": f"{W}s AS (SELECT doc_id, list_sort(list_distinct({_words('text', 4)})) AS t FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS rep FROM s WHERE len(t) > 0",
     "group_term_jaccard": f"{W}{PAPERS}, t AS (SELECT journal, w, row_number() OVER (PARTITION BY journal ORDER BY count(*) DESC, w) AS r FROM (SELECT journal, unnest({_words('abstract')}) AS w FROM papers) WHERE w NOT IN {_in(T.ABSTRACT_STOPS)} GROUP BY 1, 2 QUALIFY r <= 10), n AS (SELECT journal, count(*) AS n FROM t GROUP BY 1) SELECT x.journal AS a, y.journal AS b, round(count(*) / (any_value(nx.n) + any_value(ny.n) - count(*)), 6) AS jaccard FROM t x JOIN t y ON x.w = y.w AND x.journal < y.journal JOIN n nx ON nx.journal = x.journal JOIN n ny ON ny.journal = y.journal GROUP BY 1, 2",
     "vector_topk": "WITH u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), v AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM u), s AS (SELECT q.vec_id AS query_id, v.label AS kind, v.vec_id AS id, round(list_inner_product(q.e, v.e) / (q.n * v.n), 6) AS score FROM v q, v WHERE q.vec_id % 20 = 0) SELECT query_id, CAST(kind AS INTEGER) AS kind, id, score, CAST(row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 3",
     "retrieve_dedupe": "WITH u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), v AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM u), s AS (SELECT q.vec_id AS query_id, v.label AS kind, v.vec_id AS id, round(list_inner_product(q.e, v.e) / (q.n * v.n), 6) AS score FROM v q, v WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 3), f AS (SELECT query_id, id // 2 AS paper_id, score FROM r QUALIFY row_number() OVER (PARTITION BY query_id, id // 2 ORDER BY kind, rank) = 1) SELECT query_id, paper_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, paper_id) AS INTEGER) AS place FROM f QUALIFY place <= 5",
-    "index_sizes": "SELECT 'abstract' AS kind, count(*) FILTER (length(trim(coalesce(text, ''))) > 50) AS n FROM documents UNION ALL SELECT 'fulltext', count(*) FILTER (length(trim(coalesce(text, ''))) > 100) FROM documents",
+    "index_sizes": "SELECT 'abstract' AS kind, count(*) FILTER (length(trim(coalesce(text, ''))) > 50) AS n FROM documents UNION ALL SELECT 'fulltext', count(*) FILTER (length(trim(coalesce(text, ''))) > 100) FROM documents UNION ALL SELECT 'section', count(*) FROM (SELECT unnest(str_split(text, chr(10))) AS s FROM documents) WHERE length(trim(s)) > 100",
     "analysis_prompts": "WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, CASE WHEN length(trim(text)) >= 100 THEN text ELSE split_part(text, chr(10), 1) END AS u FROM documents), p AS (SELECT doc_id, length(u) > 3000 AS truncated, 'Title: ' || title || chr(10) || 'Text: ' || CASE WHEN length(u) > 3000 THEN left(u, 3000) || '... [truncated]' ELSE u END AS p FROM d) SELECT doc_id, length(p) AS n_chars, truncated, md5(p) AS md5 FROM p",
     "score_extract": "SELECT doc_id, CAST(doc_id % 7 AS DOUBLE) AS quality, CAST(quality * 4 + 0.5 AS DOUBLE) AS overall, 2 AS n FROM labels",
     "fallback_scores": "SELECT score, count(*) AS n FROM (SELECT round(CASE WHEN doc_id % 4 = 0 THEN doc_id % 10 WHEN doc_id % 4 = 1 THEN (doc_id % 9) + 0.5 ELSE 5.0 END, 4) AS score FROM labels) GROUP BY 1",
@@ -122,9 +122,17 @@ ORACLES: dict[str, str] = {
     "page_fields": "SELECT page_id, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS heading, len(regexp_extract_all(html, '<p[ >]')) AS n_paragraphs, len(regexp_extract_all(html, '<a ')) AS n_links, strlen(html) AS n_bytes FROM pages",
     "sink_stats": "SELECT count(*) AS files, round(sum(strlen(html)) / 1048576, 2) AS total_mb FROM pages",
     "access_records": "SELECT count(*) AS n, count(*) FILTER (l.quality = 1) AS with_url, count(*) FILTER (l.toxic = 1) AS retracted FROM labels l",
-    "windows_sliding": "SELECT time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * k) AS start, count(*) AS n, round(avg(value), 4) AS mean FROM events, range(4) t(k) GROUP BY 1",
+    "windows_sliding": "SELECT time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * k) AS start, count(*) AS n, (200 * CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) + count(*)) // (2 * count(*)) / 10000.0 AS mean FROM events, range(4) t(k) GROUP BY 1",
     "events_deduplicated": "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1",
     "windows_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "windows_session": "WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, sid",
     "revenue_by_journal_year": "SELECT o_orderpriority AS journal, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS revenue, count(DISTINCT o_orderkey) AS papers FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2",
 }
+ORACLES |= {f"stream_{name}": ORACLES[f"windows_{name}"] for name in ("tumbling", "sliding", "session")} | {
+    "stream_deduplicated": "SELECT event_id, event_type, ts FROM events",
+    "stream_breaker": """
+        WITH e AS (SELECT user_id, ts, event_id, value >= 10 AS ok, sum(CAST(value >= 10 AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events),
+        r AS (SELECT user_id, island, count(*) FILTER (NOT ok) AS n, count(*) AS rows FROM e GROUP BY 1, 2)
+        SELECT user_id, count(*) FILTER (n >= 3) AS opened, CAST(sum(rows) AS BIGINT) AS attempts FROM r GROUP BY 1
+    """,
+}

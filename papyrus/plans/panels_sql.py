@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyrus.functions import text as T
+from papyrus.functions.stats import ratio
 from papyrus.operators import corpus, derived, frequency, graph, ingest, learning, panels, prompts, retrieval, scoring, sentiment, similarity, topics, trends
 from papyrus.plans.records import ASKED, QUESTION_TYPE, _asked
 from papyrus.sources.views import papers, scores, table
@@ -335,34 +336,45 @@ def analysis_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH s AS (SELECT doc_id, list_sort(list_distinct({_words('text', 4)})) AS t FROM documents), c AS (SELECT min(doc_id) AS id, t FROM s WHERE len(t) > 0 GROUP BY t), x AS (SELECT id, len(t) AS n, unnest(t) AS w FROM c),
-    p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.w = b.w AND a.id < b.id GROUP BY ALL), j AS (SELECT a, b, round(k / (na + nb - k), 6) AS jaccard FROM p WHERE k / (na + nb - k) > 0.05), m AS (SELECT a AS row, jaccard FROM j UNION ALL SELECT b, jaccard FROM j)
+    p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.w = b.w AND a.id < b.id GROUP BY ALL), j AS (SELECT a, b, (2000000 * k + na + nb - k) // (2 * (na + nb - k)) / 1000000.0 AS jaccard FROM p WHERE k / (na + nb - k) > 0.05), m AS (SELECT a AS row, jaccard FROM j UNION ALL SELECT b, jaccard FROM j)
     SELECT row, count(*) AS neighbours, CAST(sum(CAST(jaccard AS DECIMAL(10, 6))) AS DOUBLE) AS total, max(jaccard) AS most FROM m GROUP BY 1
 """)
 def jaccard_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the similarity matrix (both halves) each row's entries, their sum and the largest."""
-    pairs = similarity.jaccard_pairs(similarity.term_sets(papers(spark, sf_dir)), 0.05).withColumn("jaccard", F.round("jaccard", 6))
+    pairs = similarity.jaccard_pairs(similarity.term_sets(papers(spark, sf_dir)), 0.05).select("a", "b", ratio(F.col("shared"), F.col("total"), 6).alias("jaccard"))
     return similarity.mirrored(pairs).groupBy("row").agg(F.count("*").alias("neighbours"), F.sum(F.col("jaccard").cast("decimal(10,6)")).cast("double").alias("total"), F.max("jaccard").alias("most"))
 
 
 #: Nations whose suppliers deliver for the same order.
-NATION_EDGES = "n AS (SELECT DISTINCT s_nationkey AS node, l_orderkey AS o FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 97 = s_nationkey), e AS (SELECT a.node AS src, b.node AS dst, count(*) AS weight FROM n a JOIN n b ON a.o // 97 = b.o // 97 AND a.node < b.node GROUP BY 1, 2)"
+@query("""
+    WITH RECURSIVE n AS (SELECT DISTINCT l_suppkey AS node, l_orderkey AS o FROM lineitem), e AS (SELECT DISTINCT a.node AS src, b.node AS dst FROM n a JOIN n b ON a.o = b.o AND a.node < b.node),
+    b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), v AS (SELECT DISTINCT src AS node FROM b), r(a, z, d) AS (SELECT node, node, 0 FROM v UNION SELECT r.a, b.dst, r.d + 1 FROM r JOIN b ON b.src = r.z WHERE r.d < 6),
+    h AS (SELECT a, z, min(d) AS d FROM r GROUP BY 1, 2), c AS (SELECT a, min(z) AS c FROM h GROUP BY 1), k AS (SELECT src AS node, count(*) AS degree FROM b GROUP BY 1), t AS (SELECT x.src AS node, count(*) AS t FROM b x JOIN b y ON x.src = y.src AND x.dst < y.dst JOIN b q ON q.src = x.dst AND q.dst = y.dst GROUP BY 1)
+    SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT c) FROM c) AS components, (SELECT count(DISTINCT c) = 1 FROM c) AS connected, CASE WHEN (SELECT count(DISTINCT c) = 1 FROM c) THEN (SELECT max(d) FROM h) END AS diameter,
+        (SELECT round(avg(coalesce(round(2.0 * t / nullif(degree * (degree - 1), 0), 6), 0)), 6) FROM k LEFT JOIN t USING (node)) AS clustering
+""")
+def graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, edges, components, connectivity, diameter (null where there are several components) and average clustering of the suppliers that deliver for the same orders."""
+    return graph.metrics(graph.shared_item_edges(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_orderkey"))
 
 
-def _nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse graph: nations linked by lines whose order numbers fall into their class within the same block of numbers."""
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).where(F.col("l_orderkey") % 97 == F.col("s_nationkey"))
-    return graph.shared_item_edges(rows.select(F.col("s_nationkey").cast("long").alias("node"), F.floor(F.col("l_orderkey") / 97).alias("item")), "node", "item")
+def _part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts ordered together, both of a size under 6: a sparse graph of a good many components."""
+    small = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").where("p_size < 6"), F.col("l_partkey") == F.col("p_partkey"))
+    return graph.shared_item_edges(small, "l_partkey", "l_orderkey")
+
+
+PART_EDGES = "n AS (SELECT DISTINCT l_partkey AS node, l_orderkey AS o FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 6), e AS (SELECT a.node AS src, b.node AS dst, count(*) AS weight FROM n a JOIN n b ON a.o = b.o AND a.node < b.node GROUP BY 1, 2), b AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e)"
 
 
 @query(f"""
-    WITH RECURSIVE {NATION_EDGES}, b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), v AS (SELECT DISTINCT src AS node FROM b), r(a, z, d) AS (SELECT node, node, 0 FROM v UNION SELECT r.a, b.dst, r.d + 1 FROM r JOIN b ON b.src = r.z WHERE r.d < 25),
-    h AS (SELECT a, z, min(d) AS d FROM r GROUP BY 1, 2), c AS (SELECT a, min(z) AS c FROM h GROUP BY 1), k AS (SELECT src AS node, count(*) AS degree FROM b GROUP BY 1), t AS (SELECT x.src AS node, count(*) AS t FROM b x JOIN b y ON x.src = y.src AND x.dst < y.dst JOIN b q ON q.src = x.dst AND q.dst = y.dst GROUP BY 1)
-    SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT c) FROM c) AS components, (SELECT count(DISTINCT c) = 1 FROM c) AS connected, CASE WHEN (SELECT count(DISTINCT c) = 1 FROM c) THEN (SELECT max(d) FROM h) END AS diameter,
-        (SELECT round(avg(coalesce(round(2.0 * t / nullif(degree * (degree - 1), 0), 6), 0)), 6) FROM k LEFT JOIN t USING (node)) AS clustering
+    WITH RECURSIVE {PART_EDGES}, v AS (SELECT DISTINCT src AS node FROM b), r(a, z, d) AS (SELECT node, node, 0 FROM v UNION SELECT r.a, b.dst, r.d + 1 FROM r JOIN b ON b.src = r.z WHERE r.d < 30),
+    h AS (SELECT a, z, min(d) AS d FROM r GROUP BY 1, 2), c AS (SELECT a AS node, min(z) AS component, max(d) AS e FROM h GROUP BY 1)
+    SELECT component, count(*) AS nodes, max(e) AS diameter FROM c GROUP BY 1
 """)
-def graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes, edges, components, connectivity, diameter (null where there are several components) and average clustering."""
-    return graph.metrics(_nation_edges(spark, sf_dir))
+def component_diameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each component of the parts' graph with its number of nodes and its diameter."""
+    return graph.diameters(_part_edges(spark, sf_dir))
 
 
 @query(None)

@@ -74,6 +74,7 @@ def _article_xml() -> Column:
         TRY_CAST(printf('%d-%02d-%02d', CAST(2000 + n % 20 AS BIGINT), CASE WHEN n % 4 = 3 THEN 2 WHEN n % 4 = 2 THEN 1 ELSE n % 12 + 1 END, n % 31 + 1) AS DATE) AS pub_date,
         CASE WHEN n % 2 = 0 THEN '10.1/' || n END AS doi, NULL AS error FROM a
     UNION ALL SELECT 'x' || n, NULL, NULL, NULL, '', NULL, NULL, NULL, 'No article citation found' FROM a
+    UNION ALL SELECT NULL, NULL, NULL, NULL, '', NULL, NULL, NULL, 'Malformed article' FROM documents WHERE doc_id % 8 = 7
 """)
 def article_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every paper as a document of article XML, parsed: nested, labelled, other and missing abstracts, authors without first names, odd dates, malformed documents."""
@@ -103,6 +104,18 @@ def batch_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_key.unionByName(without)
 
 
+@query("""
+    WITH n AS (SELECT count(*) AS n FROM documents), s AS (SELECT true AS with_key, least(200, greatest(100, n)) AS size FROM n UNION ALL SELECT false, least(100, greatest(50, n)) FROM n), r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents)
+    SELECT with_key, r // size AS batch, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM r, s GROUP BY 1, 2
+""")
+def conversion_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids in batches of the size that conversion requests take, with and without an access key."""
+    p = papers(spark, sf_dir)
+    n = p.count()
+    with_key, without = (corpus.batches(p, corpus.conversion_batch(n, key)).select(F.lit(key).alias("with_key"), "batch", "n", "first_id", "last_id") for key in (True, False))
+    return with_key.unionByName(without)
+
+
 _TYPE = "CASE WHEN {m} THEN 'methodological' WHEN {f} THEN 'findings' WHEN {t} THEN 'temporal' WHEN {l} THEN 'limitations' WHEN {u} THEN 'future_work' ELSE 'general' END"
 
 
@@ -153,18 +166,16 @@ def metadata_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH r AS (SELECT doc_id // 100 AS batch, doc_id, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS place, quality, toxic FROM labels),
-    a AS (SELECT batch, doc_id, 1 AS o, 'medline' AS source, 'm ' || doc_id AS abstract FROM r WHERE place <= 50 AND toxic = 1 AND batch % 2 = 0 UNION ALL SELECT batch, doc_id, 2, 'full', 'f ' || doc_id FROM r WHERE place <= 50 AND quality = 0)
+    WITH r AS (SELECT doc_id // 200 AS batch, doc_id, quality, toxic FROM labels),
+    a AS (SELECT batch, doc_id, 1 AS o, 'medline' AS source, 'm ' || doc_id AS abstract FROM r WHERE toxic = 1 AND batch % 2 = 0 UNION ALL SELECT batch, doc_id, 2, 'full', 'f ' || doc_id FROM r WHERE quality = 0)
     SELECT batch, CAST(doc_id AS VARCHAR) AS pmid, source, abstract FROM a WHERE o = (SELECT min(o) FROM a b WHERE b.batch = a.batch)
 """)
 def alternative_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing abstracts of each hundred ids, asked of two sources in order; a batch stops at the first that gives any."""
-    batch = F.floor(F.col("doc_id") / 100)
-    places = table(spark, sf_dir, "labels").withColumn("batch", batch)
-    numbered = corpus.numbered_within(places, "batch", "doc_id")
+    """Missing abstracts of each two hundred ids, asked of two sources in order; a batch stops at the first that gives any, for whichever of its ids."""
+    numbered = table(spark, sf_dir, "labels").withColumn("batch", F.floor(F.col("doc_id") / 200))
     medline, full = F.when((F.col("toxic") == 1) & (F.col("batch") % 2 == 0), F.concat(F.lit("m "), _num())), F.when(F.col("quality") == 0, F.concat(F.lit("f "), _num()))
     both = F.explode(F.array(F.struct(F.lit("full").alias("source"), full.alias("abstract")), F.struct(F.lit("medline").alias("source"), medline.alias("abstract"))))
-    return lookups.first_yielding_source(numbered.select("batch", _num().alias("pmid"), "place", both.alias("a")).select("batch", "pmid", "place", "a.*"), ["medline", "full", "plain"])
+    return lookups.first_yielding_source(numbered.select("batch", _num().alias("pmid"), both.alias("a")).select("batch", "pmid", "a.*"), ["medline", "full", "plain"])
 
 
 @query("""
@@ -178,14 +189,15 @@ def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH f AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'a' || page_id || '.pdf' WHEN 1 THEN 'a' || page_id || '.PDF' WHEN 2 THEN 'a' || page_id || '.txt' ELSE 'd' || page_id || '.pdf' END AS path, CASE WHEN page_id % 4 = 3 THEN 0 ELSE strlen(html) END AS length FROM pages)
-    SELECT page_id, path, length FROM f WHERE page_id % 4 IN (0, 1) AND length > 0
+    WITH f AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'a' || page_id || '.pdf' WHEN 1 THEN 'a' || page_id || '.PDF' WHEN 2 THEN 'a' || page_id || '.txt' ELSE 'd' || page_id || '.pdf' END AS path, CASE WHEN page_id % 8 IN (0, 1) THEN 0 ELSE strlen(html) END AS length FROM pages)
+    SELECT page_id, path, length FROM f WHERE page_id % 4 IN (0, 1)
 """)
 def pdf_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as a listing of files with other endings, upper-case endings and folders."""
+    """The pages as a listing of files with other endings, upper-case endings, empty files and folders."""
     n = F.col("page_id")
     path = F.when(n % 4 == 0, F.concat(F.lit("a"), _num("page_id"), F.lit(".pdf"))).when(n % 4 == 1, F.concat(F.lit("a"), _num("page_id"), F.lit(".PDF"))).when(n % 4 == 2, F.concat(F.lit("a"), _num("page_id"), F.lit(".txt"))).otherwise(F.concat(F.lit("d"), _num("page_id"), F.lit(".pdf")))
-    return lookups.pdf_listing(table(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.when(n % 4 == 3, 0).otherwise(F.octet_length("html")).alias("length")))
+    length = F.when((n % 8).isin(0, 1), 0).otherwise(F.octet_length("html"))
+    return lookups.pdf_listing(table(spark, sf_dir, "pages").select("page_id", path.alias("path"), length.alias("length"), (n % 4 == 3).alias("is_folder"))).drop("is_folder")
 
 
 @query("SELECT doc_id, doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM labels) AS has_file FROM documents")
@@ -399,18 +411,29 @@ def payload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", is_pdf.alias("is_pdf"), free.alias("no_paywall"))
 
 
-_DOI = "CASE WHEN doc_id % 3 = 0 THEN '10.1/arxiv.' || doc_id WHEN doc_id % 3 = 1 THEN '10.1/x' || doc_id END"
+_PAPER_IDS = """p AS (SELECT doc_id AS paper, CASE WHEN doc_id % 2 = 0 THEN 'PMC' || doc_id END AS pmcid, 'PMID:' || doc_id AS pmid,
+        CASE doc_id % 7 WHEN 0 THEN '10.1/arxiv.' || doc_id WHEN 1 THEN '10.1/x' || doc_id WHEN 2 THEN '10.48550/arXiv.' || doc_id || '/v2' WHEN 3 THEN '10.1371/journal.PLOS/' || doc_id WHEN 4 THEN '10.1038/nature/s' || doc_id WHEN 5 THEN '10.9/arxiv.' || doc_id || '/second/slash' END AS doi,
+        CASE WHEN doc_id % 3 = 0 THEN 'On ArXiv ' || doc_id ELSE 'untitled' END AS title FROM documents)"""
 
 
 @query(f"""
-    WITH p AS (SELECT doc_id AS paper, CASE WHEN doc_id % 2 = 0 THEN 'PMC' || doc_id END AS pmcid, {_DOI} AS doi FROM documents),
-    u AS (SELECT paper, unnest(['EuropePMC', 'PMC OA', 'Direct PMC', 'Enhanced DOI', 'DOI', 'arXiv', 'arXiv API', 'PyPaperBot', 'Semantic Scholar', 'Unpaywall']) AS strategy, pmcid, doi FROM p)
-    SELECT paper, strategy, CASE WHEN strategy IN ('EuropePMC', 'PMC OA', 'Direct PMC') THEN 'pmc/' || pmcid WHEN strategy = 'arXiv' THEN 'arxiv/' || str_split(doi, '/')[-1] WHEN strategy = 'arXiv API' THEN 'arxiv/' || regexp_extract(doi, '(?i)arxiv\\.(.*)$', 1) ELSE 'doi/' || coalesce(doi, 'untitled') END AS candidate
-    FROM u WHERE CASE WHEN strategy IN ('EuropePMC', 'PMC OA', 'Direct PMC') THEN pmcid IS NOT NULL WHEN strategy IN ('Enhanced DOI', 'DOI', 'Unpaywall') THEN doi IS NOT NULL WHEN strategy LIKE 'arXiv%' THEN contains(coalesce(doi, ''), 'arxiv') ELSE true END
+    WITH {_PAPER_IDS}, u AS (SELECT *, unnest(['EuropePMC', 'PMC OA', 'Direct PMC', 'Enhanced DOI', 'DOI', 'arXiv', 'arXiv API', 'PyPaperBot', 'Semantic Scholar', 'Unpaywall']) AS strategy FROM p)
+    SELECT paper, strategy, CASE strategy
+        WHEN 'EuropePMC' THEN 'https://europepmc.example/articles/PMC' || paper || '?pdf=render' WHEN 'PMC OA' THEN 'pmc-oa:PMC' || paper WHEN 'Direct PMC' THEN 'https://pmc.example/articles/PMC' || paper || '/pdf/'
+        WHEN 'Enhanced DOI' THEN CASE paper % 7 WHEN 3 THEN 'https://plos.example/article/file?id=' || doi || '&type=printable' WHEN 4 THEN 'https://nature.example/articles/s' || paper || '.pdf' ELSE 'https://doi.example/' || doi END
+        WHEN 'DOI' THEN 'https://doi.example/' || doi
+        WHEN 'arXiv' THEN CASE paper % 7 WHEN 0 THEN 'https://arxiv.example/pdf/arxiv.' || paper || '.pdf' WHEN 2 THEN 'https://arxiv.example/pdf/v2.pdf' WHEN 5 THEN 'https://arxiv.example/pdf/slash.pdf' END
+        WHEN 'arXiv API' THEN CASE paper % 7 WHEN 0 THEN 'arxiv:' || paper WHEN 2 THEN 'arxiv:10.48550' WHEN 5 THEN 'arxiv:' || paper ELSE 'arxiv-search:' || title END
+        WHEN 'PyPaperBot' THEN coalesce('bot-doi:' || doi, 'bot-title:' || title) WHEN 'Semantic Scholar' THEN coalesce('scholar:DOI:' || doi, 'scholar:PMID:' || paper) ELSE 'unpaywall:' || doi END AS candidate
+    FROM u WHERE CASE WHEN strategy IN ('EuropePMC', 'PMC OA', 'Direct PMC') THEN pmcid IS NOT NULL WHEN strategy IN ('Enhanced DOI', 'DOI', 'Unpaywall') THEN doi IS NOT NULL WHEN strategy LIKE 'arXiv%' THEN paper % 7 IN (0, 2, 5) OR paper % 3 = 0 ELSE true END
 """)
 def candidate_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each strategy that applies to a paper would ask for."""
-    n = F.col("doc_id")
-    doi = F.when(n % 3 == 0, F.concat(F.lit("10.1/arxiv."), _num())).when(n % 3 == 1, F.concat(F.lit("10.1/x"), _num()))
-    own = papers(spark, sf_dir).select(n.alias("paper"), F.when(n % 2 == 0, F.concat(F.lit("PMC"), _num())).alias("pmcid"), doi.alias("doi"), F.lit("untitled").alias("title"))
+    """What each strategy that applies to a paper would ask for: DOIs of publishers, with a second slash, of arXiv in both cases, and papers that only their title gives away."""
+    n, k = F.col("doc_id"), F.pmod("doc_id", F.lit(7))
+    doi = (
+        F.when(k == 0, F.concat(F.lit("10.1/arxiv."), _num())).when(k == 1, F.concat(F.lit("10.1/x"), _num())).when(k == 2, F.concat(F.lit("10.48550/arXiv."), _num(), F.lit("/v2"))).when(k == 3, F.concat(F.lit("10.1371/journal.PLOS/"), _num()))
+        .when(k == 4, F.concat(F.lit("10.1038/nature/s"), _num())).when(k == 5, F.concat(F.lit("10.9/arxiv."), _num(), F.lit("/second/slash")))
+    )
+    title = F.when(n % 3 == 0, F.concat(F.lit("On ArXiv "), _num())).otherwise("untitled")
+    own = papers(spark, sf_dir).select(n.alias("paper"), F.when(n % 2 == 0, F.concat(F.lit("PMC"), _num())).alias("pmcid"), "pmid", doi.alias("doi"), title.alias("title"))
     return A.routes(own).select("paper", "strategy", "candidate")

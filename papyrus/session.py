@@ -32,3 +32,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that its executors share")
     return "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-")
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Removes a folder that nothing reads any more, in whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -12,37 +12,65 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
-from papyrus.session import shared_folder
+from papyrus.functions.stats import ratio
+from papyrus.session import forget, shared_folder
 
 
-def source(spark: SparkSession, sf_dir: str, name: str = "events", files_a_batch: int = 64) -> DataFrame:
-    """The events as a stream of Parquet files, at most ``files_a_batch`` in a batch, with a timestamp that a watermark takes."""
+#: The time of the row that ends a finite stream; nothing real is as late.
+END = "9999-01-01 00:00:00"
+
+
+def source(spark: SparkSession, sf_dir: str, name: str = "events", files_a_batch: int = 64, end: bool = True) -> DataFrame:
+    """The events as a stream of Parquet files, at most ``files_a_batch`` in a batch, with a timestamp that a watermark takes.
+
+    A watermark only moves on with rows, so what is open at the last one would stay so. With ``end`` one more row, of the time END and with nulls,
+    follows when the last file is read: it closes whatever is open, and is itself left open. The functions below leave it out.
+    """
     path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path[:-1] + "[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    read = spark.read.parquet(path)
+    schema = read.schema
+    given = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path[:-1] + "[t]")
+    if end:
+        last = f"{shared_folder(spark)}/stream-end-{uuid.uuid4().hex}"
+        empty = spark.createDataFrame([], schema).coalesce(1)
+        closing = spark.createDataFrame([tuple(None for _ in schema)], schema).withColumn("ts", F.lit(END).cast(schema["ts"].dataType))
+        batches = -(-len(read.inputFiles()) // files_a_batch)
+        for _ in range(batches):  # as many empty files, so that the row comes in the batch after the last of the given files
+            empty.write.mode("append").parquet(last)
+        closing.coalesce(1).write.mode("append").parquet(last)
+        given = given.unionByName(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(last))
+    return given.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _real(rows: DataFrame, start: str) -> DataFrame:
+    """rows without those of the end; told by their time, as any other condition would be moved in front of the watermark."""
+    return rows.where(F.col(start) < F.lit(END).cast("timestamp") - F.expr("INTERVAL 1 DAY"))
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n, total) of each closed window."""
     w = events.withWatermark("ts", late) if events.isStreaming else events
-    return w.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return _real(w.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total"), "start")
 
 
 def sliding(events: DataFrame, width: str = "1 hour", every: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
+    """(start, n, mean) of each window; values have two digits after the point, so means are rounded from exact fractions."""
     w = events.withWatermark("ts", late) if events.isStreaming else events
-    return w.groupBy(F.window("ts", width, every).alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean")).select(F.col("w.start").alias("start"), "n", "mean")
+    grouped = w.groupBy(F.window("ts", width, every).alias("w")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+    return _real(grouped.select(F.col("w.start").alias("start"), "n", ratio(F.col("cents"), 100 * F.col("n"), 4).alias("mean")), "start")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """(user_id, start, n) of each session."""
     w = events.withWatermark("ts", late) if events.isStreaming else events
-    return w.groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("user_id", F.col("s.start").alias("start"), "n", "total")
+    return _real(w.groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("user_id", F.col("s.start").alias("start"), "n", "total"), "start")
 
 
 def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
     w = events.withWatermark("ts", late)
-    return (w.dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else w.dropDuplicates(["event_id"])).select("event_id", "event_type", "ts")
+    return (w.dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else w.dropDuplicates(["event_id"])).select("event_id", "event_type", "ts").where(F.col("event_id").isNotNull())
 
 
 def breaker(events: DataFrame, threshold: int = 3) -> DataFrame:
@@ -70,7 +98,9 @@ def run(stream: DataFrame, mode: str = "append", key: str | None = None) -> Data
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{place}/rows").start().awaitTermination()
+        forget(spark, f"{place}/state")
         return spark.read.schema(stream.schema).parquet(f"{place}/rows")
     writer.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{place}/rows/batch={batch}")).start().awaitTermination()
-    found = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{place}/rows")
+    forget(spark, f"{place}/state")
+    found = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{place}/rows")
     return found.groupBy(key).agg(F.max_by(F.struct(*[c for c in stream.columns if c != key]), "batch").alias("r")).select(key, "r.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import random
 import re
 from datetime import datetime, timedelta
@@ -53,8 +54,16 @@ def chunk_model(text, size=500, overlap=50):
 
 @pytest.mark.parametrize("text", ["", "a", "x" * 500, "x" * 501, "x" * 250 + "." + "y" * 600, "x" * 499 + "!!" + "z" * 900, "word. " * 700])
 def test_chunks(spark, text):
-    got = one(spark, text, retrieval.chunk_bounds(F.col("x")))[0]
-    assert [tuple(c) for c in got] == chunk_model(text)
+    assert list(retrieval.chunk_bounds(text)) == chunk_model(text)
+    papers = spark.createDataFrame([(7, text), (8, None)], "doc_id long, abstract string")
+    got = [tuple(r) for r in retrieval.chunks(papers, longer_than=-1).collect()]
+    assert sorted(got) == [(7, k, s, text[s:e]) for k, (s, e) in enumerate(chunk_model(text))]
+
+
+def test_chunks_of_a_long_text_take_linear_time():
+    began = time.time()
+    assert sum(1 for _ in retrieval.chunk_bounds("one two three. " * 70_000)) > 2000
+    assert time.time() - began < 1
 
 
 def test_question_types(spark):
