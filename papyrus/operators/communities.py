@@ -1,13 +1,15 @@
 """Communities by modularity gain, and centralities, as rounds of joins over checkpointed edges.
 
 Communities: nodes move to the neighbouring community that gains most (ties: the smallest one), half of the nodes in a round, so
-that neighbours seldom swap; a round that does not raise the modularity is taken back. When neither half gains, communities become
+that neighbours seldom swap; a round that does not raise the modularity is taken back. When neither of two halves gains, communities become
 the nodes of a smaller graph, until none gains. Centralities: Brandes' algorithm level by level, for a batch of sources at once:
 frontiers with the numbers of shortest paths go forward, dependencies come back and are summed.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,25 +17,25 @@ from papyrus.operators.graph import checkpointed
 
 
 def _quality(edges: DataFrame, of: DataFrame) -> float:
-    """Modularity of a partition (node, grp); edges: both directions, a loop once with twice its weight. One number reaches the driver."""
-    placed = edges.join(of.toDF("src", "gs"), ["src"]).join(of.toDF("dst", "gd"), ["dst"])
-    per = placed.groupBy("gs").agg(F.sum("weight").alias("k"), F.sum(F.when(F.col("gs") == F.col("gd"), F.col("weight")).otherwise(0.0)).alias("inside"))
-    one = per.agg(F.sum("inside").alias("inside"), F.sum("k").alias("m2"), F.sum(F.col("k") * F.col("k")).alias("squares")).first()
+    """Modularity of a partition (node, grp, k: the weight at the node); edges: both directions, a loop once with twice its weight. Two numbers reach the driver."""
+    grp = of.select("node", "grp")
+    inside = edges.join(grp.toDF("src", "gs"), ["src"]).join(grp.toDF("dst", "gd"), ["dst"]).where("gs = gd").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("inside"))
+    sums = of.groupBy("grp").agg(F.sum("k").alias("k")).agg(F.sum("k").alias("m2"), F.sum(F.col("k") * F.col("k")).alias("squares"))
+    one = inside.join(F.broadcast(sums)).first()  # one row each
     return one["inside"] / one["m2"] - one["squares"] / one["m2"] ** 2 if one["m2"] else 0.0
 
 
-def _moved(edges: DataFrame, strength: DataFrame, of: DataFrame, m2: float, half: int, level: int) -> DataFrame:
-    """(node, grp) after the nodes of one half have each moved to the best community among their own and their neighbours'."""
-    to = edges.where("src <> dst").join(of.toDF("dst", "grp"), ["dst"]).groupBy(F.col("src").alias("node"), "grp").agg(F.sum("weight").alias("links"))
-    sizes = of.join(strength, ["node"]).groupBy("grp").agg(F.sum("k").alias("total"))
-    own = of.join(strength, ["node"]).select("node", F.col("grp").alias("own"), "k")
-    stay = own.join(to, (to["node"] == own["node"]) & (to["grp"] == own["own"]), "left").select(own["node"], "own", "k", F.col("own").alias("grp"), F.coalesce("links", F.lit(0.0)).alias("links"))
-    go = own.join(to, ["node"]).where("grp <> own").select("node", "own", "k", "grp", "links")
-    chance = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(2)) == half
-    scored = stay.unionByName(go).join(sizes, ["grp"]).withColumn("gain", F.col("links") - F.col("k") * (F.col("total") - F.when(F.col("grp") == F.col("own"), F.col("k")).otherwise(0.0)) / m2)
+def _moved(edges: DataFrame, of: DataFrame, m2: float, half: int, salt: int) -> DataFrame:
+    """of (node, grp, k) after the nodes of one half have each moved to the best community among their own and their neighbours'."""
+    links = edges.where("src <> dst").join(of.select(F.col("node").alias("dst"), "grp"), ["dst"]).select(F.col("src").alias("node"), "grp", "weight")
+    near = links.unionAll(of.select("node", "grp", F.lit(0.0))).groupBy("node", "grp").agg(F.sum("weight").alias("links"))  # with each node's own community
+    sizes = of.groupBy("grp").agg(F.sum("k").alias("total"))
+    scored = near.join(of.select("node", F.col("grp").alias("own"), "k"), ["node"]).join(sizes, ["grp"])
+    stays = F.col("grp") == F.col("own")
+    gain = F.col("links") - F.col("k") * (F.col("total") - F.when(stays, F.col("k")).otherwise(0.0)) / m2
     # The most gain first, then staying, then the smallest community. Sums of whole weights are exact, so gains that are equal compare equal.
-    best = scored.groupBy("node").agg(F.max_by("grp", F.struct("gain", (F.col("grp") == F.col("own")).alias("stays"), (-F.col("grp")).alias("least"))).alias("best"), F.first("own").alias("own"))
-    return best.select("node", F.when(chance, F.col("best")).otherwise(F.col("own")).alias("grp"))
+    best = scored.groupBy("node").agg(F.max_by("grp", F.struct(gain.alias("gain"), stays.alias("stays"), (-F.col("grp")).alias("least"))).alias("best"), F.any_value("own").alias("own"), F.any_value("k").alias("k"))
+    return best.select("node", F.when(F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(2)) == half, F.col("best")).otherwise(F.col("own")).alias("grp"), "k")
 
 
 def communities(edges: DataFrame, most_levels: int = 20, most_rounds: int = 40) -> tuple[DataFrame, list[float]]:
@@ -44,18 +46,17 @@ def communities(edges: DataFrame, most_levels: int = 20, most_rounds: int = 40)
     m2 = now.agg(F.sum("weight")).first()[0]
     history: list[float] = []
     for level in range(most_levels if m2 else 0):
-        strength = checkpointed(now.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")))
-        of = checkpointed(strength.select("node", F.col("node").alias("grp")))
+        of = checkpointed(now.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")).select("node", F.col("node").alias("grp"), "k"))
         begun = best = _quality(now, of)
         still = 0
         for turn in range(most_rounds):
-            new = checkpointed(_moved(now, strength, of, m2, turn % 2, level + turn // 2))
+            new = checkpointed(_moved(now, of, m2, turn % 2, level + turn // 2))
             q = _quality(now, new)
             if q > best + 1e-12:
                 of, best, still = new, q, 0
             else:
                 still += 1  # taken back
-                if still == 4:  # two ways of halving, both halves
+                if still == 2:  # both halves
                     break
         if not history:
             history.append(begun)
@@ -64,7 +65,7 @@ def communities(edges: DataFrame, most_levels: int = 20, most_rounds: int = 40)
             break
         # Communities are named by their smallest member, then they are the nodes of the next level.
         head = of.groupBy("grp").agg(F.min("node").alias("head"))
-        of = checkpointed(of.join(head, ["grp"]).select("node", F.col("head").alias("grp")))
+        of = checkpointed(of.select("node", "grp").join(head, ["grp"]).select("node", F.col("head").alias("grp")))
         names = checkpointed(names.withColumnRenamed("grp", "old").join(of.toDF("old", "grp"), ["old"]).select("node", "grp"))
         now = checkpointed(now.join(of.toDF("src", "s"), ["src"]).join(of.toDF("dst", "d"), ["dst"]).groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("weight").alias("weight")))
     least = names.groupBy("grp").agg(F.min("node").alias("community"))
@@ -88,27 +89,32 @@ def centralities(edges: DataFrame, sources: DataFrame | None = None, batch: int
     total = n if sources is None else starts.count()
     rounds = max(1, -(-total // batch))
     dealt = checkpointed(starts.withColumn("round", F.pmod(F.xxhash64("node"), F.lit(rounds))))
-    through = close = None
+    through, close = [], []
     for k in range(rounds):
-        last = checkpointed(dealt.where(F.col("round") == k).select(F.col("node").alias("source"), "node", F.lit(0).alias("d"), F.lit(1.0).alias("paths")))
-        reached, step = last, 0
-        while not last.isEmpty():
-            step += 1
-            sent = last.select("source", F.col("node").alias("src"), "paths").join(both, ["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-            last = checkpointed(sent.join(reached, ["source", "node"], "left_anti").select("source", "node", F.lit(step).alias("d"), "paths"))
-            reached = checkpointed(reached.unionByName(last))
+        # A table for each level, written once; what was reached before is their union.
+        found = [checkpointed(dealt.where(F.col("round") == k).select(F.col("node").alias("source"), "node", F.lit(0).alias("d"), F.lit(1.0).alias("paths")))]
+        while not found[-1].isEmpty():
+            reached = functools.reduce(DataFrame.unionByName, found)
+            sent = found[-1].select("source", F.col("node").alias("src"), "paths").join(both, ["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+            found.append(checkpointed(sent.join(reached, ["source", "node"], "left_anti").select("source", "node", F.lit(len(found)).alias("d"), "paths")))
+        found.pop()
+        if not found:
+            continue
+        reached = functools.reduce(DataFrame.unionByName, found)
         # Backwards: a node's dependency is the sum over its successors of its share of their paths times one plus theirs.
-        owed = checkpointed(reached.where(F.col("d") == step - 1).select("source", "node", "d", "paths", F.lit(0.0).alias("dep")))
-        parts = owed
-        for d in range(step - 2, -1, -1):
-            share = owed.select("source", F.col("node").alias("src"), ((1 + F.col("dep")) / F.col("paths")).alias("unit")).join(both, ["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.sum("unit").alias("unit"))
-            owed = checkpointed(reached.where(F.col("d") == d).join(share, ["source", "node"], "left").select("source", "node", "d", "paths", (F.col("paths") * F.coalesce("unit", F.lit(0.0))).alias("dep")))
-            parts = parts.unionByName(owed)
-        mine = parts.where("source <> node").groupBy("node").agg(F.sum("dep").alias("dep"))
+        owed = [found[-1].withColumn("dep", F.lit(0.0))]
+        for level in reversed(found[:-1]):
+            share = owed[-1].select("source", F.col("node").alias("src"), ((1 + F.col("dep")) / F.col("paths")).alias("unit")).join(both, ["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.sum("unit").alias("unit"))
+            owed.append(checkpointed(level.join(share, ["source", "node"], "left").select("source", "node", "d", "paths", (F.col("paths") * F.coalesce("unit", F.lit(0.0))).alias("dep"))))
+        mine = functools.reduce(DataFrame.unionByName, owed).where("source <> node").groupBy("node").agg(F.sum("dep").alias("dep"))
         r = F.count("*") - 1
         near = reached.groupBy(F.col("source").alias("node")).agg(F.coalesce(F.try_divide(r * r, F.sum("d")), F.lit(0.0)).alias("near"))
-        mine, near = checkpointed(mine), checkpointed(near)
-        through, close = (mine, near) if through is None else (checkpointed(through.unionByName(mine).groupBy("node").agg(F.sum("dep").alias("dep"))), checkpointed(close.unionByName(near)))
+        through.append(mine if rounds == 1 else checkpointed(mine))
+        close.append(near if rounds == 1 else checkpointed(near))
+    if not through:
+        return nodes.select("node", F.lit(0.0).alias("betweenness"), F.lit(None).cast("double").alias("closeness"))
+    through = functools.reduce(DataFrame.unionByName, through).groupBy("node").agg(F.sum("dep").alias("dep"))
+    close = functools.reduce(DataFrame.unionByName, close)
     scale = n / total / max(1, (n - 1) * (n - 2)) if total else 0.0
     return nodes.join(through, ["node"], "left").join(close, ["node"], "left").select("node", F.round(F.coalesce("dep", F.lit(0.0)) * scale, 9).alias("betweenness"), F.round(F.col("near") / max(1, n - 1), 9).alias("closeness"))
 

@@ -51,3 +51,32 @@ def phase_trend(papers: DataFrame) -> DataFrame:
     one = by.agg(slope("n", "year").alias("s"), F.avg("n").alias("m"))
     rel = F.coalesce(F.try_divide("s", "m"), F.lit(0.0))
     return one.select(F.round(rel, 6).alias("relative_slope"), F.when(rel > 0.01, "Improving").when(rel < -0.01, "Declining").otherwise("Stable").alias("label"))
+
+
+# From which quality a work counts as reproducible, and how far; from which score a side is mature or developing.
+REPRODUCIBLE = [(70, 0.8), (40, 0.5)]
+LEAST_REPRODUCIBLE, UNRATED, TOPICS_WANTED = 0.3, 0.3, 10
+MATURE, DEVELOPING = 0.8, 0.5
+
+
+def maturity(state: DataFrame) -> DataFrame:
+    """(metric, value, level) of the five sides of maturity, 1 at most each. state, one row: quality (0 to 100), topics, share (of papers that were got), rated (whether there is a sentiment)."""
+    q = F.col("quality")
+    reproducible = F.when(q > REPRODUCIBLE[0][0], REPRODUCIBLE[0][1]).when(q > REPRODUCIBLE[1][0], REPRODUCIBLE[1][1]).otherwise(LEAST_REPRODUCIBLE)
+    sides = {"methodology": q / 100, "theory": F.col("topics") / TOPICS_WANTED, "evidence": F.coalesce("share", F.lit(0.0)), "statistics": F.when(F.col("rated"), 1.0).otherwise(UNRATED), "reproducibility": reproducible}
+    rows = state.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.round(_cap(v.cast("double"), 1.0), 4).alias("value")) for k, v in sides.items()])).alias("r")).select("r.*")
+    return rows.withColumn("level", F.when(F.col("value") >= MATURE, "mature").when(F.col("value") >= DEVELOPING, "developing").otherwise("emerging"))
+
+
+def recommendations(state: DataFrame, most: int = 6) -> DataFrame:
+    """(place, text) of the advice that a state (see maturity()) gives, in order, ``most`` at most; wording of its own."""
+    q = F.col("quality")
+    rules = F.array(
+        F.when(q < 50, "collect data in a better way"),
+        F.when(F.col("topics") < 3, "cover more topics"),
+        F.when(F.coalesce(F.col("share") < 0.5, F.lit(True)), "make the data easier to get"),
+        F.when(~F.col("rated"), "rate the sentiment"),
+        F.when(q >= 75, "publish").when(q >= 50, "refine the methods").otherwise("design the work anew"),
+        F.when(q >= 75, "look for partners").when(q >= 50, "take a larger sample"),
+    )
+    return state.select(F.posexplode(F.slice(F.array_compact(rules), 1, most)).alias("place", "text")).select((F.col("place") + 1).alias("place"), "text")

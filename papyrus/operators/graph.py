@@ -152,12 +152,11 @@ def eccentricities(both: DataFrame, sources: DataFrame, words: int = WORDS) -> D
 
 def levels(both: DataFrame, starts: DataFrame) -> DataFrame:
     """(node, component, level): steps from the start of its component. starts: node, component, one for each component. The frontier grows by a join a step."""
-    known = last = checkpointed(starts.select("node", "component", F.lit(0).alias("level")))
-    while not last.isEmpty():
-        step = last.select(F.col("node").alias("src"), "component", (F.col("level") + 1).alias("level")).join(both, ["src"]).select(F.col("dst").alias("node"), "component", "level").distinct()
-        last = checkpointed(step.join(known, ["node"], "left_anti"))
-        known = checkpointed(known.unionByName(last))
-    return known
+    found = [checkpointed(starts.select("node", "component", F.lit(0).alias("level")))]  # a table for each level, written once
+    while not found[-1].isEmpty():
+        step = found[-1].select(F.col("node").alias("src"), "component", (F.col("level") + 1).alias("level")).join(both, ["src"]).select(F.col("dst").alias("node"), "component", "level").distinct()
+        found.append(checkpointed(step.join(functools.reduce(DataFrame.unionByName, found).select("node"), ["node"], "left_anti")))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def diameters(edges: DataFrame, words: int = WORDS) -> DataFrame:

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrus.functions.stats import ratio
+
 # Weights of the composite score.
 WEIGHTS = {"overall_quality": 0.25, "methodology_rigor": 0.20, "innovation": 0.20, "field_significance": 0.15, "reproducibility": 0.10, "clarity": 0.10}
 OTHER_WEIGHT = 0.05
@@ -64,6 +66,21 @@ def ranges(scores: DataFrame) -> DataFrame:
     return exploded(scores).groupBy("name").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"), F.count_distinct("paper_id").alias("papers"))
 
 
+def usage(results: DataFrame) -> DataFrame:
+    """(what, name, n, mean_seconds, total_seconds, fastest, slowest) over all results, each analysis type and each backend. results: analysis_type, backend, seconds."""
+    sets = results.groupingSets([[], [F.col("analysis_type")], [F.col("backend")]], F.col("analysis_type"), F.col("backend"))
+    milli = F.round(F.col("seconds") * 1000).cast("long")  # whole numbers: sums have no order
+    out = sets.agg(F.grouping("analysis_type").alias("g"), F.grouping("backend").alias("h"), F.count("*").alias("n"), F.sum(milli).alias("total"), F.min("seconds").alias("fastest"), F.max("seconds").alias("slowest"))
+    what = F.when(F.col("g") == 0, "type").when(F.col("h") == 0, "backend").otherwise("all")
+    return out.select(what.alias("what"), F.coalesce("analysis_type", "backend", F.lit("")).alias("name"), "n", ratio(F.col("total"), F.col("n") * 1000, 4).alias("mean_seconds"), (F.col("total") / 1000).alias("total_seconds"), "fastest", "slowest")
+
+
+def export_with_statistics(scores: DataFrame, results: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The results, and the statistics of their scores and of their use, each written as JSON lines to a new place in folder and read back."""
+    facts = usage(results).select("what", "name", "n", F.col("mean_seconds").alias("mean"), F.lit(None).cast("double").alias("std")).unionByName(statistics(scores).where("what = 'score'"))
+    return exported(exploded(scores), folder), exported(facts, folder)
+
+
 def top_by_score(scores: DataFrame, name: str, k: int) -> DataFrame:
     return scores.where(F.map_contains_key("scores", name)).select("paper_id", F.round(F.element_at("scores", name), 6).alias("score")).orderBy(F.col("score").desc(), "paper_id").limit(k)
 

@@ -8,13 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrus.operators import answers, articles, communities, entities, normality, sketches
+from papyrus.operators import answers, articles, communities, derived, entities, normality, scoring, sketches
+from papyrus.operators import attempts as A
 from papyrus.plans import records
-from papyrus.plans.panels_sql import PART_EDGES, _part_edges, _words
+from papyrus.plans.panels_sql import FACTS, PART_EDGES, _facts, _part_edges, _words
 from papyrus.plans.records import CHUNKS, NORM, QUESTION_TYPE, _article_xml, _asked
 from papyrus.session import shared_folder
 from papyrus.sources import files
-from papyrus.sources.views import papers, table
+from papyrus.sources.views import attempts, papers, scores, table
 from papyrus.streaming import timers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +196,60 @@ def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The buckets' answers over the attempts as a stream."""
     found = timers.run(timers.bucket(timers.attempts_stream(spark, sf_dir)))
     return found.groupBy("strategy", (F.col("state") == "granted").alias("granted")).agg(F.count("*").alias("n"), F.sum("event_id").alias("events"))
+
+
+USED = "used AS (SELECT d.doc_id, lang AS analysis_type, ['local', 'remote', 'none'][CAST(d.doc_id % 3 AS INTEGER) + 1] AS backend, n_chars / 1000.0::DOUBLE AS seconds, CAST(n_chars AS BIGINT) AS milli, quality, toxic FROM labels l JOIN documents d USING (doc_id))"
+USE = "SELECT what, name, count(*) AS n, (20000 * CAST(sum(milli) AS BIGINT) + 1000 * count(*)) // (2000 * count(*)) / 10000.0 AS mean_seconds, CAST(sum(milli) AS BIGINT) / 1000 AS total_seconds, min(seconds) AS fastest, max(seconds) AS slowest FROM (SELECT 'all' AS what, '' AS name, * FROM used UNION ALL SELECT 'type', analysis_type, * FROM used UNION ALL SELECT 'backend', backend, * FROM used) GROUP BY 1, 2"
+
+
+def _used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored papers with one of three backends."""
+    return scores(spark, sf_dir).withColumn("backend", F.get(F.array(*map(F.lit, ("local", "remote", "none"))), F.pmod("paper_id", F.lit(3)).cast("int")))
+
+
+@query(f"WITH {USED} {USE}")
+def analysis_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and times of the analyses over all, by type and by backend."""
+    return scoring.usage(_used(spark, sf_dir))
+
+
+@query(f"""
+    WITH {USED}, u AS ({USE}), x AS (SELECT unnest(['overall_quality', 'clarity', 'innovation']) AS name, unnest([CAST(quality * 4 + doc_id % 7 AS DOUBLE), CAST(10 - toxic * 5 - doc_id % 5 AS DOUBLE), (doc_id % 11) * 0.9::DOUBLE]) AS score FROM used)
+    SELECT 'statistics' AS part, what, name, n, mean_seconds AS mean FROM u UNION ALL SELECT 'statistics', 'score', name, count(*), round(avg(score), 4) FROM x GROUP BY name
+    UNION ALL SELECT 'results', 'score', name, count(*), round(avg(score), 4) FROM x GROUP BY name
+""")
+def export_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results and their statistics as JSON files, read back: counts and means from the statistics beside those of the exported results."""
+    own = _used(spark, sf_dir)
+    rows, facts = scoring.export_with_statistics(own, own, f"{shared_folder(spark)}/results")
+    again = rows.groupBy("name").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean")).select(F.lit("results").alias("part"), F.lit("score").alias("what"), "name", "n", "mean")
+    return facts.select(F.lit("statistics").alias("part"), "what", "name", "n", "mean").unionByName(again)
+
+
+STATE = f"""{FACTS}, p AS (SELECT topics, (least(availability, 100) + least(coherence * 100, 100) + least(topics * 10.0, 100) + least((1 - abs(polarity)) * 100, 100) + 100) / 5 AS quality FROM facts),
+    a AS (SELECT count(*) FILTER (ok) / count(*) AS share FROM (SELECT bool_or(value >= 10) AS ok FROM events GROUP BY user_id)), state AS (SELECT round(quality, 4) AS quality, topics, share, true AS rated FROM p, a)"""
+
+
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the overall quality, the number of topics, the share of papers with a successful attempt, and that there is a sentiment."""
+    facts = _facts(spark, sf_dir)
+    overall = derived.quality_components(facts).where("component = 'overall'").select(F.col("value").alias("quality"))
+    share = A.batch_result(attempts(spark, sf_dir)).select((F.col("ok") / F.col("papers")).alias("share"))
+    return overall.join(F.broadcast(facts.select("topics"))).join(F.broadcast(share)).withColumn("rated", F.lit(True))  # one row each
+
+
+@query(f"""
+    WITH {STATE}, m AS (SELECT unnest(['methodology', 'theory', 'evidence', 'statistics', 'reproducibility']) AS metric, unnest([round(least(quality / 100, 1), 4), round(least(topics / 10, 1), 4), round(share, 4), 1.0, CASE WHEN quality > 70 THEN 0.8 WHEN quality > 40 THEN 0.5 ELSE 0.3 END]) AS value FROM state)
+    SELECT metric, value, CASE WHEN value >= 0.8 THEN 'mature' WHEN value >= 0.5 THEN 'developing' ELSE 'emerging' END AS level FROM m
+""")
+def maturity_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.maturity(_state(spark, sf_dir))
+
+
+@query(f"""
+    WITH {STATE}, r AS (SELECT list_filter([CASE WHEN quality < 50 THEN 'collect data in a better way' END, CASE WHEN topics < 3 THEN 'cover more topics' END, CASE WHEN share < 0.5 THEN 'make the data easier to get' END,
+        CASE WHEN quality >= 75 THEN 'publish' WHEN quality >= 50 THEN 'refine the methods' ELSE 'design the work anew' END, CASE WHEN quality >= 75 THEN 'look for partners' WHEN quality >= 50 THEN 'take a larger sample' END], lambda x: x IS NOT NULL)[1:6] AS l FROM state)
+    SELECT CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS place, unnest(l) AS text FROM r
+""")
+def corpus_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.recommendations(_state(spark, sf_dir))
