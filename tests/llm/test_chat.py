@@ -106,3 +106,17 @@ def test_odd_rows(spark):
     assert [(r["conv_id"], r["n_turns"]) for r in lone] == [(None, 1)] * 3
     assert found[3]["turns_sha256"] == hashlib.sha256(("tool\nx\n" + "y" * 300_000 + "\n").encode()).hexdigest()
     assert chat.digests(chat.format_conversations(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def separated(turns):
+    """A separator at every 40th turn, which no short window shows."""
+    return "".join(f"<{r}>{t}\n" + "==\n" * (i % 40 == 39) for i, (r, t) in enumerate(turns))
+
+
+def test_a_long_conversation_equals_the_templates_output(spark):
+    rows = [(1, k, ("user", "assistant")[k % 2], f"text {k}", None) for k in range(500)]
+    turns = [(r[2], r[3]) for r in rows]
+    found = chat.format_conversations(spark.createDataFrame(rows, SCHEMA)).orderBy("turn_no").collect()
+    assert "".join(r["formatted"] for r in found) == chat.instruct(turns)
+    c = chat.Conversation(separated)
+    assert "".join(c.add(*t)["formatted"] for t in turns) == separated(turns)

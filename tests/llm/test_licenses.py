@@ -97,3 +97,18 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     assert tuple(next(r for r in rows if r["doc_id"] == 1)) == (1, 0, 0, None, None, "", "", 0.0)
     assert licenses.licences(no_docs).count() == 0
+
+
+def test_files_are_looked_up_by_the_rarest_words():
+    """The index holds rare words only, and without them no template is looked at, whatever phrases stand there."""
+    frequencies = {w: 10 + k % 50 for k, w in enumerate(sorted(licenses.VOCABULARY))} | {w.encode(): 9_990 for w in ("the", "of", "and", "to", "in", "or", "a", "is")} | {b"": 10_000}
+    scanner = licenses.Scanner(frequencies)
+    assert not {b"the", b"of", b"and"} & set(scanner.postings)
+    seen = []
+    scanner._phrase_starts = lambda t, words, at: seen.append(t) or []
+    scanner.scan("the of and to in or a is " * 50)
+    assert not seen
+    for t, (_, notice, _) in enumerate(licenses.TEMPLATES):
+        seen.clear()
+        scanner.scan(notice)
+        assert t in seen

@@ -86,3 +86,26 @@ def test_odd_rows(odd_docs, no_docs):
     ids = sorted(r["doc_id"] for r in kept.where(F.col("doc_id").isNotNull()).collect())
     assert ids == [-7, 1, 4, 5, 6]
     assert kept.where(F.col("doc_id").isNull()).count() == 1
+
+
+def test_a_cloud_in_one_key_does_not_become_its_pairs(spark):
+    """Fingerprints two bits from a centre, most of them in one key and none one bit apart: few links are made, one component is found."""
+    centre = 0x0F1E2D3C4B5A6978
+    cloud = sorted({centre ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(a)})
+    strays = [centre ^ 0b111 ^ (0b111 << 40), ~centre & ((1 << 63) - 1)]
+    rows = [(simhash._signed(x), simhash._signed(x)) for x in cloud + strays]
+    vertices = spark.createDataFrame(rows, "fp long, grp long")
+    heads = simhash.head_links(vertices, 4)
+    assert heads.count() <= 5 * len(rows)
+    label = {r["node"]: r["component"] for r in simhash.label_components(heads).collect()}
+    grouped = spark.createDataFrame([(fp, label.get(fp, fp)) for fp, _ in rows], "fp long, grp long")
+    links = simhash.near_links(grouped, 4).collect()
+    assert len(links) < 40 * len(rows)  # all pairs would be two million
+    parent = dict(label)
+    top = {fp: parent.get(fp, fp) for fp, _ in rows}
+    for r in links:
+        a, b = top[r["src"]], top[r["dst"]]
+        if a != b:
+            top = {k: min(a, b) if v in (a, b) else v for k, v in top.items()}
+    assert len({top[simhash._signed(x)] for x in cloud}) == 1
+    assert all((a ^ b).bit_count() <= 4 for r in links for a, b in [(r["src"] & (1 << 64) - 1, r["dst"] & (1 << 64) - 1)])

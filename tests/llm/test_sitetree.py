@@ -149,3 +149,22 @@ def test_odd_rows(spark):
     found = sitetree.main_text(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in found) == [(0, 1), (1, 0), (2, 0), (2, 0), (3, 499_999)]
     assert sitetree.main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_class_words_are_whole_names():
+    """Names that only hold a telling word stay, inside and outside of articles; names made of it and of where it stands go."""
+    for name in ("share-price", "comments-on-law", "footer-note", "navigation-history-of-ships", "cookie-recipes"):
+        assert text(f"<body><article><p>a</p><div class='{name}'>kept</div></article></body>") == "a kept"
+    assert text("<body><div class='related-work'>kept</div><div class='menu-prices'>too</div></body>") == "kept too"
+    for name in ("share", "site-footer", "post-comments", "comments_list", "ad-slot", "share-buttons", "sidebar left", "cookie-banner", "breadcrumbs"):
+        assert text(f"<body><article><p>a</p><div class='{name}'>gone</div></article></body>") == "a"
+
+
+def test_importance_overrules_a_class_word_but_not_comments(spark):
+    """On a host whose articles stand in a box called 'share', the counts keep it; comments go although their texts are as new."""
+    rng, rows = random.Random(2), []
+    for k in range(12):
+        own, said = (" ".join(rng.choice("abcdefgh") * rng.randint(2, 6) for _ in range(40)) for _ in range(2))
+        rows.append((k, f"https://x.example/{k}", f"<body><div class='share'><p>{own}</p></div><div class='comments'><p>{said}</p></div><div class='sidebar'>Same on every page</div></body>"))
+    found = {r["page_id"]: r["text"] for r in sitetree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {r[0]: re.search("<p>(.*?)</p>", r[2])[1] for r in rows}
