@@ -71,6 +71,7 @@ def kmeans_clusters(vectors: DataFrame, most: int = 10, dimensions: int = 50) ->
     top = max(2, min(most, data.count() // 2))
     models = {k: KMeans(k=k, seed=42, maxIter=10).fit(data) for k in range(2, top + 1)}
     k = elbow([(k, m.summary.trainingCost) for k, m in models.items()])
+    data.unpersist()
     return models[k].transform(data).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("size")).withColumn("k", F.lit(k))
 
 

@@ -23,11 +23,14 @@ def marked_scores(response: Column) -> Column:
     return F.map_from_entries(last)
 
 
+# How a score without a mark is written.
+FALLBACK = [r"(\d+(?:\.\d+)?)\s*/\s*10", r"(\d+(?:\.\d+)?)\s*out\s*of\s*10", r"score.*?(\d+(?:\.\d+)?)", r"rating.*?(\d+(?:\.\d+)?)"]
+
+
 def fallback_score(response: Column) -> Column:
     """Mean of the numbers up to 10 in x/10, x out of 10, score ... x and rating ... x; 5 without any."""
     low = F.lower(F.coalesce(response, F.lit("")))
-    patterns = [r"(\d+(?:\.\d+)?)\s*/\s*10", r"(\d+(?:\.\d+)?)\s*out\s*of\s*10", r"score.*?(\d+(?:\.\d+)?)", r"rating.*?(\d+(?:\.\d+)?)"]
-    found = F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(p), F.lit(1)) for p in patterns]))
+    found = F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(p), F.lit(1)) for p in FALLBACK]))
     values = F.filter(F.transform(found, lambda x: x.try_cast("double")), lambda v: v <= 10)
     return F.coalesce(F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, b: a + b), F.size(values)), F.lit(5.0))
 

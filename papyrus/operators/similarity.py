@@ -17,8 +17,8 @@ def term_sets(papers: DataFrame, least: int = 4) -> DataFrame:
     return papers.select("doc_id", F.array_distinct(T.letter_words(F.col("abstract"), least)).alias("terms"))
 
 
-#: Rows of a block; two blocks are held by a task at a time.
-BLOCK_ROWS = 512
+#: Rows of a block, by what a task can hold: two blocks at a time. A smaller table is cut into SPREAD blocks, but none under LEAST_ROWS.
+BLOCK_ROWS, LEAST_ROWS, SPREAD = 4096, 512, 16
 #: Thresholds from which prefixes are short enough to prune.
 PREFIX_FROM = 0.6
 
@@ -57,10 +57,12 @@ def block_pairs(rows: DataFrame, key: str, value: Column, schema: str, compare:
     """Every block of rows (key: a long, value) meets every block once, itself included: compare(left, right, same) -> schema.
 
     Blocks are dealt by hash and as many as the rows need, so a task holds about 2 * block_rows rows whatever the keys
-    are; the work is that of all pairs, which low thresholds ask for, and what leaves a task is only what compare() keeps.
+    are, and a row is copied once for each block; the work is that of all pairs, which low thresholds ask for, and what leaves a
+    task is only what compare() keeps.
     """
     own = rows.select(F.col(key).alias("id"), value.alias("v"))
-    n = max(1, -(-own.count() // block_rows))
+    count = own.count()
+    n = max(1, -(-count // block_rows), min(SPREAD, -(-count // min(LEAST_ROWS, block_rows))))
     dealt = own.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     every = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least("blk", o).alias("lo"), F.greatest("blk", o).alias("hi")))
     met = dealt.select("id", "v", "blk", F.explode(every).alias("at")).select("id", "v", "blk", "at.lo", "at.hi")
@@ -74,17 +76,20 @@ def block_pairs(rows: DataFrame, key: str, value: Column, schema: str, compare:
 
 def _pairs_by_blocks(classes: DataFrame, over: float) -> DataFrame:
     def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        """Counts of shared terms: a table of the left block's terms by rows, of which each right row adds up those of its terms."""
+        """Counts of shared terms: each term of the left block has its rows there, and each right row counts those of its terms."""
         ids, sizes = left["id"].to_numpy(), np.array([len(t) for t in left["v"]])
         flat = np.concatenate([np.asarray(t) for t in left["v"]]) if len(left) else np.zeros(0, np.int64)
-        known, place = np.unique(flat, return_inverse=True)
-        held = np.zeros((len(known) + 1, len(left)), np.uint8)
-        held[place, np.repeat(np.arange(len(left)), sizes)] = 1
+        order = np.argsort(flat, kind="stable")
+        known, first = np.unique(flat[order], return_index=True)
+        rows, first = np.repeat(np.arange(len(left)), sizes)[order], np.append(first, len(flat))
         out = []
         for other, terms in zip(right["id"], right["v"], strict=True):
             terms = np.asarray(terms)
             at = np.minimum(np.searchsorted(known, terms), len(known) - 1) if len(known) else np.zeros(0, np.int64)
-            shared = held[at[known[at] == terms]].sum(axis=0, dtype=np.int64)
+            at = at[known[at] == terms]
+            many = first[at + 1] - first[at]
+            place = np.arange(int(many.sum())) + np.repeat(first[at] - (np.cumsum(many) - many), many)
+            shared = np.bincount(rows[place], minlength=len(left))
             total = sizes + len(terms) - shared
             keep = (shared / total > over) & ((ids < other) if same else (ids != other))
             out.append(pd.DataFrame({"a": np.minimum(ids[keep], other), "b": np.maximum(ids[keep], other), "shared": shared[keep], "total": total[keep]}))

@@ -62,9 +62,9 @@ def length_weight_bins(topics: DataFrame, bins: int = 10) -> DataFrame:
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distances between rows, to nine digits; the difference is taken before squares, a few rows at a time."""
-    out = np.empty((len(x), len(y)))
-    for lo in range(0, len(x), 64):
-        out[lo : lo + 64] = np.sqrt(((x[lo : lo + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+    out, step = np.empty((len(x), len(y))), max(1, (1 << 15) // max(1, len(y)))
+    for lo in range(0, len(x), step):
+        out[lo : lo + step] = np.sqrt(((x[lo : lo + step, None, :] - y[None, :, :]) ** 2).sum(axis=2))
     return out.round(9)
 
 

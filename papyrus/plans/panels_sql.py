@@ -175,7 +175,7 @@ def nlp_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH {ASKED}, t AS (SELECT {QUESTION_TYPE} AS type FROM asked) SELECT 'index' AS part, 'abstract' AS name, count(*) FILTER (length(trim(coalesce(text, ''))) > 50) AS n FROM documents UNION ALL SELECT 'index', 'fulltext', count(*) FILTER (length(trim(coalesce(text, ''))) > 100) FROM documents
-    UNION ALL SELECT 'type', type, count(*) FROM t GROUP BY type UNION ALL SELECT 'success', lang, count(*) FILTER (toxic = 0) FROM labels JOIN documents USING (doc_id) GROUP BY lang
+    UNION ALL SELECT 'index', 'section', count(*) FROM (SELECT unnest(str_split(text, chr(10))) AS s FROM documents) WHERE length(trim(s)) > 100 UNION ALL SELECT 'type', type, count(*) FROM t GROUP BY type UNION ALL SELECT 'success', lang, count(*) FILTER (toxic = 0) FROM labels JOIN documents USING (doc_id) GROUP BY lang
 """)
 def rag_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), ["doc_id"]).select(F.col("lang").alias("category"), F.when(F.col("toxic") != 0, "toxic").alias("error"))

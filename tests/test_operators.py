@@ -106,7 +106,7 @@ def test_authors_and_abstracts():
 def test_documents_of_articles(spark):
     rows = [("<Set><PubmedArticle><PMID>1</PMID><Article/></PubmedArticle><PubmedArticle><PMID>2</PMID></PubmedArticle></Set>",), ("<Set><PubmedArticle>",), (None,), ("",), ("<Set/>",)]
     found = articles.parse_documents(spark.createDataFrame(rows, "xml string")).collect()
-    assert sorted((r["pmid"], r["error"]) for r in found) == [("1", None), ("2", "No article citation found")]
+    assert sorted((r["pmid"] or "", r["error"]) for r in found) == [("", articles.MALFORMED), ("1", None), ("2", "No article citation found")]
 
 
 def folded(rows):
