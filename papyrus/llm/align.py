@@ -69,10 +69,8 @@ class Tokenizers:
 
     def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of A, ids of B, whether B keeps the part's bytes) of parts that each stand behind a space; ids of the sound parts only, in order."""
-        sound, b_ids, at = np.ones(len(parts), dtype=bool), [], 0
-        sizes = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in parts])
-        while at < len(parts):
-            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PIECE_BYTES, "right")))
+        sound, b_ids = np.ones(len(parts), dtype=bool), []
+        for at, to in _runs(parts, PIECE_BYTES):
             text = " ".join(parts[at:to])
             ids = self.b.encode(text)
             if b"".join([self.b_bytes[k] for k in ids]) == b" " + text.encode("utf-8", "surrogatepass"):
@@ -82,10 +80,21 @@ class Tokenizers:
                     sound[k] = b"".join([self.b_bytes[i] for i in ids]) == b" " + part.encode("utf-8", "surrogatepass")
                     if sound[k]:
                         b_ids += ids
-            at = to
         kept = parts if sound.all() else [p for p, s in zip(parts, sound, strict=True) if s]
-        text = " " + " ".join(kept) if kept else ""
-        return self.a.encode_to_numpy(text, disallowed_special=()).astype(np.int64), np.array(b_ids, dtype=np.int64), sound
+        a_ids = [self.a.encode_to_numpy(" " + " ".join(kept[at:to]), disallowed_special=()) for at, to in _runs(kept)]
+        return np.concatenate([np.zeros(0, dtype=np.int64), *a_ids]).astype(np.int64), np.array(b_ids, dtype=np.int64), sound
+
+
+def _runs(parts: list[str], most: int | None = None) -> Iterator[tuple[int, int]]:
+    """(from, to) of parts that can be read as one text, at most ``most`` bytes or one part: white space at a part's end or start, or an empty part, makes one token with the space between."""
+    sizes = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in parts])
+    apart = [k for k in range(1, len(parts)) if not parts[k - 1] or not parts[k] or parts[k - 1][-1].isspace() or parts[k][0].isspace()]
+    at = 0
+    for end in [*apart, len(parts)]:
+        while at < end:
+            to = end if most is None else min(end, max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right"))))
+            yield at, to
+            at = to
 
 
 @lru_cache(maxsize=1)

@@ -89,6 +89,15 @@ def test_odd_texts(spark, plain, odd_docs, no_docs):
     assert align.link_statistics(no_docs, *paths).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [40, 4 << 20])
+def test_white_space_at_ends_stays_with_its_own_text(spark, plain, monkeypatch, chunk):
+    monkeypatch.setattr(align, "CHUNK_BYTES", chunk)
+    texts = ["   ", "abc def", "", "abc", "a ", "b c", "\u3000", "b", "x \n", "\ny z", " \x1c\r\n", "word", "a  b", "c b", "d", None, "d\u2028", "\x85e  ", " "]
+    rows = list(enumerate(texts + texts[::-1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)  # neighbours in one chunk
+    assert sorted((tuple(r) for r in align.link_statistics(df, *align.tokenizer_paths()).collect()), key=repr) == brute(plain, rows)
+
+
 def test_overlaps_are_the_tokens_that_share_a_byte(spark, plain):
     df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
     for r in align.alignments(df, *align.tokenizer_paths()).collect():
