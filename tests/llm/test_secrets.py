@@ -169,3 +169,36 @@ def test_copies_of_a_row_change_no_learned_window(spark):
 def test_a_column_says_whether_a_network_was_used(spark):
     few = secrets.scan(spark.createDataFrame([(1, "a 0123456789abcdef0123 b")], "doc_id long, text string")).collect()
     assert [r["network"] for r in few] == [False] and few[0]["n_hex"] == 1
+
+
+def test_all_findings_are_learned_from(spark):
+    """More different secrets and stretches of text than were once sampled, more rows than a unit: each is in one unit, the held-out ones are all scored."""
+    rng = np.random.default_rng(5)
+    own = [(f"the key {''.join(rng.choice(list('0123456789abcdef'), 32))} number {k}",) for k in range(1700)]
+    prose = [(f"plain words of text {k} that go on for a good while so that they fill a whole window of the network and some more beyond its end",) for k in range(100)]
+    docs = spark.createDataFrame(own + own[:300] + prose, "text string").repartition(3)
+    found = secrets.findings(docs)
+    assert len(secrets.labelled_findings(docs)) == found.count() >= 1750
+    held = {r["label"]: r["count"] for r in found.where("held").groupBy("label").count().collect()}
+    net = secrets.train_on(docs, unit=600)
+    assert net.report["own context"][0] == held[secrets.SECRET]
+    assert all(share >= 0.95 - 1e-9 for group, (_, share) in net.report.items() if group not in ("clean", "look-alikes"))
+    units = secrets._Units(found, {y: n for y, n in found.groupBy("label").count().collect()}, 600, 0.95)
+    for halves in (False, True):
+        dealt = units._dealt(found, halves)
+        first = dealt.where("copy = 0")
+        assert first.select("seen", "label").distinct().count() == found.count()
+        assert first.groupBy("net", "seen", "label").count().where("count > 1").count() == 0
+        assert dealt.groupBy("net", "unit").agg(F.countDistinct("label").alias("n")).where("n < 2").count() == 0
+
+
+def test_threshold_from_counts_keeps_the_recall():
+    rng = np.random.default_rng(3)
+    logits = {"own context": rng.normal(2, 2, 400), "no context": rng.normal(-1, 1, 90), "clean": rng.normal(-4, 1, 500)}
+    for sign in (1, -1):
+        net = secrets.CharNet()
+        net.calibrate_counts({g: np.unique(np.floor(sign * x * secrets.STEP).astype(int), return_counts=True) for g, x in logits.items()}, 0.95)
+        for group in ("own context", "no context"):
+            p = 1 / (1 + np.exp(-np.clip(net.scale * sign * logits[group] + net.shift, -30, 30)))
+            assert (p >= net.threshold).mean() >= 0.95 and net.report[group][0] == len(p)
+        assert min(net.report[g][1] for g in ("own context", "no context")) <= 0.97
