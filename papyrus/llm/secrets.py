@@ -25,7 +25,6 @@ from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -389,19 +388,20 @@ class _Units:
         for stage in range(STAGES):
             start, rate = [n.p for n in nets], 0.01 * (1 - stage / STAGES)
 
-            def fit(key: tuple, given: pd.DataFrame) -> pd.DataFrame:
-                net, part = CharNet(), {y: sorted(given["seen"][given["label"] == y]) for y in (CLEAN, SECRET, PROSE)}
-                net.p = dict(start[key[0]])
+            def fit(key: tuple, given: pa.Table) -> pa.Table:
+                own, rows = key[0].as_py(), sorted(zip(given["seen"].to_pylist(), given["label"].to_pylist(), strict=True))
+                net, part = CharNet(), {y: [w for w, label in rows if label == y] for y in (CLEAN, SECRET, PROSE)}
+                net.p = dict(start[own])
                 others = part[PROSE] + part[CLEAN]
                 if part[SECRET] and others:
                     made = [m for w in others for m in [lookalike(w)] if m]
                     codes = [_codes([w for of in _groups(part[SECRET], others).values() for w in of]), _codes(others + made)]
                     net.fit(np.concatenate(codes), np.repeat([1, 0], [len(c) for c in codes]), 400 // STAGES, rate=rate)
                 flat = np.concatenate([v.reshape(-1) for v in net.p.values()]).astype(float)
-                return pd.DataFrame({"net": key[0], "place": np.arange(len(flat)), "value": flat})
+                return pa.table({"net": pa.array([own] * len(flat), pa.int32()), "place": pa.array(range(len(flat)), pa.int32()), "value": flat})
 
             dealt = self._dealt(self.rows.where(~F.col("held")), halves).where(F.col("unit") % STAGES == stage)
-            fitted = dealt.groupBy("net", "unit").applyInPandas(fit, "net int, place int, value double")
+            fitted = dealt.groupBy("net", "unit").applyInArrow(fit, "net int, place int, value double")
             mean = fitted.groupBy("net", "place").agg(F.avg(F.col("value").cast("decimal(18,9)")).cast("double").alias("value"))  # decimals: the same in any order
             flat = {k: g.sort_values("place")["value"].to_numpy(np.float32) for k, g in mean.toPandas().groupby("net")}
             for k, values in flat.items():
@@ -410,18 +410,20 @@ class _Units:
 
         times = self.times
 
-        def score(key: tuple, given: pd.DataFrame) -> pd.DataFrame:
-            given = given.sort_values(["label", "seen"])
-            own, others = given[given["copy"] == 0], given["seen"][given["label"] != SECRET].tolist()
-            plain, rows = own["seen"][own["label"] != SECRET].tolist(), own["seen"][own["label"] == SECRET].tolist()
-            groups = (_groups(rows, others or rows, times) if rows else {}) | {"clean": own["seen"][own["label"] == CLEAN].tolist(), "look-alikes": [m for w in plain for m in [lookalike(w)] if m]}
+        def score(key: tuple, given: pa.Table) -> pa.Table:
+            net, rows = key[0].as_py(), sorted(zip(*(given[n].to_pylist() for n in ("label", "seen", "copy")), strict=True))
+            others, plain = [w for y, w, _ in rows if y != SECRET], [w for y, w, copy in rows if y != SECRET and not copy]
+            own = {y: [w for label, w, copy in rows if label == y and not copy] for y in (CLEAN, SECRET)}
+            groups = (_groups(own[SECRET], others or own[SECRET], times) if own[SECRET] else {}) | {"clean": own[CLEAN], "look-alikes": [m for w in plain for m in [lookalike(w)] if m]}
             out = []
             for name, of in groups.items():
-                at, n = np.unique(np.floor(np.clip(nets[key[0]].logits(_codes(of)), -60, 60) * STEP).astype(np.int64), return_counts=True) if of else ([], [])
-                out.append(pd.DataFrame({"net": key[0], "name": name, "at": at, "n": n}))
-            return pd.concat(out)
+                if of:
+                    at, n = np.unique(np.floor(np.clip(nets[net].logits(_codes(of)), -60, 60) * STEP).astype(np.int64), return_counts=True)
+                    out += [(net, name, int(x), int(k)) for x, k in zip(at, n, strict=True)]
+            types = (pa.int32(), pa.string(), pa.int64(), pa.int64())
+            return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["net", "name", "at", "n"])
 
-        scored = self._dealt(self.rows.where("held"), halves).groupBy("net", "unit").applyInPandas(score, "net int, name string, at long, n long")
+        scored = self._dealt(self.rows.where("held"), halves).groupBy("net", "unit").applyInArrow(score, "net int, name string, at long, n long")
         for k, counts in scored.groupBy("net", "name", "at").agg(F.sum("n").alias("n")).toPandas().groupby("net"):
             nets[k].calibrate_counts({name: (g["at"].to_numpy(), g["n"].to_numpy()) for name, g in counts.sort_values(["name", "at"]).groupby("name")}, self.recall)
         return nets
