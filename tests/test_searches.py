@@ -296,3 +296,50 @@ def test_timers_on_shuffled_arrival_and_after_a_restart(spark, tmp_path, kind):
     else:
         want = {(r["event_id"], "granted" if r["granted"] else "refused") for r in A.token_bucket(e).collect()}
     assert got == want and len(got) == e.count()
+
+
+class Held:
+    """A state, or the handle of one, in memory; every write and timer is counted."""
+
+    def __init__(self, handle=None):
+        self.handle, self.rows, self.value, self.writes, self.timers = handle or self, {}, None, 0, set()
+        self.getValueState = self.getMapState = lambda *schema: Held(self)
+        self.exists, self.get, self.getValue, self.removeKey = lambda: self.value is not None, lambda: self.value, self.rows.get, self.rows.pop
+        self.keys, self.iterator, self.registerTimer = lambda: iter(list(self.rows)), lambda: iter(list(self.rows.items())), self.timers.add
+
+    def update(self, value):
+        self.handle.writes, self.value = self.handle.writes + 1, value
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.handle.writes += 1
+        self.rows[key] = value
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now
+
+
+def test_waiting_attempts_are_few_states_and_timers():
+    import pandas as pd
+
+    from papyrus.streaming import timers
+
+    rng = random.Random(11)
+    rows = [(rng.randrange(6 * 3600) * 1_000_000 + rng.randrange(3) * 400, k, rng.random() < 0.5) for k in range(30_000)]
+    late = [(m, k, not ok) for m, k, ok in rng.sample(rows, 200)]  # the same attempts once more: the last one counts
+    held, fold, got = Held(), timers.Breaker(3, 300.0), []
+    fold.init(held)
+    arrived = [*rows, *late]
+    list(fold.handleInputRows(("x",), (pd.DataFrame(arrived[lo : lo + 5000], columns=["micros", "event_id", "success"]) for lo in range(0, len(arrived), 5000)), held))
+    assert len(held.timers) == 1 and held.writes <= 10
+    for hours in (2.5, 2.6, 9):
+        held.now = int(hours * 3600 * 1000)
+        got += [tuple(r) for frame in fold.handleExpiredTimer(("x",), held, None) for r in frame.itertuples(index=False)]
+        assert all(t <= hours * 3600 + 0.001 for _, _, t, _ in got) and (hours == 9 or max(held.timers) > held.now)
+    failures, opened, want, last = 0, None, [], {(m, k): ok for m, k, ok in arrived}
+    for (m, k), ok in sorted(last.items()):
+        state = "closed" if opened is None else "open" if m / 1e6 - opened < 300.0 else "half-open"
+        want.append((k, state))
+        if state != "open":
+            failures = 0 if ok else failures + 1
+            opened = None if ok else m / 1e6 if failures >= 3 else opened
+    assert [(k, state) for k, _, _, state in got if k is not None and k == k] == want and held.writes < 40
