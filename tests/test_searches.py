@@ -11,7 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from papyrus.operators import answers, articles, communities, entities, graph, normality, sketches
+from papyrus.operators import answers, articles, communities, entities, graph, normality, parts, sketches
 from papyrus.sources import files
 
 
@@ -343,3 +343,58 @@ def test_waiting_attempts_are_few_states_and_timers():
             failures = 0 if ok else failures + 1
             opened = None if ok else m / 1e6 if failures >= 3 else opened
     assert [(k, state) for k, _, _, state in got if k is not None and k == k] == want and held.writes < 40
+
+
+def jobs_of(spark, work):
+    """What work() gives, and how many Spark jobs it ran."""
+    group = f"jobs-{time.time()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def many_parts():
+    """Components of 1 to 700 edges: pairs, rings, stars and random ones, with ids that are far apart."""
+    rng, edges = random.Random(8), {}
+    for part in range(30):
+        n = rng.choice([2, 3, 9, 25, 60])
+        own = {"ring": {(k, (k + 1) % n) for k in range(n)}, "star": {(0, k) for k in range(1, n)}, "any": {(rng.randrange(k), k) for k in range(1, n)} | {tuple(sorted(rng.sample(range(n), 2))) for _ in range(2 * n)}}[rng.choice(["ring", "star", "any"])]
+        edges |= {tuple(sorted((a * 977 + part * 10**7, b * 977 + part * 10**7))): rng.randint(1, 4) for a, b in own if a != b}
+    return edges
+
+
+@pytest.mark.parametrize("most", [2_000_000, 12])
+def test_components_in_tasks_and_by_joins(spark, monkeypatch, most):
+    """The same numbers where components fit into a task, and where one does and one does not."""
+    edges = many_parts() if most > 12 else {(k, k + 1): 2 for k in range(20, 25)} | random_edges(random.Random(5), 9, 16)
+    monkeypatch.setattr(parts, "MOST_EDGES", most)
+    monkeypatch.setattr(parts, "PART_EDGES", 50)
+    monkeypatch.setattr(parts, "FOREST_EDGES", 30)
+    monkeypatch.setattr(communities, "WORK", 3000)  # several chunks of sources
+    df, near = edge_frame(spark, edges), neighbours(edges)
+    want = {}
+    for x in near:
+        d = distances(near, x)
+        want[min(d)] = (len(d), max(max(d.values()), want.get(min(d), (0, 0))[1]))
+    assert {r["component"]: (r["nodes"], r["diameter"]) for r in graph.diameters(df).collect()} == want
+    central = brandes(edges)
+    got = {r["node"]: (r["betweenness"], r["closeness"]) for r in communities.centralities(df).collect()}
+    assert set(got) == set(central) and all(got[x] == pytest.approx(v, abs=2e-9) for x, v in central.items())
+    found, history = communities.communities(df)
+    of = {r["node"]: r["community"] for r in found.collect()}
+    m2, inside, total = 2 * sum(edges.values()), 0, Counter()
+    for (a, b), w in edges.items():
+        inside += 2 * w * (of[a] == of[b])
+        total.update({of[a]: w})
+        total.update({of[b]: w})
+    assert set(of) == set(near) and all(of[c] == c for c in of.values()) and all(b >= a - 1e-12 for a, b in zip(history, history[1:]))
+    assert history[-1] == pytest.approx(inside / m2 - sum(t * t for t in total.values()) / m2**2, abs=1e-9) and history[-1] > (0.8 if most > 12 else 0.1)
+
+
+def test_graphs_that_fit_into_tasks_take_few_jobs(spark):
+    df = edge_frame(spark, many_parts()).localCheckpoint()
+    for work in (lambda: graph.diameters(df).collect(), lambda: communities.centralities(df, batch=64).collect(), lambda: communities.communities(df)[0].collect()):
+        rows, jobs = jobs_of(spark, work)
+        assert rows and 0 < jobs < 60
