@@ -398,3 +398,38 @@ def test_graphs_that_fit_into_tasks_take_few_jobs(spark):
     for work in (lambda: graph.diameters(df).collect(), lambda: communities.centralities(df, batch=64).collect(), lambda: communities.communities(df)[0].collect()):
         rows, jobs = jobs_of(spark, work)
         assert rows and 0 < jobs < 60
+
+
+@pytest.mark.parametrize("edges_of_a_task", [10**6, 60])
+@pytest.mark.parametrize("bits", [1 << 28, 0])
+def test_triangles_by_colours(spark, monkeypatch, edges_of_a_task, bits):
+    """One colour and several, by bits and by lists, with a hub and with parts that share no node."""
+    from papyrus.operators import triangles
+
+    monkeypatch.setattr(triangles, "EDGES", edges_of_a_task)
+    monkeypatch.setattr(triangles, "BITS", bits)
+    monkeypatch.setattr(triangles, "STEP", 50)
+    rng = random.Random(12)
+    edges = random_edges(rng, 40, 300) | {(0, k): 1 for k in range(1, 120)} | {(a + 10**12, b + 10**12): 1 for a, b in random_edges(rng, 12, 40)} | {(-7, 0): 1, (-7, 5): 1}
+    pairs = [(a, b) for a, b in edges]
+    c, found, per = triangles.colours_for(len(pairs)), Counter(), defaultdict(lambda: ([], []))
+    assert c == 1 if edges_of_a_task > 60 else c > 3
+    for a, b in pairs:
+        p, q = (int(triangles.colour(triangles.np.array([x]), c)[0]) for x in (a, b))
+        for k, x in enumerate((a, b) if p <= q else (b, a)):
+            per[min(p, q), max(p, q)][k].append(x)
+    per = {k: tuple(triangles.np.array(x) for x in v) for k, v in per.items()}
+    most = 0
+    for i in range(c):
+        for j in range(i, c):
+            for k in range(j, c):
+                own = {pq: e for pq, e in per.items() if pq in {(i, j), (j, k), (i, k)}}
+                most = max(most, sum(len(e[0]) for e in own.values()))
+                for nodes, n in triangles.of_colours(own, i, j, k).values():
+                    found.update(dict(zip(nodes.tolist(), n.tolist(), strict=True)))
+    near = neighbours(edges)
+    want = {x: sum(1 for a in near[x] for b in near[x] if a < b and b in near[a]) for x in near}
+    want = {x: n for x, n in want.items() if n}
+    assert found == want and (c == 1 or most < len(pairs) / 2)
+    if not bits or c > 1:
+        assert {r["node"]: r["triangles"] for r in graph.triangles(edge_frame(spark, edges)).collect()} == want
