@@ -218,3 +218,26 @@ def test_plans(spark):
         assert "CartesianProduct" not in plan_of(catalog.queries()[name](spark, SF_DIR))
     plan = plan_of(catalog.queries()["years_in_text"](spark, SF_DIR))
     assert re.search(r"ReadSchema: struct<text:string>", plan)
+
+
+def test_blocks_meet_without_a_shuffle_of_copies(spark, monkeypatch):
+    """Blocks are written once; no plan shuffles a copy for each block, and rare terms count like frequent ones."""
+    from papyrus.operators import similarity
+
+    rng = random.Random(4)
+    sets = [(k, sorted({f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(1, 30))})) for k in range(150)]
+    df = spark.createDataFrame(sets, "doc_id long, terms array<string>")
+    for dense, block in ((4096, 4096), (7, 16)):
+        monkeypatch.setattr(similarity, "DENSE", dense)
+        monkeypatch.setattr(similarity, "STRIP", 5)
+        monkeypatch.setattr(similarity.block_pairs, "__defaults__", (block,))
+        found = similarity.jaccard_pairs(df, 0.3)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+        reps = {}
+        for k, t in sets:
+            reps.setdefault(tuple(t), k)
+        reps = [(k, set(t)) for t, k in reps.items()]
+        want = {(a, b, len(s & t), len(s | t)) for a, s in reps for b, t in reps if a < b and len(s & t) / len(s | t) > 0.3}
+        got = [(r["a"], r["b"], r["shared"], r["total"]) for r in found.collect()]
+        assert set(got) == want and len(got) == len(want)
