@@ -241,3 +241,27 @@ def test_blocks_meet_without_a_shuffle_of_copies(spark, monkeypatch):
         want = {(a, b, len(s & t), len(s | t)) for a, s in reps for b, t in reps if a < b and len(s & t) / len(s | t) > 0.3}
         got = [(r["a"], r["b"], r["shared"], r["total"]) for r in found.collect()]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_rows_of_blocks_are_combined_in_tasks(spark, monkeypatch):
+    """A vector leaves a task once for each label, not once for each block."""
+    import pandas as pd
+
+    from papyrus.operators import similarity
+
+    monkeypatch.setattr(similarity, "COMBINED", 2)
+    df = spark.range(120).select("id", (F.col("id") % 3).alias("label"))
+
+    def counted(left, right, same):
+        sides = ((left, right),) if same else ((left, right), (right, left))
+        return pd.DataFrame([(i, int(o), 1) for x, y in sides for i in x["id"] for o in y["v"]], columns=["id", "other", "n"])
+
+    for most in (10**6, 100):
+        monkeypatch.setattr(similarity, "COMBINED_ROWS", most)
+        found = similarity.block_pairs(df, "id", F.col("label"), "id long, other long, n long", counted, 8, combine=lambda rows: rows.groupby(["id", "other"], as_index=False)["n"].sum())
+        rows = [tuple(r) for r in found.collect()]
+        total = {}
+        for i, o, n in rows:
+            total[i, o] = total.get((i, o), 0) + n
+        assert total == {(i, o): 40 for i in range(120) for o in range(3)}
+        assert most == 100 or len(rows) <= 120 * 3 * 2
