@@ -265,3 +265,26 @@ def test_rows_of_blocks_are_combined_in_tasks(spark, monkeypatch):
             total[i, o] = total.get((i, o), 0) + n
         assert total == {(i, o): 40 for i in range(120) for o in range(3)}
         assert most == 100 or len(rows) <= 120 * 3 * 3  # of two partitions three pairs hold a vector
+
+
+def test_nearest_by_products(spark, monkeypatch):
+    """Many equal scores, scores a rounding step apart, null vectors and null kinds, over several blocks; nothing is shuffled before the scores."""
+    from papyrus.operators import similarity
+
+    monkeypatch.setattr(similarity, "QUERY_ROWS", 5)
+    monkeypatch.setattr(similarity, "VECTOR_ROWS", 20)
+    rng = random.Random(9)
+    vectors = [(k, rng.choice([0, 1, None]), [1.0, 0.5, 0.0] if k % 3 == 0 else [1.0, 0.5 + rng.randrange(4) * 1e-6, 0.0] if k % 3 == 1 else [rng.gauss(0, 1) for _ in range(3)]) for k in range(140)]
+    vectors += [(200, 0, None), (201, 5, [0.0, 0.0, 0.0]), (202, 5, None), (203, 5, None)]
+    queries = [(k, v) for k, _, v in vectors if k % 10 == 0]
+    df = spark.createDataFrame(vectors, "id long, kind int, v array<double>")
+    asked = spark.createDataFrame(queries, "query_id long, q array<double>")
+    found = similarity.nearest(asked, df, 3)
+    scored = df.select("id", "kind", similarity.unit(F.col("v")).alias("v")).crossJoin(asked.select("query_id", similarity.unit(F.col("q")).alias("q"))).select("query_id", "kind", "id", F.round(similarity.inner(F.col("q"), F.col("v")), 6).alias("score"))
+    groups = {}
+    for r in scored.collect():
+        groups.setdefault((r["query_id"], r["kind"]), []).append((r["score"] is None, -(r["score"] or 0.0), r["id"]))
+    want = {(*g, i, n + 1, None if none else -s + 0.0) for g, rows in groups.items() for n, (none, s, i) in enumerate(sorted(rows)[:3])}
+    got = [(r["query_id"], r["kind"], r["id"], r["rank"], r["score"] if r["score"] is None else r["score"] + 0.0) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
