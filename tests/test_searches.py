@@ -433,3 +433,19 @@ def test_triangles_by_colours(spark, monkeypatch, edges_of_a_task, bits):
     assert found == want and (c == 1 or most < len(pairs) / 2)
     if not bits or c > 1:
         assert {r["node"]: r["triangles"] for r in graph.triangles(edge_frame(spark, edges)).collect()} == want
+
+
+def test_contexts_of_questions_are_not_shuffled(spark, monkeypatch):
+    """Several blocks of questions give what one gives, and copies of a text are ranked by their ids; the plan that scores shuffles no words."""
+    rng = random.Random(6)
+    words = [f"{a}{b}{c}" for a in "klm" for b in "aeiou" for c in "rst"]
+    papers = spark.createDataFrame([(k, " ".join(rng.choice(words) for _ in range(rng.randrange(15, 60))) + ". " + "the same words stand here in many of the texts") for k in range(60)], "doc_id long, abstract string")
+    asked = spark.createDataFrame([(k, "how " + " ".join(rng.choice(words) for _ in range(4)) if k % 4 else "the same words in many texts") for k in range(25)], "question_id long, question string")
+    contexts = answers.contexts_of(papers)
+    one = sorted(map(tuple, answers.answers(asked, contexts).collect()))
+    monkeypatch.setattr(answers, "QUESTIONS", 7)
+    monkeypatch.setattr(answers, "CELLS", 40)
+    assert sorted(map(tuple, answers.answers(asked, contexts).collect())) == one and len(one) == 25
+    assert all(r[2] > 0 for r in one)
+    plan = answers.answers(asked, contexts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "regexp_extract_all(lower(coalesce(text" not in plan
