@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import time
+import math
 import random
 import re
+import time
 from datetime import datetime, timedelta
 from itertools import groupby
 
@@ -288,3 +289,20 @@ def test_nearest_by_products(spark, monkeypatch):
     got = [(r["query_id"], r["kind"], r["id"], r["rank"], r["score"] if r["score"] is None else r["score"] + 0.0) for r in found.collect()]
     assert set(got) == want and len(got) == len(want)
     assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tfidf_counts_terms_in_their_rows(spark):
+    """Neither a paper's terms nor its weights are shuffled: only distinct terms are."""
+    from papyrus.operators import frequency
+
+    papers = spark.createDataFrame([(1, "river delta river stone"), (2, "stone river"), (3, "delta stone stone"), (4, None), (5, "only once here")], "doc_id long, abstract string")
+    found = frequency.tfidf(papers, k=2)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r["doc_id"], r["rank"]): (r["term"], r["weight"]) for r in found.collect()}
+    idf = {"river": math.log(6 / 3) + 1, "stone": math.log(6 / 4) + 1, "delta": math.log(6 / 3) + 1}
+    want = {}
+    for doc, tf in ((1, {"river": 2, "delta": 1, "stone": 1}), (2, {"river": 1, "stone": 1}), (3, {"delta": 1, "stone": 2})):
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in tf.items()))
+        for rank, (w, t) in enumerate(sorted((-round(n * idf[t] / norm, 6), t) for t, n in tf.items())[:2], 1):
+            want[doc, rank] = (t, -w)
+    assert got == want
